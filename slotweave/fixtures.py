@@ -329,7 +329,7 @@ def notifications(updates: DataFrame) -> DataFrame:
     value = _c(
         '{"lamports":', F.col("lamports"), ',"owner":"', F.col("owner"), '","executable":',
         F.when(F.col("executable"), "true").otherwise("false"), ',"rentEpoch":', F.col("write_version"),
-        ',"data":["', F.when(b == 3, "***").otherwise(F.base64(F.encode("pubkey", "UTF-8"))), '","base64"]}',
+        ',"data":["', F.when(b == 4, "***").otherwise(F.base64(F.encode("pubkey", "UTF-8"))), '","base64"]}',
     )
     account = _c(
         '{"method":"accountNotification","params":["', F.col("pubkey"), '",{"result":{"context":{"slot":',

@@ -6,11 +6,13 @@ reader checks the stored type first and gives NULL for any other type.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-U64_MAX = 18446744073709551615
-I64_MAX = 9223372036854775807
+U64_MAX = Decimal("18446744073709551615")
+I64_MAX = Decimal("9223372036854775807")
 
 
 def parse(text: str | Column) -> Column:
@@ -46,7 +48,7 @@ def u64(v: Column, path: str = "$") -> Column:
     """Whole number in 0 .. 2^64-1 as DECIMAL(20,0). Fractions, texts and negatives give NULL."""
     t, d = kind(v, path), F.try_variant_get(v, path, "decimal(20,0)")
     small = (t == "BIGINT") & (d >= 0)
-    large = t.startswith("DECIMAL") & (d > I64_MAX) & (d <= U64_MAX)
+    large = t.startswith("DECIMAL") & (d > F.lit(I64_MAX)) & (d <= F.lit(U64_MAX))
     return F.when(small | large, d)
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from slotweave.functions.json import U64_MAX
 
 LAMPORTS_PER_SOL = 1e9
 SYSTEM_ID = "11111111111111111111111111111111"
@@ -92,7 +95,7 @@ def _encode58(data: bytes) -> str:
     return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_32_bytes(keys: pd.Series) -> pd.Series:
     def check(key):
         raw = None if key is None else _decode58(key)
@@ -101,7 +104,7 @@ def _is_32_bytes(keys: pd.Series) -> pd.Series:
     return keys.map(check)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base58_encode(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else _encode58(bytes(b)))
 
@@ -206,7 +209,7 @@ def message_priority(stake: str | Column) -> Column:
 
 def _saturating_u64(x: Column) -> Column:
     """Double to unsigned 64 bit: toward zero, NaN and negatives to 0, too large to the maximum."""
-    top = F.lit(18446744073709551615).cast("decimal(20,0)")
+    top = F.lit(U64_MAX)
     return (
         F.when(x.isNull(), F.lit(None).cast("decimal(20,0)"))
         .when(F.isnan(x) | (x < 0), F.lit(0).cast("decimal(20,0)"))

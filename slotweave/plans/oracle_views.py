@@ -146,7 +146,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
             WHEN 0 THEN '{"method":"accountNotification","params":["' || pubkey || '",{"result":{"context":{"slot":'
                  || slot || '},"value":{"lamports":' || lamports || ',"owner":"' || owner || '","executable":'
                  || CASE WHEN executable THEN 'true' ELSE 'false' END || ',"rentEpoch":' || write_version
-                 || ',"data":["' || CASE WHEN seq % 50 = 3 THEN '***' ELSE to_base64(encode(pubkey)) END
+                 || ',"data":["' || CASE WHEN seq % 50 = 4 THEN '***' ELSE to_base64(encode(pubkey)) END
                  || '","base64"]}}}]}'
             WHEN 1 THEN CASE WHEN seq % 50 = 9 THEN '{"method":"signatureNotification","params":["only-one"]}'
                  ELSE '{"method":"signatureNotification","params":["sig' || seq || '",{"result":{"context":{"slot":'

@@ -1,15 +1,11 @@
-"""Explicit schemas, one per table. Unsigned 64-bit money columns are DECIMAL(20,0)."""
+"""Explicit schemas as DDL, one per table. Unsigned 64-bit money columns are DECIMAL(20,0)."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-ACCOUNTS = _schema(
+ACCOUNTS = (
     "pubkey STRING, lamports DECIMAL(20,0), owner STRING, executable BOOLEAN, "
     "rent_epoch DECIMAL(20,0), data BINARY, write_version BIGINT, slot BIGINT, "
     "is_startup BOOLEAN, transaction_signature STRING"
@@ -22,7 +18,7 @@ REWARD = (
     "reward_type: STRING, commission: TINYINT>"
 )
 
-TRANSACTIONS = _schema(
+TRANSACTIONS = (
     "signature STRING, slot BIGINT, idx BIGINT, block_time BIGINT, is_vote BOOLEAN, err STRING, "
     "fee DECIMAL(20,0), recent_blockhash STRING, program_ids ARRAY<STRING>, "
     f"accounts ARRAY<STRING>, logs ARRAY<STRING>, instructions ARRAY<{INSTRUCTION}>, success BOOLEAN"
@@ -33,7 +29,7 @@ TOKEN_BALANCE = (
     "decimals: TINYINT, ui_amount: DOUBLE>"
 )
 
-TRANSACTION_META = _schema(
+TRANSACTION_META = (
     "status BIGINT, fee DECIMAL(20,0), pre_balances ARRAY<DECIMAL(20,0)>, "
     "post_balances ARRAY<DECIMAL(20,0)>, "
     "inner_instructions ARRAY<STRUCT<index: INT, instructions: ARRAY<STRUCT<program_id_index: INT, "
@@ -42,40 +38,40 @@ TRANSACTION_META = _schema(
     f"post_token_balances ARRAY<{TOKEN_BALANCE}>, rewards ARRAY<{REWARD}>"
 )
 
-BLOCKS = _schema(
+BLOCKS = (
     "slot BIGINT, parent_slot BIGINT, status STRING, blockhash STRING, parent_blockhash STRING, "
     f"rewards ARRAY<{REWARD}>, block_time BIGINT, block_height BIGINT, transaction_count BIGINT, "
     "entry_count BIGINT, leader STRING"
 )
 
-ENTRIES = _schema(
+ENTRIES = (
     "slot BIGINT, idx BIGINT, num_hashes BIGINT, hash BINARY, "
     "executed_transaction_count BIGINT, starting_transaction_index BIGINT"
 )
 
-SLOT_STATUS = _schema("slot BIGINT, parent BIGINT, status STRING")
+SLOT_STATUS = "slot BIGINT, parent BIGINT, status STRING"
 
-MENTIONS = _schema("signature STRING, pubkey STRING, is_signer BOOLEAN, is_writable BOOLEAN")
+MENTIONS = "signature STRING, pubkey STRING, is_signer BOOLEAN, is_writable BOOLEAN"
 
-DELEGATIONS = _schema("seq BIGINT, operator STRING, staker STRING, amount DECIMAL(20,0), ts BIGINT")
+DELEGATIONS = "seq BIGINT, operator STRING, staker STRING, amount DECIMAL(20,0), ts BIGINT"
 
-VIOLATIONS = _schema("operator STRING, ts TIMESTAMP, seq BIGINT, violation STRING")
+VIOLATIONS = "operator STRING, ts TIMESTAMP, seq BIGINT, violation STRING"
 
-VOTES = _schema("block_hash STRING, validator STRING, seq BIGINT")
+VOTES = "block_hash STRING, validator STRING, seq BIGINT"
 
-MESSAGES = _schema(
+MESSAGES = (
     "message_id STRING, source STRING, topics ARRAY<STRING>, payload BINARY, ts TIMESTAMP"
 )
 
-HEALTH_CHECKS = _schema("service STRING, check_name STRING, status STRING, details STRING")
+HEALTH_CHECKS = "service STRING, check_name STRING, status STRING, details STRING"
 
-WATCHLIST = _schema("id STRING, type STRING, pubkey STRING, added TIMESTAMP, name STRING")
+WATCHLIST = "id STRING, type STRING, pubkey STRING, added TIMESTAMP, name STRING"
 
-NAME_ACCOUNTS = _schema(
+NAME_ACCOUNTS = (
     "name STRING, parent_name STRING, owner STRING, class STRING, expiry TIMESTAMP"
 )
 
-TABLES: dict[str, T.StructType] = {
+TABLES: dict[str, str] = {
     "accounts": ACCOUNTS,
     "transactions": TRANSACTIONS,
     "blocks": BLOCKS,
@@ -90,3 +86,8 @@ TABLES: dict[str, T.StructType] = {
     "watchlist": WATCHLIST,
     "name_accounts": NAME_ACCOUNTS,
 }
+
+
+def schema(kind: str) -> T.StructType:
+    """Schema object of a table (needs a running session to read the DDL)."""
+    return T.StructType.fromDDL(TABLES[kind])
