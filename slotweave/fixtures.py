@@ -255,7 +255,8 @@ def blocks(tx: DataFrame) -> DataFrame:
 def block_rewards(tx: DataFrame) -> DataFrame:
     return tx.select(
         "slot",
-        _str("supp", F.col("slot") % 100).alias("pubkey"),
+        "idx",
+        _str("supp", (F.col("slot") + F.col("idx")) % 100).alias("pubkey"),
         F.expr("fee div 2").alias("lamports"),
         F.when(F.col("idx") % 2 == 0, "fee").otherwise("rent").alias("reward_type"),
     )

@@ -52,7 +52,7 @@ def lamports_to_sol(lamports: str | Column) -> Column:
 def format_sol(lamports: str | Column, min_digits: int = 4, max_digits: int = 9) -> Column:
     pattern = "#,##0." + "0" * min_digits + "#" * (max_digits - min_digits)
     sol = _col(lamports).cast("decimal(20,0)") / F.lit(10**9).cast("decimal(10,0)")
-    return F.coalesce(F.concat(F.format_number(sol.cast("decimal(30,9)"), pattern), F.lit(" SOL")), F.lit("N/A"))
+    return F.coalesce(F.concat(F.call_function("format_number", sol.cast("decimal(30,9)"), F.lit(pattern)), F.lit(" SOL")), F.lit("N/A"))
 
 
 def token_ui_amount(amount: str | Column, decimals: str | Column) -> Column:

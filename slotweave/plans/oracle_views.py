@@ -104,7 +104,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                count(*) AS transaction_count, 'supp' || (slot % 100) AS leader
         FROM v_transactions WHERE slot % 37 <> 0 GROUP BY slot"""),
     "v_block_rewards": (("v_transactions",), """
-        SELECT slot, 'supp' || (slot % 100) AS pubkey, fee // 2 AS lamports,
+        SELECT slot, idx, 'supp' || ((slot + idx) % 100) AS pubkey, fee // 2 AS lamports,
                CASE WHEN idx % 2 = 0 THEN 'fee' ELSE 'rent' END AS reward_type
         FROM v_transactions"""),
     "v_token_balances": ((), f"""
