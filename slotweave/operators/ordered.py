@@ -8,6 +8,8 @@ row-level window only spans one range.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -193,11 +195,7 @@ def distribution_gate(df: DataFrame, keys: list[str], time: str, seq: str, inter
         return out
 
     link_schema = T.StructType([*key_fields, T.StructField("_block", T.LongType()), T.StructField("_state", T.LongType())])
-    entry = (
-        step_rows.groupBy(*keys).applyInPandas(link, link_schema)
-        if keys
-        else step_rows.groupBy(F.lit(0)).applyInPandas(link, link_schema)
-    )
+    entry = step_rows.groupBy(*keys).applyInPandas(link, link_schema)
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time)
@@ -265,14 +263,13 @@ def stake_with_cap(
             )
         )
     below = F.col("amount") < minimum
-    if not rounds:
-        return requests.drop("_at").withColumn("decision", F.when(below, "below minimum").otherwise("accepted"))
-    taken = rounds[0]
-    for r in rounds[1:]:
-        taken = taken.unionByName(r)
-    taken = taken.withColumn("_taken", F.lit(True))
     crowd = crowded.select("operator", F.lit(True).alias("_crowded"))
-    marked = requests.join(crowd, "operator", "left").join(taken, ["operator", "_at"], "left")
+    marked = requests.join(crowd, "operator", "left")
+    if rounds:
+        taken = reduce(DataFrame.unionByName, rounds).withColumn("_taken", F.lit(True))
+        marked = marked.join(taken, ["operator", "_at"], "left")
+    else:
+        marked = marked.withColumn("_taken", F.lit(None))
     decision = (
         F.when(below, "below minimum")
         .when(F.col("_crowded").isNull() | F.col("_taken").isNotNull(), "accepted")
