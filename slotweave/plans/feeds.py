@@ -8,7 +8,7 @@ from slotweave import fixtures as X
 from slotweave.operators import filters as Fi
 from slotweave.operators.lookups import fan_out_topics
 from slotweave.plans.oracle_views import oracle
-from slotweave.plans.reads import LATEST
+from slotweave.plans.reads import LATEST, MINE, PROGRAM, type_sql
 from slotweave.plans.registry import ORACLES, query
 from slotweave.plans.relational import BLOCK_STATE, BLOCKS_SQL
 from slotweave.session import work_path
@@ -75,6 +75,51 @@ def upsert(v):
     return feeds.read_upserted(v.spark, log, rows.schema, "pubkey", order).select("pubkey", "lamports", "slot", "seq")
 
 
+def _transactions(v):
+    """Orders as a feed; the item tables are static and joined in."""
+    orders = feeds.read_feed(v.spark, f"{v.sf_dir}/orders.parque[t]", v.base("orders").schema)
+    return X.transactions(orders, v.base("lineitem"), v.base("part"))
+
+
+@query(
+    "t9_live_daily",
+    oracle("v_transactions", """
+        SELECT strftime(make_timestamp(block_time * 1000000), '%Y-%m-%d') AS date, count(*) AS transactions,
+               count(*) FILTER (err IS NULL) AS successful, CAST(sum(fee) AS BIGINT) AS fees
+        FROM v_transactions GROUP BY 1"""),
+)
+def live_daily(v):
+    totals = feeds.live_daily(_transactions(v))
+    path = work_path(v.spark, "daily")
+    feeds.live_table(totals, path, work_path(v.spark, "daily-state")).awaitTermination()
+    return feeds.read_live(v.spark, path, totals.schema)
+
+
+@query(
+    "t9_live_mix",
+    oracle("v_transactions", "SELECT type AS name, count(*) AS value FROM typed GROUP BY type", typed=type_sql(PROGRAM)),
+)
+def live_mix(v):
+    totals = feeds.live_mix(_transactions(v), PROGRAM)
+    path = work_path(v.spark, "mix")
+    feeds.live_table(totals, path, work_path(v.spark, "mix-state")).awaitTermination()
+    return feeds.read_live(v.spark, path, totals.schema)
+
+
+@query(
+    "t9_live_tracker",
+    oracle("v_transactions", f"""
+        SELECT signature, slot, type AS instruction_type FROM typed WHERE {MINE} ORDER BY slot DESC, idx DESC LIMIT 100""",
+        typed=type_sql(PROGRAM)),
+)
+def live_tracker(v):
+    rows = _transactions(v).select("signature", "slot", "idx", "program_ids", "accounts", "instructions")
+    path = work_path(v.spark, "tracker")
+    feeds.live_tracker(rows, PROGRAM, path, work_path(v.spark, "tracker-state")).awaitTermination()
+    schema = rows.withColumn("instruction_type", F.lit("")).schema
+    return feeds.read_live(v.spark, path, schema).select("signature", "slot", "instruction_type")
+
+
 @query(
     "t10_live_counters",
     oracle("v_slot_messages", """

@@ -94,6 +94,23 @@ def compact_log(spark: SparkSession, log: str, schema: T.StructType, key: str, o
 # --- live statistics ----------------------------------------------------------------------------------
 
 
+def live_table(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep a streaming aggregate as a table: every micro-batch writes its full result to
+    ``version=<batch>``. The result has one row per group, however long the feed runs."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return start_batches(df, handle, checkpoint, every, "complete")
+
+
+def read_live(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The last version; earlier ones are pruned by folder."""
+    fields = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
+    versions = spark.read.schema(fields).parquet(path)
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+
+
 def live_daily(tx: DataFrame) -> DataFrame:
     """Running daily totals; use output mode ``complete`` or ``update``."""
     day = F.date_format(F.timestamp_seconds("block_time"), "yyyy-MM-dd")
