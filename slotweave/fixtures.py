@@ -169,12 +169,12 @@ def multipliers(supplier: DataFrame) -> DataFrame:
 
 
 def stake_events(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """Stake requests per supplier. ``(seq, tie)`` is unique, so it orders a supplier's rows
+    """Stake requests per supplier. ``(seq, tie, amount)`` is unique, so it orders a supplier's rows
     without a row number (and without a window over a whole supplier)."""
     rows = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("seq"),
-        F.format_string("%012d|%014d", F.col("l_partkey"), cents("l_extendedprice")).alias("tie"),
+        F.col("l_partkey").alias("tie"),
         _str("s", F.col("l_suppkey")).alias("operator"),
         _str("cust", F.col("o_custkey")).alias("staker"),
         cents("l_extendedprice").alias("amount"),
@@ -182,29 +182,24 @@ def stake_events(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 
 def _line_arrays(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Per order the arrays a transaction carries; a transaction's item list is small by nature."""
+    """Per order the arrays a transaction carries; a transaction's item list is small by nature.
+
+    The arrays are separate aggregates, so a query that uses one of them collects only that one.
+    """
     items = lineitem.join(part.select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     order = [
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ]
-    item = F.struct(*order, "p_brand", "p_size")
-    return (
-        items.groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-        .select(
-            "l_orderkey",
-            F.array_sort(F.array_distinct(F.transform("items", lambda i: _str("supp", i["l_suppkey"])))).alias("suppliers"),
-            F.array_sort(F.array_distinct(F.transform("items", lambda i: i["p_brand"]))).alias("brands"),
-            F.transform(
-                "items",
-                lambda i: F.struct(
-                    i["p_brand"].alias("program_id"),
-                    F.array(_str("supp", i["l_suppkey"])).alias("accounts"),
-                    F.concat(F.lit("0"), (i["p_size"] % 10).cast("string"), F.lit("000000")).alias("data"),
-                ),
-            ).alias("instructions"),
-        )
+    instruction = lambda i: F.struct(
+        i["p_brand"].alias("program_id"),
+        F.array(_str("supp", i["l_suppkey"])).alias("accounts"),
+        F.concat(F.lit("0"), (i["p_size"] % 10).cast("string"), F.lit("000000")).alias("data"),
+    )
+    return items.groupBy("l_orderkey").agg(
+        F.collect_set(_str("supp", F.col("l_suppkey"))).alias("suppliers"),
+        F.collect_set("p_brand").alias("brands"),
+        F.transform(F.sort_array(F.collect_list(F.struct(*order, "p_brand", "p_size"))), instruction).alias("instructions"),
     )
 
 
@@ -222,10 +217,8 @@ def transactions(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> Dat
         (F.col("o_orderpriority") == "5-LOW").alias("is_vote"),
         F.when(F.col("o_orderstatus") == "P", '{"code":1}').alias("err"),
         cents("o_totalprice").alias("fee"),
-        F.array_sort(
-            F.concat(F.array(_str("cust", F.col("o_custkey"))), F.coalesce("suppliers", none))
-        ).alias("accounts"),
-        F.coalesce("brands", none).alias("program_ids"),
+        F.sort_array(F.concat(F.array(_str("cust", F.col("o_custkey"))), F.coalesce("suppliers", none))).alias("accounts"),
+        F.sort_array(F.coalesce("brands", none)).alias("program_ids"),
         F.coalesce(
             "instructions",
             F.array().cast("array<struct<program_id:string,accounts:array<string>,data:string>>"),

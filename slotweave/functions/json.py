@@ -25,7 +25,7 @@ def node(v: Column, path: str) -> Column:
 
 def kind(v: Column, path: str = "$") -> Column:
     """Stored type name; NULL when the path is absent, ``VOID`` for a JSON null."""
-    return F.schema_of_variant(node(v, path))
+    return F.schema_of_variant(v if path == "$" else node(v, path))
 
 
 def present(v: Column, path: str) -> Column:
@@ -60,3 +60,13 @@ def u64_as_long(v: Column, path: str = "$") -> Column:
 def items(v: Column, path: str) -> Column:
     """JSON array as ARRAY<VARIANT>; NULL for anything that is not an array."""
     return F.when(kind(v, path).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
+
+
+def records(v: Column, path: str, fields: list[str]) -> Column:
+    """JSON array of objects as ARRAY<STRUCT<field: VARIANT, ...>>; NULL if it is not an array.
+
+    One typed read for the whole array; fields that are absent are NULL, and so is an element that
+    is no object.
+    """
+    typ = f"array<struct<{', '.join(f'{f}: variant' for f in fields)}>>"
+    return F.when(kind(v, path).startswith("ARRAY"), F.try_variant_get(v, path, typ))

@@ -225,54 +225,43 @@ def stake_with_cap(
     """
     if chunk < 1:
         raise ValueError("chunk must be positive")
-    at = F.struct(*order)
-    requests = events.withColumn("_at", at)
-    eligible = requests.filter(F.col("amount") >= minimum).select("operator", "_at", F.col("amount").cast("decimal(38,0)").alias("amount"))
-    totals = eligible.groupBy("operator").agg(F.sum("amount").alias("_sum"))
-    crowded = totals.filter(F.col("_sum") > cap).select("operator", F.lit(cap).cast("decimal(38,0)").alias("_room"))
-    left = cut_lineage(eligible.join(crowded, "operator").filter(F.col("amount") <= F.col("_room")))
-    rounds: list[DataFrame] = []
-    zero = F.lit(0).cast("decimal(38,0)")
+    if not 0 <= cap < 2**62:
+        raise ValueError("cap must fit a signed 64-bit number with room for one more request")
+    fits = (F.col("amount") >= minimum) & (F.col("amount") <= cap)
+    eligible = events.filter(F.col("amount") >= minimum).groupBy("operator").agg(F.sum(F.col("amount").cast("decimal(38,0)")).alias("_sum"))
+    crowded = eligible.filter(F.col("_sum") > cap).select("operator")
+    cols = list(dict.fromkeys(["operator", *order, "amount"]))
+    requests = events.filter(fits).withColumn("amount", F.col("amount").cast("bigint")).select(*cols)
+    left = cut_lineage(requests.join(crowded, "operator", "left_semi").withColumn("_room", F.lit(cap).cast("bigint")))
+    decided = T.StructType(
+        [*left.select("operator", *order).schema.fields, T.StructField("_taken", T.BooleanType()), T.StructField("_next", T.LongType())]
+    )
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        room, taken = int(pdf["_room"].iloc[0]), []
+        for amount in pdf["amount"].tolist():
+            taken.append(amount <= room)
+            room -= amount if taken[-1] else 0
+        return pdf[["operator", *order]].assign(_taken=taken, _next=room)
+
+    position, rounds = F.struct(*order), []
     while not left.isEmpty():
-        window = top_per_key(left, ["operator"], [F.col("_at").asc()], chunk, salt=16)
-        folded = window.groupBy("operator", "_room").agg(
-            F.array_sort(F.collect_list(F.struct("_at", "amount"))).alias("_items"), F.max("_at").alias("_end")
-        )
-        start = F.struct(zero.alias("used"), F.array().cast(T.ArrayType(eligible.schema["_at"].dataType)).alias("taken"))
-        state = F.aggregate(
-            "_items",
-            start,
-            lambda s, x: F.when(
-                s["used"] + x["amount"] <= F.col("_room"),
-                F.struct(
-                    (s["used"] + x["amount"]).cast("decimal(38,0)").alias("used"),
-                    F.concat(s["taken"], F.array(x["_at"])).alias("taken"),
-                ),
-            ).otherwise(s),
-        )
-        done = cut_lineage(
-            folded.select("operator", "_end", "_room", state.alias("_state")).select(
-                "operator", "_end", (F.col("_room") - F.col("_state.used")).cast("decimal(38,0)").alias("_next"), "_state.taken"
-            )
-        )
-        rounds.append(done.select("operator", F.explode("taken").alias("_at")))
-        rest = left.join(done.select("operator", "_end", "_next"), "operator")
-        left = cut_lineage(
-            rest.filter((F.col("_at") > F.col("_end")) & (F.col("amount") <= F.col("_next"))).select(
-                "operator", "_at", "amount", F.col("_next").alias("_room")
-            )
-        )
-    below = F.col("amount") < minimum
-    crowd = crowded.select("operator", F.lit(True).alias("_crowded"))
-    marked = requests.join(crowd, "operator", "left")
+        window = top_per_key(left, ["operator"], [F.col(c).asc() for c in order], chunk, salt=16)
+        done = cut_lineage(window.groupBy("operator").applyInPandas(fold, decided))
+        rounds.append(done.filter("_taken").select("operator", *order, "_taken"))
+        state = done.groupBy("operator").agg(F.max(position).alias("_end"), F.min("_next").alias("_next"))
+        rest = left.join(state, "operator").filter((position > F.col("_end")) & (F.col("amount") <= F.col("_next")))
+        left = cut_lineage(rest.select(*cols, F.col("_next").alias("_room")))
+
+    marked = events.join(crowded.withColumn("_crowded", F.lit(True)), "operator", "left")
     if rounds:
-        taken = reduce(DataFrame.unionByName, rounds).withColumn("_taken", F.lit(True))
-        marked = marked.join(taken, ["operator", "_at"], "left")
+        marked = marked.join(reduce(DataFrame.unionByName, rounds), ["operator", *order], "left")
     else:
-        marked = marked.withColumn("_taken", F.lit(None))
+        marked = marked.withColumn("_taken", F.lit(None).cast("boolean"))
     decision = (
-        F.when(below, "below minimum")
+        F.when(F.col("amount") < minimum, "below minimum")
         .when(F.col("_crowded").isNull() | F.col("_taken").isNotNull(), "accepted")
         .otherwise("over cap")
     )
-    return marked.withColumn("decision", decision).drop("_at", "_crowded", "_taken")
+    return marked.withColumn("decision", decision).drop("_crowded", "_taken")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from slotweave.functions import json as J
 from slotweave.functions.scalars import SYSTEM_ID, saturating_prev_slot
+from slotweave.schemas import INSTRUCTION
 
 NO_TEXTS = "array<string>"
+REWARDS = "array<struct<pubkey: string, lamports: bigint, post_balance: decimal(20,0), reward_type: string>>"
 
 
 def _texts(values: Column) -> Column:
@@ -133,20 +135,19 @@ def parse_transaction_full(df: DataFrame) -> DataFrame:
         "recent_blockhash": F.coalesce(J.text(v, f"{msg}.recentBlockhash"), F.lit("")),
         "accounts": F.coalesce(_texts(J.items(v, f"{msg}.accountKeys")), F.array().cast(NO_TEXTS)),
         "logs": _texts(J.items(v, "$.result.meta.logMessages")),
-        "raw_instructions": J.items(v, f"{msg}.instructions"),
+        "raw_instructions": J.records(v, f"{msg}.instructions", ["programId", "accounts", "data"]),
     }
 
     def instruction(i: Column) -> Column:
         # JSON whole numbers index the key list; anything else resolves to nothing.
-        index = F.transform(
-            F.coalesce(J.items(i, "$.accounts"), F.array().cast("array<variant>")),
-            lambda a: J.u64(a).try_cast("int"),
+        keys = F.transform(
+            F.coalesce(J.items(i["accounts"], "$"), F.array().cast("array<variant>")),
+            lambda a: F.get(F.col("accounts"), J.i64(a).try_cast("int")),
         )
-        keys = F.filter(F.transform(index, lambda n: F.get(F.col("accounts"), n)), lambda k: k.isNotNull())
         return F.struct(
-            J.text(i, "$.programId").alias("program_id"),
-            keys.alias("accounts"),
-            F.coalesce(J.text(i, "$.data"), F.lit("")).alias("data"),
+            J.text(i["programId"]).alias("program_id"),
+            F.filter(keys, lambda k: k.isNotNull()).alias("accounts"),
+            F.coalesce(J.text(i["data"]), F.lit("")).alias("data"),
         )
 
     raw = F.col("raw_instructions")
@@ -155,10 +156,11 @@ def parse_transaction_full(df: DataFrame) -> DataFrame:
         .withColumn(
             "instructions",
             F.filter(
-                F.transform(F.coalesce(raw, F.array().cast("array<variant>")), instruction),
+                F.transform("raw_instructions", instruction),
                 lambda i: i["program_id"].isNotNull(),
             ),
         )
+        .withColumn("instructions", F.coalesce("instructions", F.array().cast(f"array<{INSTRUCTION}>")))
         .withColumn(
             "program_ids",
             F.when(raw.isNull(), F.col("accounts")).otherwise(F.transform("instructions", lambda i: i["program_id"])),
@@ -188,13 +190,14 @@ def parse_block_response(df: DataFrame) -> DataFrame:
 def parse_block_full(df: DataFrame, now: int) -> DataFrame:
     """Lenient. Input ``body``; ``now`` stands in for a missing block time."""
     v = F.col("v")
+    raw = J.records(v, "$.result.rewards", ["pubkey", "lamports", "postBalance", "rewardType"])
     rewards = F.transform(
-        F.coalesce(J.items(v, "$.result.rewards"), F.array().cast("array<variant>")),
+        raw,
         lambda r: F.struct(
-            J.text(r, "$.pubkey").alias("pubkey"),
-            J.i64(r, "$.lamports").alias("lamports"),
-            J.u64(r, "$.postBalance").alias("post_balance"),
-            J.text(r, "$.rewardType").alias("reward_type"),
+            J.text(r["pubkey"]).alias("pubkey"),
+            J.i64(r["lamports"]).alias("lamports"),
+            J.u64(r["postBalance"]).alias("post_balance"),
+            J.text(r["rewardType"]).alias("reward_type"),
         ),
     )
     whole = lambda r: (
@@ -221,7 +224,7 @@ def parse_block_full(df: DataFrame, now: int) -> DataFrame:
         "block_height",
         "transaction_count",
         F.coalesce(first_fee, F.lit(SYSTEM_ID)).alias("leader"),
-        F.filter("all_rewards", whole).alias("rewards"),
+        F.coalesce(F.filter("all_rewards", whole), F.array().cast(REWARDS)).alias("rewards"),
     )
 
 

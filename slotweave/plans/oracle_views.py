@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM supplier WHERE s_suppkey % 3 = 1"""),
     "v_stake_events": ((), f"""
         SELECT l_orderkey * 100 + l_linenumber AS seq,
-               format('{{:012d}}|{{:014d}}', l_partkey, {_cents('l_extendedprice')}) AS tie,
+               l_partkey AS tie,
                's' || l_suppkey AS operator, 'cust' || o_custkey AS staker,
                {_cents('l_extendedprice')} AS amount
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),

@@ -467,10 +467,10 @@ def ledger(v):
 
 # A sequential fold: row n of an operator is decided by the total accepted up to row n - 1.
 FOLD = """
-    SELECT operator, seq, tie, n, CASE WHEN amount <= {cap} THEN amount ELSE 0 END AS total, amount <= {cap} AS taken
+    SELECT operator, seq, tie, amount, n, CASE WHEN amount <= {cap} THEN amount ELSE 0 END AS total, amount <= {cap} AS taken
     FROM r WHERE n = 1
     UNION ALL
-    SELECT r.operator, r.seq, r.tie, r.n, CASE WHEN f.total + r.amount <= {cap} THEN f.total + r.amount ELSE f.total END,
+    SELECT r.operator, r.seq, r.tie, r.amount, r.n, CASE WHEN f.total + r.amount <= {cap} THEN f.total + r.amount ELSE f.total END,
            f.total + r.amount <= {cap}
     FROM fold f JOIN r ON r.operator = f.operator AND r.n = f.n + 1"""
 
@@ -480,13 +480,13 @@ FOLD = """
     oracle("v_stake_events", f"""
         SELECT e.seq, e.tie, e.operator, e.staker, e.amount,
                CASE WHEN e.amount < {STAKE_MIN} THEN 'below minimum' WHEN f.taken THEN 'accepted' ELSE 'over cap' END AS decision
-        FROM v_stake_events e LEFT JOIN fold f ON e.operator = f.operator AND e.seq = f.seq AND e.tie = f.tie""",
-        r=f"""SELECT operator, seq, tie, amount, row_number() OVER (PARTITION BY operator ORDER BY seq, tie) AS n
+        FROM v_stake_events e LEFT JOIN fold f ON e.operator = f.operator AND e.seq = f.seq AND e.tie = f.tie AND e.amount = f.amount""",
+        r=f"""SELECT operator, seq, tie, amount, row_number() OVER (PARTITION BY operator ORDER BY seq, tie, amount) AS n
               FROM v_stake_events WHERE amount >= {STAKE_MIN}""",
         fold=FOLD.format(cap=STAKE_CAP)).replace("WITH", "WITH RECURSIVE", 1),
 )
 def stake_cap(v):
-    return O.stake_with_cap(v.stake_events, STAKE_MIN, STAKE_CAP, order=["seq", "tie"])
+    return O.stake_with_cap(v.stake_events, STAKE_MIN, STAKE_CAP, order=["seq", "tie", "amount"])
 
 
 @query(

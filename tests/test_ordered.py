@@ -152,10 +152,10 @@ def test_stake_with_cap_on_derived_table(views):
     from slotweave.plans.relational import STAKE_CAP, STAKE_MIN
 
     data = views.stake_events.collect()
-    want = stake_fold([(r.operator, (r.seq, r.tie, r.operator), r.amount) for r in data], STAKE_MIN, STAKE_CAP)
-    got = O.stake_with_cap(views.stake_events, STAKE_MIN, STAKE_CAP, order=["seq", "tie"]).collect()
+    want = stake_fold([(r.operator, (r.seq, r.tie, r.amount, r.operator), r.amount) for r in data], STAKE_MIN, STAKE_CAP)
+    got = O.stake_with_cap(views.stake_events, STAKE_MIN, STAKE_CAP, order=["seq", "tie", "amount"]).collect()
     assert len(got) == len(want)
-    assert {(r.seq, r.tie, r.operator): r.decision for r in got} == want
+    assert {(r.seq, r.tie, r.amount, r.operator): r.decision for r in got} == want
     assert {r.decision for r in got} == {"accepted", "below minimum", "over cap"}
 
 
