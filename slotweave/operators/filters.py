@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from slotweave.functions.scalars import is_recent, slot_status_valid
 
 LONG_LIST = 1000  # beyond this a key list becomes a table and a join, not an IN list
+BROADCAST_BYTES = 32 << 20  # key lists up to this size are broadcast, longer ones are shuffled
 
 
 def _flag_join(df: DataFrame, column: str, keys: list[str], flag: str) -> DataFrame:
-    lookup = df.sparkSession.createDataFrame([(k,) for k in sorted(set(keys))], f"{flag}_key string")
+    distinct = sorted(set(keys))
+    lookup = df.sparkSession.createDataFrame([(k,) for k in distinct], f"{flag}_key string")
+    if sum(len(k.encode()) + 16 for k in distinct) <= BROADCAST_BYTES:
+        lookup = F.broadcast(lookup)
     joined = df.join(lookup, F.col(column) == F.col(f"{flag}_key"), "left")
     return joined.withColumn(flag, F.col(f"{flag}_key").isNotNull()).drop(f"{flag}_key")
 

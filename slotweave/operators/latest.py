@@ -7,15 +7,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _extreme(df: DataFrame, keys: list[str], pick, order: Column) -> DataFrame:
+    """One row per key. Keys come from the grouping, so a filter on a key is pushed below it."""
+    rest = F.struct(*[c for c in df.columns if c not in keys])
+    picked = df.groupBy(*keys).agg(pick(rest, order).alias("_row"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+
+
 def latest_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The row with the greatest ``order`` per key; end ``order`` with something unique."""
-    whole = F.struct(*df.columns)
-    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(whole, order).alias("_row")).select("_row.*")
+    return _extreme(df, keys, F.max_by, order)
 
 
 def earliest_by(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    whole = F.struct(*df.columns)
-    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min_by(whole, order).alias("_row")).select("_row.*")
+    return _extreme(df, keys, F.min_by, order)
 
 
 def upsert_accounts(base: DataFrame | None, updates: DataFrame, tie: str = "write_version") -> DataFrame:

@@ -44,21 +44,23 @@ def running(
 
     ``before=True`` leaves the current row out (NULL, or 0 for counts, on the first row).
     """
-    rows = df.withColumn("_bucket", bucket)
-    group = [*keys, "_bucket"]
-    frame = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-
-    totals = rows.groupBy(*group).agg(*[FOLDS[how](v).alias(n) for n, (how, v) in folds.items()])
+    # One struct names the range. It is the key of the row window and of the join alike, so the rows
+    # are shuffled and sorted once; and structs with NULL fields still match each other.
+    parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    rows = df.withColumn("_range", F.struct(*parts, bucket.alias("bucket")))
+    frame = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    earlier = W.partitionBy(*[F.col(f"_range.k{i}") for i in range(len(keys))]).orderBy("_range.bucket")
+    earlier = earlier.rowsBetween(W.unboundedPreceding, -1)
+
+    totals = rows.groupBy("_range").agg(*[FOLDS[how](v).alias(n) for n, (how, v) in folds.items()])
     starts = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(group)],
+        "_range",
         *[(F.sum if how == "count" else FOLDS[how])(n).over(earlier).alias(f"_start_{n}") for n, (how, _) in folds.items()],
     )
     local = rows.withColumns({n: FOLDS[how](v).over(frame) for n, (how, v) in folds.items()})
-    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(group)]
-    joined = local.join(starts, match, "left")
+    joined = local.join(starts, "_range", "left")
     out = joined.withColumns({n: _combine(how, F.col(n), F.col(f"_start_{n}")) for n, (how, _) in folds.items()})
-    return out.drop("_bucket", *[f"_k{i}" for i in range(len(group))], *[f"_start_{n}" for n in folds])
+    return out.drop("_range", *[f"_start_{n}" for n in folds])
 
 
 # --- running jobs -------------------------------------------------------------------------------

@@ -69,7 +69,15 @@ def operator_rewards(scores: DataFrame, multipliers: DataFrame, base_rate: float
 
 
 def epoch_rewards(scores: DataFrame, multipliers: DataFrame, base_rate: float = 0.10) -> DataFrame:
-    return operator_rewards(scores, multipliers, base_rate).groupBy("epoch", "operator").agg(F.sum("reward").alias("reward"))
+    """Total per epoch and operator.
+
+    The rows come out of a join on ``operator``. Grouping by one struct keeps Spark from reusing that
+    partitioning for the sums, which would leave a hot operator in one task: partial sums run
+    inside the join tasks, AQE may split those, and only the partial sums are shuffled.
+    """
+    rewards = operator_rewards(scores, multipliers, base_rate)
+    totals = rewards.groupBy(F.struct("epoch", "operator").alias("_key")).agg(F.sum("reward").alias("reward"))
+    return totals.select("_key.*", "reward")
 
 
 def distribute_rewards(current: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -86,19 +86,15 @@ def pipeline_counters(events: DataFrame, kind: str = "kind") -> DataFrame:
 
 def block_summary(entries: DataFrame, rewards: DataFrame) -> DataFrame:
     """Per slot: entries, executed transactions, reward total and leader (key of the first fee reward
-    by ``idx``)."""
-    e = entries.select(
-        "slot", F.lit(1).alias("entry"), F.col("executed_transaction_count").alias("executed"),
-        F.lit(None).cast("bigint").alias("reward"), F.lit(None).cast("string").alias("leader"), F.lit(None).cast("bigint").alias("idx"),
-    )
-    fee = F.col("reward_type") == "fee"
-    r = rewards.select(
-        "slot", F.lit(0).alias("entry"), F.lit(None).cast("bigint").alias("executed"), F.col("lamports").alias("reward"),
-        F.when(fee, F.col("pubkey")).alias("leader"), F.when(fee, F.col("idx")).alias("idx"),
-    )
-    return e.unionByName(r).groupBy("slot").agg(
-        F.sum("entry").alias("entry_count"),
-        F.coalesce(F.sum("executed"), F.lit(0)).alias("executed_tx"),
-        F.coalesce(F.sum("reward"), F.lit(0)).alias("rewards"),
-        F.min_by("leader", "idx").alias("leader"),
+    by ``idx``). The many entries are summed by hash; both sides meet as one row per slot."""
+    e = entries.groupBy("slot").agg(F.count("*").alias("entry_count"), F.sum("executed_transaction_count").alias("executed_tx"))
+    fee_idx = F.when(F.col("reward_type") == "fee", F.col("idx"))
+    r = rewards.groupBy("slot").agg(F.sum("lamports").alias("rewards"), F.min_by("pubkey", fee_idx).alias("leader"))
+    zero = F.lit(0)
+    return e.join(r, "slot", "full").select(
+        "slot",
+        F.coalesce("entry_count", zero).alias("entry_count"),
+        F.coalesce("executed_tx", zero).alias("executed_tx"),
+        F.coalesce("rewards", zero).alias("rewards"),
+        "leader",
     )
