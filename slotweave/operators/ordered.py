@@ -111,20 +111,20 @@ def delegation_ledger(ops: DataFrame, bucket: Column | None = None) -> tuple[Dat
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, salt: int = 1) -> DataFrame:
     """The first ``n`` rows of every key, with their rank as ``rn``.
 
-    For small ``n`` Spark cuts each key to ``n`` rows before the shuffle. With ``salt`` > 1 the rows
-    of a key are first cut in ``salt`` parts, so that a hot key and a large ``n`` spread over many
-    tasks; the second cut sees at most ``salt * n`` rows per key. Both cuts are exact.
+    Up to an ``n`` of 1000 Spark cuts each key to ``n`` rows in every input task, before the shuffle.
+    What is left of a hot key still grows with the number of input tasks; with ``salt`` > 1 it is
+    first merged in ``salt`` groups of input tasks, so the last cut sees at most ``salt * n`` rows per
+    key. Any assignment to groups gives the same result.
     """
     rows = df
     if salt > 1:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(salt))
-        part = W.partitionBy(*keys, "_salt").orderBy(*order)
-        rows = df.withColumn("_salt", spread).withColumn("_rn", F.row_number().over(part))
-        rows = rows.filter(F.col("_rn") <= n).drop("_salt", "_rn")
+        part = W.partitionBy(*keys, "_part").orderBy(*order)
+        rows = df.withColumn("_part", F.spark_partition_id() % salt).withColumn("_rn", F.row_number().over(part))
+        rows = rows.filter(F.col("_rn") <= n).drop("_part", "_rn")
     return rows.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("rn") <= n)
 
 
-def recent_per_key(df: DataFrame, keys: list[str], order: str = "seq", n: int = 1000, salt: int = 16) -> DataFrame:
+def recent_per_key(df: DataFrame, keys: list[str], order: str = "seq", n: int = 1000, salt: int = 64) -> DataFrame:
     """The last ``n`` rows per key, newest first."""
     return top_per_key(df, keys, [F.col(order).desc()], n, salt)
 
@@ -212,7 +212,7 @@ def distribution_gate(df: DataFrame, keys: list[str], time: str, seq: str, inter
 
 
 def stake_with_cap(
-    events: DataFrame, minimum: int, cap: int = 1_000_000_000_000, order: list[str] = ["seq"], chunk: int = 4096
+    events: DataFrame, minimum: int, cap: int = 1_000_000_000_000, order: list[str] = ["seq"], chunk: int = 1000
 ) -> DataFrame:
     """Adds ``decision``: accepted / below minimum / over cap, deciding per operator in order.
 
@@ -221,9 +221,10 @@ def stake_with_cap(
 
     An operator whose eligible requests fit under the cap needs no order at all. For the others
     only requests that still fit can change anything, so each round takes the next ``chunk`` requests
-    that fit the room left (a bounded group, found by a salted top-n), folds them, and drops
-    the requests that no longer fit. Room only shrinks, so after a round a request either was decided, or is
-    smaller than everything refused so far; few rounds are needed, and the last one ends the loop.
+    that fit the room left (a bounded group, found by a two-step top-n), folds them, and drops the
+    requests that no longer fit. Room only shrinks, so what is left after a round is smaller than
+    everything refused so far. At most ``cap / minimum`` requests of an operator can be accepted. The
+    rounds hand over through tables in the shared folder.
     """
     if chunk < 1:
         raise ValueError("chunk must be positive")
@@ -249,7 +250,7 @@ def stake_with_cap(
 
     position, rounds = F.struct(*order), []
     while not left.isEmpty():
-        window = top_per_key(left, ["operator"], [F.col(c).asc() for c in order], chunk, salt=16)
+        window = top_per_key(left, ["operator"], [F.col(c).asc() for c in order], chunk, salt=64)
         done = cut_lineage(window.groupBy("operator").applyInPandas(fold, decided))
         rounds.append(done.filter("_taken").select("operator", *order, "_taken"))
         state = done.groupBy("operator").agg(F.max(position).alias("_end"), F.min("_next").alias("_next"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slotweave.functions.scalars import instruction_type
@@ -54,9 +55,8 @@ def page(
 
 def tracker_view(tx: DataFrame, program: str, keep: int = 100, show: int = 20, order: list[str] = ["slot", "idx"]) -> DataFrame:
     """The newest ``keep`` transactions of a program with their type; ``shown`` marks the newest ``show``."""
-    mine = tx.filter(F.array_contains("program_ids", program) | F.array_contains("accounts", program))
     desc = [F.col(c).desc() for c in order]
+    mine = tx.filter(F.array_contains("program_ids", program) | F.array_contains("accounts", program))
     kept = mine.orderBy(*desc).limit(keep)
-    shown = mine.select("signature", *order).orderBy(*desc).limit(show).select("signature", F.lit(True).alias("_shown"))
-    typed = kept.withColumn("instruction_type", instruction_type("instructions", program))
-    return typed.join(shown, "signature", "left").withColumn("shown", F.col("_shown").isNotNull()).drop("_shown")
+    rank = F.row_number().over(W.orderBy(*desc))  # over the ``keep`` rows only
+    return kept.withColumns({"instruction_type": instruction_type("instructions", program), "shown": rank <= show})
