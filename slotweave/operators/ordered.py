@@ -143,18 +143,21 @@ def _chain(times, interval: float, start: float | None) -> list[float]:
     return kept
 
 
-def distribution_gate(df: DataFrame, keys: list[str], time: str, seq: str, interval: int, blocks: int = 64) -> DataFrame:
+def distribution_gate(
+    df: DataFrame, keys: list[str], time: str, seq: str, interval: int, block_seconds: int = 1_000_000
+) -> DataFrame:
     """Keeps a tick only if it is at least ``interval`` seconds after the last *kept* tick.
 
     Of several ticks in one second only the first can be kept, so seconds are what is folded. Time
-    is cut into blocks of ``blocks`` intervals. A block is a function from the last tick kept
+    is cut into blocks of about ``block_seconds`` (one interval at least), which bounds the ticks of a
+    block. A block is a function from the last tick kept
     before it to the last one kept in it, and that function only has a few steps: greedy chains
     from different entry points soon meet. All blocks are reduced to their steps in parallel, the
     steps of a key are chained, and all blocks then emit their ticks in parallel.
     """
     if interval <= 0:
         return df
-    width = interval * blocks
+    width = interval * max(1, block_seconds // interval)
     first = df.groupBy(*keys, time).agg(F.min(seq).alias("_seq")).withColumn("_block", F.floor(F.col(time) / width))
     key_fields = [first.schema[k] for k in keys]
     group = [*keys, "_block"]

@@ -89,8 +89,8 @@ def test_recent_per_key(spark, salt, n):
     assert rows(got, "key", "seq", "rn") == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("seed,interval,blocks", [(5, 10, 1), (6, 10, 4), (7, 60, 2), (8, 1, 3), (9, 500, 64)])
-def test_distribution_gate(spark, seed, interval, blocks):
+@pytest.mark.parametrize("seed,interval,width", [(5, 10, 1), (6, 10, 45), (7, 60, 120), (8, 1, 30), (9, 500, 1_000_000)])
+def test_distribution_gate(spark, seed, interval, width):
     rnd = random.Random(seed)
     data = [("hot" if rnd.random() < 0.6 else "cold", rnd.randrange(0, 3000), i) for i in range(900)]
     df = spark.createDataFrame(data, "key string, t bigint, seq bigint").repartition(5)
@@ -101,7 +101,7 @@ def test_distribution_gate(spark, seed, interval, blocks):
             if k not in last or t - last[k] >= interval:
                 last[k] = t
                 want.append((seq,))
-        assert rows(O.distribution_gate(df, keys, "t", "seq", interval, blocks), "seq") == sorted(want, key=repr)
+        assert rows(O.distribution_gate(df, keys, "t", "seq", interval, width), "seq") == sorted(want, key=repr)
 
 
 def test_distribution_gate_without_interval_keeps_all(spark):
