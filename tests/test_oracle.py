@@ -6,7 +6,8 @@ import __spark_entry__ as entry_points
 from tests.conftest import SF
 from tools.check_oracle import compare, connect
 
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {n: q for n, q in entry_points.queries().items() if n not in entry_points.LLM_QUERIES}
+SQL = {n: q for n, q in entry_points.oracle_sql().items() if n in QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,7 @@ import __spark_entry__ as entry_points
 from slotweave.operators import filters, latest, lookups, ordered, staking, stats, topk
 from tests.conftest import SF
 
-BATCH = sorted(n for n in entry_points.queries() if not n.endswith(("_stream", "_watermark")) and not n.startswith(("t2", "t5", "t8", "t9_live", "t10")))
+BATCH = sorted(n for n in entry_points.queries() if n not in entry_points.LLM_QUERIES and not n.endswith(("_stream", "_watermark")) and not n.startswith(("t2", "t5", "t8", "t9_live", "t10")))
 
 
 def plan(df):
