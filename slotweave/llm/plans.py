@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from slotweave.llm.decontam import find_contamination
+from slotweave.llm.merkle import compare_edits
+from slotweave.llm.mixing import soft_mixing
+from slotweave.llm.quality import quality_scores
 from slotweave.llm.simhash import simhash_near_duplicates
 from slotweave.llm.substring import substring_dedup
 from slotweave.llm.suffix_dedup import suffix_dedup
+from slotweave.llm.tokens import section_tokens
+from slotweave.llm.urls import url_verdicts
+from slotweave.llm.warc import round_trip
 from slotweave.session import prepare
 
 QUERIES, ORACLES = {}, {}
@@ -32,4 +40,77 @@ def op9(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_substring_dedup", "documents")
 def op10(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(docs, window=50, keep_text=False)
+    return substring_dedup(docs, window=50)
+
+
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Shares of all tokens that the mix aims at.
+TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """Labelled domains: toxic documents, others of low quality, the rest."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good").alias("domain"))
+
+
+@query("op2_soft_mixing", "documents")
+def op2(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mixing(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
+
+
+@query("op3_warc_chunks", "pages")
+def op3(pages: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(pages)
+
+
+@query("op4_section_tokens", "documents")
+def op4(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(docs, VOCABULARY, rule="majority")
+
+
+@query("op5_benchmark_decontamination", "documents")
+def op5(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op6_url_filter", "pages")
+def op6(pages: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+@query("op7_merkle_fingerprints", "documents")
+def op7(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(docs)
+
+
+@query("op8_quality_discriminant", "documents")
+def op8(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+ORACLES["op6_url_filter"] = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fits AS (
+  SELECT page_id, host, path, rule_host || rule_path AS rule, verdict, length(rule_host) + length(rule_path) AS size, length(rule_host) AS host_size
+  FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY size DESC NULLS LAST, host_size DESC) = 1
+"""
+
+ORACLES["op3_warc_chunks"] = """
+WITH slim AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, coalesce(strlen(html), 0) AS bytes FROM pages),
+newest AS (SELECT digest, max(page_id) AS last FROM slim WHERE bytes >= 1000 GROUP BY digest)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+       CASE WHEN bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM slim LEFT JOIN newest USING (digest)
+"""

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotweave.llm.common import row_hash
 from slotweave.session import cut_lineage
 
 #: Words of a fingerprint whose bits are counted, and the fingerprints of one block.
@@ -41,14 +42,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """doc_id and fp (64 bits as a signed number) of every row."""
+    """doc_id, rid and fp (64 bits as a signed number) of every row."""
 
     def made(batches):
         for batch in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(fp.view(np.int64))], names=["doc_id", "rid", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(made, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash().alias("rid"), "text").mapInArrow(made, "doc_id bigint, rid bigint, fp bigint")
 
 
 def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,6 +138,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def grouped(docs: DataFrame, shingle: int, radius: int, seed: int) -> DataFrame:
+    """doc_id, rid, fp and component_id of every row."""
+    made = cut_lineage(fingerprints(docs, shingle, seed))
+    different = cut_lineage(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(different, radius))
+    rooted = different.join(roots, different["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = cut_lineage(rooted)
+    lowest = rooted.groupBy(F.struct("root").alias("k")).agg(F.min("least").alias("component_id")).select("k.root", "component_id")
+    return made.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp")
+
+
 def simhash_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -145,11 +157,17 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3,
     Null, empty or white text: fingerprint zero, linked like any other. A null doc_id is never the smallest one; a component
     without other ids has a null component_id. Repeated rows: each is returned. Empty table: no rows. Other columns are not read.
     """
-    made = cut_lineage(fingerprints(docs, shingle, seed))
-    different = cut_lineage(made.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(different, radius))
-    rooted = different.join(roots, different["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut_lineage(rooted)
-    lowest = rooted.groupBy(F.struct("root").alias("k")).agg(F.min("least").alias("component_id")).select("k.root", "component_id")
-    of_fp = rooted.join(lowest, "root").select("fp", "component_id")
-    return made.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, shingle, radius, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each component: that of its smallest doc_id.
+
+    Of rows that repeat id and text one stays. Components whose ids are all null stay whole, but for repeated texts.
+    """
+    stay = grouped(docs, shingle, radius, seed).filter("doc_id = component_id or component_id is null").select("doc_id", "rid").distinct()
+    rid = "_rid"
+    own = docs.withColumn(rid, row_hash()).alias("d")
+    both = own.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{rid}") == F.col("s.rid")), "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", rid).orderBy(rid))
+    return both.withColumn("_again", again).filter("_again = 1").select(*docs.columns)

@@ -104,7 +104,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, first: int = 13) -> Data
     """Rows doc_id, rid, spans: word intervals [lo, hi) covered by windows that start in a document with a smaller doc_id."""
     known = docs.filter("doc_id is not null")
     listed = cut_lineage(_listed(known, window, first))
-    often = listed.groupBy("key").agg(F.min("doc_id").alias("key_doc"), F.max("doc_id").alias("last")).filter("key_doc < last").drop("last")
+    often = listed.groupBy(F.struct("key").alias("k")).agg(F.min("doc_id").alias("key_doc"), F.max("doc_id").alias("last")).filter("key_doc < last").select("k.key", "key_doc")
     held = cut_lineage(listed.join(often, "key"))
     content = held.groupBy(*CONTENT, "key_doc").agg(F.min(F.struct("doc_id", "rid", "start", "run", "off")).alias("first"))
     content = cut_lineage(content.select(*CONTENT, "key_doc", "first.*"))
@@ -115,10 +115,10 @@ def repeated_windows(docs: DataFrame, window: int = 50, first: int = 13) -> Data
     candidates = cut_lineage(_extended(known, content.join(open_, "key"), window, between))
     for k in range(len(between)):
         common = F.col("common")[k]
-        again = candidates.groupBy("key", common.alias("c")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("key", "c")
+        again = candidates.groupBy(F.struct("key", common.alias("c")).alias("k")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("k.*")
         candidates = candidates.withColumn("c", common).join(again, ["key", "c"]).drop("c")
     each = candidates.select(*CONTENT, "doc_id", F.posexplode("hashes").alias("at", "hash"), "lo")
-    earliest = each.groupBy("key", "hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").drop("last")
+    earliest = each.groupBy(F.struct("key", "hash").alias("k")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("k.*", "least")
     found = each.join(earliest, ["key", "hash"]).filter("doc_id > least").select(*CONTENT, (F.col("lo") + F.col("at")).alias("lo")).distinct()
     found = found.groupBy(*CONTENT).agg(F.collect_list("lo").alias("starts"))
     of_content = content.select(*CONTENT, F.col("doc_id").alias("least")).join(found, CONTENT, "left")
@@ -128,35 +128,65 @@ def repeated_windows(docs: DataFrame, window: int = 50, first: int = 13) -> Data
     return spans.filter("spans is not null").groupBy("doc_id", "rid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, first: int = 13, keep_text: bool = True) -> DataFrame:
-    """Cut every word covered by ``window`` consecutive words that also start in a document with a smaller doc_id.
+def _kept(text: str | None, spans) -> tuple[int, list[bytes]]:
+    """Number of words, and the words outside ``spans``."""
+    tokens = (text or "").encode().split()
+    n = len(tokens)
+    if spans:
+        lo, hi = merged(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]))
+        tokens = [t for a, b in zip([0, *hi.tolist()], [*lo.tolist(), n]) for t in tokens[a:b]]
+    return n, tokens
 
-    Returns doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, ``kept``: the remaining words joined by one space.
+
+def substring_dedup(docs: DataFrame, window: int = 50, first: int = 13) -> DataFrame:
+    """What stays when every word covered by ``window`` consecutive words that also start in a document with a smaller doc_id is cut.
+
+    Returns doc_id, n_words, n_removed and kept_sha256 (of the remaining words, joined by one space) of every row of ``docs``
+    (doc_id, text); ``passages_cut`` returns the texts.
 
     Null or empty text: no words. Texts under ``window`` words: whole. A null doc_id is neither smaller nor larger than another one: the
     row is kept whole and is no source. Rows that repeat a doc_id don't remove from one another. Empty table: no rows.
     Other columns are not read.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash().alias("rid"), "text")
-    spans = repeated_windows(slim, window, first)
-    both = slim.join(spans, ["doc_id", "rid"], "left")
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
+    both = slim.join(repeated_windows(slim, window, first), ["doc_id", "rid"], "left")
 
     def cut(batches):
         for batch in batches:
-            out = []
+            n, removed, digests = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                tokens = (text or "").encode().split()
-                n = len(tokens)
+                count, tokens = _kept(text, spans)
+                n.append(count)
+                removed.append(count - len(tokens))
+                digests.append(hashlib.sha256(b" ".join(tokens)).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return both.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+def passages_cut(docs: DataFrame, window: int = 50, first: int = 13) -> DataFrame:
+    """The rows of ``docs``, all columns, with repeated passages cut from ``text``; a column ``n_chars`` follows it.
+
+    A text without any stays as it is; a cut one has its remaining words joined by one space. A row of which no word is left goes.
+    """
+    rid = "_rid"
+    own = docs.withColumn(rid, row_hash())
+    slim = own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(rid).alias("rid"), "text")
+    spans = repeated_windows(slim, window, first).select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_row"), "spans")
+    both = own.join(spans, (own["doc_id"] == spans["_doc"]) & (own[rid] == spans["_row"]), "left").withColumnRenamed("spans", "_spans")
+    both = both.select(*docs.columns, "_spans")
+    types = dict(docs.dtypes)
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, spans in enumerate(batch.column("_spans").to_pylist()):
                 if spans:
-                    lo, hi = merged(np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans]))
-                    tokens = [t for a, b in zip([0, *hi.tolist()], [*lo.tolist(), n]) for t in tokens[a:b]]
-                kept = b" ".join(tokens)
-                out.append((n, n - len(tokens), hashlib.sha256(kept).hexdigest(), kept))
-            columns = [pa.array([r[k] for r in out], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns] + [pa.array([r[3].decode() for r in out], pa.string())] * keep_text,
-                names=[c.split()[0] for c in schema.split(", ")],
-            )
-
-    return both.select("doc_id", "text", "spans").mapInArrow(cut, schema)
+                    texts[i] = b" ".join(_kept(texts[i], spans)[1]).decode()
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs_columns]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([s is not None for s in batch.column("_spans").to_pylist()])], names=[*docs_columns, "_cut"])
+
+    docs_columns = docs.columns
+    out = both.mapInArrow(cut, ", ".join([*(f"`{c}` {types[c]}" for c in docs_columns), "_cut boolean"])).filter("not _cut or text <> ''").drop("_cut")
+    return out.withColumn("n_chars", F.length("text").cast(types["n_chars"])) if "n_chars" in types else out

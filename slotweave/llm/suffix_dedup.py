@@ -137,13 +137,13 @@ def _by_window(bodies: DataFrame, length: int) -> DataFrame:
     return every.join(again, ["w1", "w2"]).select(*CONTENT, "lo", F.col("lo").alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 21) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 20) -> DataFrame:
     """Rows doc_id, rid, spans: byte intervals [lo, hi) covered by windows that occur elsewhere; texts without any are left out.
 
     ``docs`` has doc_id, rid and text. A row's identity is (doc_id, rid); rows that repeat both are equal and get equal spans.
     """
     listed = cut_lineage(segments(docs, length, gram))
-    often = listed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    often = listed.groupBy(F.struct("key").alias("k")).agg(F.count("*").alias("n")).filter("n > 1").select("k.key")
     held = cut_lineage(listed.join(often, "key"))
     content = held.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start", "run")).alias("first"))
     content = cut_lineage(content.select(*CONTENT, "copies", "first.*"))
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 96, shard_byt
     return spans.groupBy("doc_id", "rid").agg(F.collect_set("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 21, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 20, keep_text: bool = True) -> DataFrame:
     """Cut every byte covered by a ``length``-byte string that also starts elsewhere in ``docs`` (doc_id, text).
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the remaining bytes ``kept``.
