@@ -29,7 +29,13 @@ def kind(v: Column, path: str = "$") -> Column:
 
 
 def present(v: Column, path: str) -> Column:
-    return kind(v, path).isNotNull()
+    """Whether the path is there, be it a JSON null; nothing below it is looked at."""
+    return node(v, path).isNotNull()
+
+
+def is_null(v: Column, path: str) -> Column:
+    """Whether a JSON null stands there; NULL when the path is absent."""
+    return F.when(node(v, path).isNotNull(), F.is_variant_null(node(v, path)))
 
 
 def text(v: Column, path: str = "$") -> Column:
@@ -59,7 +65,7 @@ def u64_as_long(v: Column, path: str = "$") -> Column:
 
 def items(v: Column, path: str) -> Column:
     """JSON array as ARRAY<VARIANT>; NULL for anything that is not an array."""
-    return F.when(kind(v, path).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def records(v: Column, path: str, fields: list[str]) -> Column:
@@ -69,4 +75,4 @@ def records(v: Column, path: str, fields: list[str]) -> Column:
     is no object.
     """
     typ = f"array<struct<{', '.join(f'{f}: variant' for f in fields)}>>"
-    return F.when(kind(v, path).startswith("ARRAY"), F.try_variant_get(v, path, typ))
+    return F.try_variant_get(v, path, typ)

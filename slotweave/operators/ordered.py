@@ -1,25 +1,28 @@
 """Order-dependent jobs that stay parallel when one key holds a large part of all rows.
 
 A window over a whole key would sort that key in one task. ``running`` splits every key into
-contiguous ranges (``bucket``, any expression that grows with the order): totals per range are
-combined map-side, a window over the few range totals gives what each range starts from, and the
-row-level window only spans one range.
+contiguous ranges (``bucket``, any whole number that grows with the order): totals per range are
+combined map-side, and the row-level window only spans one range. What a range starts from is
+found by the same method over ranges of ranges, so no task sees more than ``FAN`` range totals, or
+the totals of as many wide ranges as one key has.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotweave.session import cut_lineage
+from slotweave.session import cut_lineage, drop_folder, hand_over
 
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 SEQ_WIDTH = 1_000_000  # rows per range when the order is an arrival number
+FAN = 1000  # ranges of one wide range
 
 
 def seq_bucket(column: str = "seq", width: int = SEQ_WIDTH) -> Column:
@@ -32,6 +35,20 @@ def _combine(how: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if how == "max" else F.least(a, b)
 
 
+def _range_starts(totals: DataFrame, keys: int, folds: dict[str, str]) -> DataFrame:
+    """For every ``_range`` the folds over the earlier ranges of its key, as ``_start_`` columns."""
+    key = [F.col(f"_range.k{i}").alias(f"k{i}") for i in range(keys)]
+    wide = F.struct(*key, F.floor(F.col("_range.bucket") / FAN).alias("bucket"))
+    ranges = totals.withColumn("_wide", wide)
+    within = W.partitionBy("_wide").orderBy("_range.bucket").rowsBetween(W.unboundedPreceding, -1)
+    across = W.partitionBy(*[F.col(f"_wide.k{i}") for i in range(keys)]).orderBy("_wide.bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranges.groupBy("_wide").agg(*[FOLDS[how](n).alias(n) for n, how in folds.items()])
+    before = sums.select("_wide", *[FOLDS[how](n).over(across).alias(f"_before_{n}") for n, how in folds.items()])
+    local = ranges.select("_wide", "_range", *[FOLDS[how](n).over(within).alias(n) for n, how in folds.items()])
+    joined = local.join(before, "_wide", "left")
+    return joined.select("_range", *[_combine(how, F.col(n), F.col(f"_before_{n}")).alias(f"_start_{n}") for n, how in folds.items()])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -49,14 +66,8 @@ def running(
     parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     rows = df.withColumn("_range", F.struct(*parts, bucket.alias("bucket")))
     frame = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    earlier = W.partitionBy(*[F.col(f"_range.k{i}") for i in range(len(keys))]).orderBy("_range.bucket")
-    earlier = earlier.rowsBetween(W.unboundedPreceding, -1)
-
     totals = rows.groupBy("_range").agg(*[FOLDS[how](v).alias(n) for n, (how, v) in folds.items()])
-    starts = totals.select(
-        "_range",
-        *[(F.sum if how == "count" else FOLDS[how])(n).over(earlier).alias(f"_start_{n}") for n, (how, _) in folds.items()],
-    )
+    starts = _range_starts(totals, len(keys), {n: "sum" if how == "count" else how for n, (how, _) in folds.items()})
     local = rows.withColumns({n: FOLDS[how](v).over(frame) for n, (how, v) in folds.items()})
     joined = local.join(starts, "_range", "left")
     out = joined.withColumns({n: _combine(how, F.col(n), F.col(f"_start_{n}")) for n, (how, _) in folds.items()})
@@ -154,29 +165,27 @@ def distribution_gate(
     before it to the last one kept in it, and that function only has a few steps: greedy chains
     from different entry points soon meet. All blocks are reduced to their steps in parallel, the
     steps of a key are chained, and all blocks then emit their ticks in parallel.
+
+    NULL keys form a group like any other. A tick without a time is never kept.
     """
     if interval <= 0:
         return df
     width = interval * max(1, block_seconds // interval)
-    first = df.groupBy(*keys, time).agg(F.min(seq).alias("_seq")).withColumn("_block", F.floor(F.col(time) / width))
+    first = df.filter(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.min(seq).alias("_seq")).withColumn("_block", F.floor(F.col(time) / width))
     key_fields = [first.schema[k] for k in keys]
     group = [*keys, "_block"]
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = pdf[time].sort_values().to_numpy()
-        last = {}
-        for i in range(len(times) - 1, -1, -1):
-            j = times.searchsorted(times[i] + interval)
-            last[i] = times[i] if j == len(times) else last[j]
+        times = np.sort(pdf[time].to_numpy())
+        after = np.searchsorted(times, times + interval)
+        end = np.where(after == len(times), np.arange(len(times)), after)
+        while (end != end[end]).any():  # where the chain from each tick leaves the block
+            end = end[end]
         entry_end = pdf["_block"].iloc[0] * width + interval
         stop = min(int(times.searchsorted(entry_end)), len(times) - 1)
-        rows = []
-        for i in range(stop + 1):  # ticks an earlier block can lead to
-            if rows and rows[-1][1] == last[i]:
-                rows[-1] = (times[i], last[i])
-            else:
-                rows.append((times[i], last[i]))
-        out = pd.DataFrame(rows, columns=["_upto", "_exit"])
+        exits = times[end[: stop + 1]]  # of the ticks an earlier block can lead to
+        step = np.append(exits[1:] != exits[:-1], True)
+        out = pd.DataFrame({"_upto": times[: stop + 1][step], "_exit": exits[step]})
         for k in reversed(group):
             out.insert(0, k, pdf[k].iloc[0])
         return out
@@ -209,36 +218,54 @@ def distribution_gate(
         return pdf[pdf[time].isin(kept)][[*keys, time, "_seq"]]
 
     emit_schema = T.StructType([*key_fields, first.schema[time], first.schema["_seq"]])
-    kept = first.join(entry, group).groupBy(*group).applyInPandas(emit, emit_schema)
+    kept = _join_nulls(first, entry, group).groupBy(*group).applyInPandas(emit, emit_schema)
     kept = kept.withColumnRenamed("_seq", seq)
-    return df.join(kept, [*keys, time, seq], "left_semi")
+    return _join_nulls(df, kept, [*keys, time, seq], "left_semi")
+
+
+def _join_nulls(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names whose NULLs match each other; they are returned once."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    joined = left.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]), how)
+    return joined if how == "left_semi" else joined.drop(*[f"_right_{c}" for c in on])
 
 
 def stake_with_cap(
-    events: DataFrame, minimum: int, cap: int = 1_000_000_000_000, order: list[str] = ["seq"], chunk: int = 1000
+    events: DataFrame, minimum: int, cap: int = 1_000_000_000_000, order: list[str] = ["seq"], chunk: int = 1000,
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Adds ``decision``: accepted / below minimum / over cap, deciding per operator in order.
+    """Adds ``decision``: accepted / below minimum / over cap / invalid, deciding per operator in order.
 
     A request is over the cap when the operator's *accepted* total would pass it, and then does not
-    count. ``order`` must be unique within an operator.
+    count. ``order`` must be unique within an operator; ``bucket`` cuts it into ranges (default: by the first
+    column, an arrival number). A NULL operator is an operator like any other; a NULL amount is invalid.
 
-    An operator whose eligible requests fit under the cap needs no order at all. For the others
-    only requests that still fit can change anything, so each round takes the next ``chunk`` requests
+    An operator whose eligible requests fit under the cap needs no order at all. For the others one
+    running sum accepts everything before the first request that does not fit. After that only
+    requests that still fit can change anything, so each round takes the next ``chunk`` requests
     that fit the room left (a bounded group, found by a two-step top-n), folds them, and drops the
     requests that no longer fit. Room only shrinks, so what is left after a round is smaller than
-    everything refused so far. At most ``cap / minimum`` requests of an operator can be accepted. The
-    rounds hand over through tables in the shared folder.
+    everything refused so far. Requests for nothing always fit and take no part. The events are stored once and read
+    from there; the rounds hand over through tables in the shared folder, each deleted when the next is complete.
     """
     if chunk < 1:
         raise ValueError("chunk must be positive")
     if not 0 <= cap < 2**62:
         raise ValueError("cap must fit a signed 64-bit number with room for one more request")
-    fits = (F.col("amount") >= minimum) & (F.col("amount") <= cap)
-    eligible = events.filter(F.col("amount") >= minimum).groupBy("operator").agg(F.sum(F.col("amount").cast("decimal(38,0)")).alias("_sum"))
-    crowded = eligible.filter(F.col("_sum") > cap).select("operator")
+    events = cut_lineage(events)
+    amount = F.col("amount")
+    sums = events.filter(amount >= minimum).groupBy("operator").agg(F.sum(amount.cast("decimal(38,0)")).alias("_sum"))
+    crowded = sums.filter(F.col("_sum") > cap).select("operator")
     cols = list(dict.fromkeys(["operator", *order, "amount"]))
-    requests = events.filter(fits).withColumn("amount", F.col("amount").cast("bigint")).select(*cols)
-    left = cut_lineage(requests.join(crowded, "operator", "left_semi").withColumn("_room", F.lit(cap).cast("bigint")))
+    requests = events.filter((amount >= minimum) & (amount <= cap) & (amount > 0)).withColumn("amount", amount.cast("bigint")).select(*cols)
+    ranges = seq_bucket(order[0]) if bucket is None else bucket
+    summed = running(_join_nulls(requests, crowded, ["operator"], "left_semi"), ["operator"], order, ranges, {"_run": ("sum", amount.cast("decimal(38,0)"))})
+    summed = cut_lineage(summed)
+    first = summed.filter(F.col("_run") <= cap)
+    taken = [first.select("operator", *order)]
+    rooms = first.groupBy("operator").agg((F.lit(cap) - F.max("_run")).cast("bigint").alias("_room"))
+    rest = _join_nulls(summed.filter(F.col("_run") > cap), rooms, ["operator"], "left").withColumn("_room", F.coalesce("_room", F.lit(cap)))
+    left, path = hand_over(rest.filter(amount <= F.col("_room")).select(*cols, "_room"))
     decided = T.StructType(
         [*left.select("operator", *order).schema.fields, T.StructField("_taken", T.BooleanType()), T.StructField("_next", T.LongType())]
     )
@@ -251,23 +278,23 @@ def stake_with_cap(
             room -= amount if taken[-1] else 0
         return pdf[["operator", *order]].assign(_taken=taken, _next=room)
 
-    position, rounds = F.struct(*order), []
+    position = F.struct(*order)
     while not left.isEmpty():
         window = top_per_key(left, ["operator"], [F.col(c).asc() for c in order], chunk, salt=64)
         done = cut_lineage(window.groupBy("operator").applyInPandas(fold, decided))
-        rounds.append(done.filter("_taken").select("operator", *order, "_taken"))
+        taken.append(done.filter("_taken").select("operator", *order))
         state = done.groupBy("operator").agg(F.max(position).alias("_end"), F.min("_next").alias("_next"))
-        rest = left.join(state, "operator").filter((position > F.col("_end")) & (F.col("amount") <= F.col("_next")))
-        left = cut_lineage(rest.select(*cols, F.col("_next").alias("_room")))
-
-    marked = events.join(crowded.withColumn("_crowded", F.lit(True)), "operator", "left")
-    if rounds:
-        marked = marked.join(reduce(DataFrame.unionByName, rounds), ["operator", *order], "left")
-    else:
-        marked = marked.withColumn("_taken", F.lit(None).cast("boolean"))
+        rest = _join_nulls(left, state, ["operator"]).filter((position > F.col("_end")) & (amount <= F.col("_next")))
+        before, (left, path) = path, hand_over(rest.select(*cols, F.col("_next").alias("_room")))
+        drop_folder(events.sparkSession, before)
+    drop_folder(events.sparkSession, path)
+
+    marked = _join_nulls(events, crowded.withColumn("_crowded", F.lit(True)), ["operator"], "left")
+    marked = _join_nulls(marked, reduce(DataFrame.unionByName, taken).withColumn("_taken", F.lit(True)), ["operator", *order], "left")
     decision = (
-        F.when(F.col("amount") < minimum, "below minimum")
-        .when(F.col("_crowded").isNull() | F.col("_taken").isNotNull(), "accepted")
+        F.when(amount.isNull(), "invalid")
+        .when(amount < minimum, "below minimum")
+        .when(F.col("_crowded").isNull() | F.col("_taken").isNotNull() | (amount == 0), "accepted")
         .otherwise("over cap")
     )
     return marked.withColumn("decision", decision).drop("_crowded", "_taken")

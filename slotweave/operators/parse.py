@@ -56,7 +56,7 @@ def route_rpc(df: DataFrame) -> DataFrame:
         F.when(v.isNull(), "invalid")
         .when(J.present(v, "$.error"), "error")
         .when(~J.present(v, "$.result"), "missing_result")
-        .when(J.kind(v, "$.result") == "VOID", "not_found")
+        .when(J.is_null(v, "$.result"), "not_found")
         .otherwise("ok")
     )
     return _typed(df, [c for c in df.columns if c != "body"], {"rpc_status": status})
@@ -83,7 +83,7 @@ def parse_account(df: DataFrame) -> DataFrame:
         .when(~J.present(v, "$.result"), "missing_result")
         .when(~J.present(v, "$.result.context"), "missing_context")
         .when(~J.present(v, "$.result.value"), "missing_value")
-        .when(J.kind(v, "$.result.value") == "VOID", "not_found")
+        .when(J.is_null(v, "$.result.value"), "not_found")
         .otherwise("ok")
     )
     fields = {
@@ -103,11 +103,10 @@ def parse_account(df: DataFrame) -> DataFrame:
 def parse_transaction_response(df: DataFrame) -> DataFrame:
     """Strict summary. Input ``signature, body``. A JSON null under ``err`` means success."""
     v = F.col("v")
-    err = J.kind(v, "$.result.meta.err")
     logs = F.transform(J.items(v, "$.result.meta.logMessages"), lambda x: J.text(x))
     cols = {
         "slot": J.u64_as_long(v, "$.result.slot"),
-        "err": F.coalesce(err != "VOID", F.lit(False)),
+        "err": F.coalesce(~J.is_null(v, "$.result.meta.err"), F.lit(False)),
         "fee": J.u64(v, "$.result.meta.fee"),
         "block_time": J.i64(v, "$.result.blockTime"),
         "log_messages": F.coalesce(F.filter(logs, lambda x: x.isNotNull()), F.array().cast(NO_TEXTS)),
@@ -131,7 +130,7 @@ def parse_transaction_full(df: DataFrame) -> DataFrame:
         "slot": J.u64_as_long(v, "$.result.slot"),
         "fee": J.u64(v, "$.result.meta.fee"),
         "block_time": J.i64(v, "$.result.blockTime"),
-        "err": F.when(J.kind(v, "$.result.meta.err") != "VOID", F.to_json(err)),
+        "err": F.when(~J.is_null(v, "$.result.meta.err"), F.to_json(err)),
         "recent_blockhash": F.coalesce(J.text(v, f"{msg}.recentBlockhash"), F.lit("")),
         "accounts": F.coalesce(_texts(J.items(v, f"{msg}.accountKeys")), F.array().cast(NO_TEXTS)),
         "logs": _texts(J.items(v, "$.result.meta.logMessages")),
@@ -263,11 +262,10 @@ def parse_account_notification(df: DataFrame) -> DataFrame:
 def parse_signature_notification(df: DataFrame) -> DataFrame:
     """Strict. Fields the message does not carry (fee, block time) are NULL."""
     v = F.col("v")
-    err = J.kind(v, "$.params[1].result.value.err")
     cols = {
         "signature": J.text(v, "$.params[0]"),
         "slot": J.u64_as_long(v, "$.params[1].result.context.slot"),
-        "err": F.when(J.present(v, "$.params[1].result.value"), F.coalesce(err != "VOID", F.lit(False))),
+        "err": F.when(J.present(v, "$.params[1].result.value"), F.coalesce(~J.is_null(v, "$.params[1].result.value.err"), F.lit(False))),
     }
     return _notified(df, "transaction", cols).select(
         *cols,

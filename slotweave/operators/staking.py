@@ -56,10 +56,11 @@ def top_peers(peers: DataFrame, n: int = 6) -> DataFrame:
 def slashing(violations: DataFrame, threshold: float, bucket: Column | None = None, order: list[str] = ["ts", "seq"]) -> DataFrame:
     """Running severity per operator, and the penalty of every violation at or past the threshold.
 
-    ``bucket`` cuts time into the ranges that are summed in parallel (one hour by default).
+    ``bucket`` cuts time into the ranges that are summed in parallel (one second by default). An unknown violation has no severity.
     """
-    by_hour = F.floor(F.unix_timestamp("ts") / 3600).cast("bigint") if bucket is None else bucket
-    rows = running(violations, ["operator"], order, by_hour, {"total_severity": ("sum", severity("violation"))})
+    by_second = F.unix_timestamp("ts").cast("bigint") if bucket is None else bucket
+    known = F.coalesce(severity("violation"), F.lit(0))
+    rows = running(violations, ["operator"], order, by_second, {"total_severity": ("sum", known)})
     over = F.col("total_severity") >= F.lit(str(threshold)).cast("decimal(20,4)")
     return rows.withColumns({"slashed": over, "penalty": F.when(over, base_penalty("violation")).otherwise(F.lit(0))})
 

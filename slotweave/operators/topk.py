@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from slotweave.functions.scalars import instruction_type
 
-PAGE_DEFAULT, PAGE_MAX = 10, 100
+PAGE_DEFAULT = 10
 
 
 def recent(df: DataFrame, n: int, time: str = "updated_at", key: str = "pubkey") -> DataFrame:
@@ -24,10 +24,10 @@ def latest_block(df: DataFrame) -> DataFrame:
 
 
 def retain_latest_slots(df: DataFrame, trigger: int = 1000, keep: int = 500) -> DataFrame:
-    """All rows while there are at most ``trigger``; beyond that the ``keep`` highest slots."""
-    rows = df.agg(F.count("*").alias("n"))
+    """All rows while there are at most ``trigger`` slots; beyond that those of the ``keep`` highest slots."""
+    slots = df.agg(F.count_distinct("slot").alias("n"))
     cut = df.select("slot").distinct().orderBy(F.col("slot").desc()).limit(keep).agg(F.min("slot").alias("cut"))
-    return df.filter((rows.scalar() <= trigger) | (F.col("slot") >= cut.scalar()))
+    return df.filter((slots.scalar() <= trigger) | (F.col("slot") >= cut.scalar()))
 
 
 def sort_watchlist(df: DataFrame, field: str = "added", direction: str = "desc") -> DataFrame:
@@ -41,16 +41,17 @@ def largest_accounts(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def page(
-    df: DataFrame, key: str, limit: int | None = None, before: object = None, after: object = None
+    df: DataFrame, key: str, limit: int = PAGE_DEFAULT, before: object = None, after: object = None, max_limit: int | None = None
 ) -> DataFrame:
-    """Keyset page, newest key first; the key predicates reach the scan."""
+    """Keyset page, newest key first; the key predicates reach the scan. A ``limit`` above ``max_limit`` is an error."""
+    if max_limit is not None and limit > max_limit:
+        raise ValueError(f"at most {max_limit} rows a page")
     out = df
     if before is not None:
         out = out.filter(F.col(key) < F.lit(before))
     if after is not None:
         out = out.filter(F.col(key) > F.lit(after))
-    size = min(PAGE_DEFAULT if limit is None else limit, PAGE_MAX)
-    return out.orderBy(F.col(key).desc()).limit(size)
+    return out.orderBy(F.col(key).desc()).limit(limit)
 
 
 def tracker_view(tx: DataFrame, program: str, keep: int = 100, show: int = 20, order: list[str] = ["slot", "idx"]) -> DataFrame:

@@ -97,7 +97,7 @@ def live_daily(v):
 
 @query(
     "t9_live_mix",
-    oracle("v_transactions", "SELECT type AS name, count(*) AS value FROM typed GROUP BY type", typed=type_sql(PROGRAM)),
+    oracle("v_transactions", "SELECT type AS name, count(*) AS value FROM typed WHERE " + MINE + " GROUP BY type", typed=type_sql(PROGRAM)),
 )
 def live_mix(v):
     totals = feeds.live_mix(_transactions(v), PROGRAM)

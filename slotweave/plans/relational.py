@@ -397,7 +397,7 @@ def peers(v):
     "w4_retain_latest_slots",
     oracle("v_blocks", """
         SELECT slot, blockhash FROM v_blocks
-        WHERE (SELECT count(*) FROM v_blocks) <= 1000 OR slot >= (SELECT min(slot) FROM (SELECT slot FROM v_blocks ORDER BY slot DESC LIMIT 500))"""),
+        WHERE (SELECT count(DISTINCT slot) FROM v_blocks) <= 1000 OR slot >= (SELECT min(slot) FROM (SELECT slot FROM v_blocks ORDER BY slot DESC LIMIT 500))"""),
 )
 def retain(v):
     return topk.retain_latest_slots(v.blocks).select("slot", "blockhash")
@@ -411,7 +411,7 @@ def retain(v):
             FROM v_account_updates) WHERE seen IS NULL OR slot > seen"""),
 )
 def advancing(v):
-    return O.advancing_slots(v.account_updates, ["owner"], ["seq"], O.seq_bucket("seq", 1000)).select("seq", "owner", "slot")
+    return O.advancing_slots(v.account_updates, ["owner"], ["seq"], O.seq_bucket()).select("seq", "owner", "slot")
 
 
 @query(
@@ -422,7 +422,7 @@ def advancing(v):
             FROM v_account_updates) WHERE seen IS NULL OR slot > seen"""),
 )
 def advancing_all(v):
-    return O.advancing_slots(v.account_updates, [], ["seq"], O.seq_bucket("seq", 1000)).select("seq", "slot")
+    return O.advancing_slots(v.account_updates, [], ["seq"], O.seq_bucket()).select("seq", "slot")
 
 
 # Greedy gate, written as a walk along "first tick at least an hour later".
@@ -460,7 +460,7 @@ LEDGER = """
         FROM (SELECT *, coalesce(seg, 0) AS segment FROM l) GROUP BY operator, staker, segment""", l=LEDGER),
 )
 def ledger(v):
-    balances, removals = O.delegation_ledger(v.delegation_ops, O.seq_bucket("seq", 1000))
+    balances, removals = O.delegation_ledger(v.delegation_ops, O.seq_bucket())
     none = F.lit(None)
     return removals.unionByName(balances.withColumns({"seq": none.cast("bigint"), "error": none.cast("string")}))
 
@@ -495,7 +495,7 @@ def stake_cap(v):
         SELECT seq, owner, (row_number() OVER (PARTITION BY owner ORDER BY seq) - 1) // 100 AS batch_id FROM v_account_updates"""),
 )
 def batches(v):
-    return O.batch_ids(v.account_updates, 100, ["owner"], ["seq"], O.seq_bucket("seq", 1000)).select("seq", "owner", "batch_id")
+    return O.batch_ids(v.account_updates, 100, ["owner"], ["seq"], O.seq_bucket()).select("seq", "owner", "batch_id")
 
 
 @query(
@@ -540,7 +540,7 @@ BLOCKS_SQL = """
 
 @query("t1_assemble_blocks", oracle("v_slot_messages", BLOCKS_SQL, st=BLOCK_STATE))
 def assembled(v):
-    return assemble_blocks(v.slot_messages, O.seq_bucket("seq", 1000))
+    return assemble_blocks(v.slot_messages, O.seq_bucket())
 
 
 @query(

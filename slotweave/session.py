@@ -60,12 +60,25 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_root(spark), "slotweave", f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def hand_over(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; the table read back, and its folder.
 
     Used by the iterative jobs: the result survives the loss of executors and the plan of
     the next round starts from files instead of from all earlier rounds.
     """
     path = work_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``hand_over`` for a table that stays, as results may be read from it."""
+    return hand_over(df)[0]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that one of these jobs wrote, in whatever store it is."""
+    if f"{os.sep}slotweave{os.sep}" not in path:
+        raise ValueError(f"{path} was not written by these jobs")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from slotweave.functions.scalars import instruction_type
+from slotweave.operators.filters import relevant_to_program
 from slotweave.operators.latest import latest_by
 from slotweave.operators.topk import tracker_view
 from slotweave.session import work_path
@@ -64,9 +65,9 @@ def batch_folder(path: str, prepare: Callable[[DataFrame], DataFrame] = lambda d
 # --- duplicates -----------------------------------------------------------------------------------
 
 
-def dedup_stream(messages: DataFrame, within: str | None = "60 seconds", key: str = "message_id", time: str = "ts") -> DataFrame:
-    """First of every id. ``within`` bounds the state: an id is remembered for that long in event
-    time. ``None`` remembers ids forever."""
+def dedup_stream(messages: DataFrame, within: str | None = None, key: str = "message_id", time: str = "ts") -> DataFrame:
+    """First of every id. Ids are remembered for ever, unless ``within`` bounds the state: then an id is remembered for that long
+    in event time, and rows later than that behind the newest one are dropped by the watermark."""
     if within is None:
         return messages.dropDuplicates([key])
     return messages.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
@@ -122,7 +123,8 @@ def live_daily(tx: DataFrame) -> DataFrame:
 
 
 def live_mix(tx: DataFrame, program: str) -> DataFrame:
-    return tx.groupBy(instruction_type("instructions", program).alias("name")).agg(F.count("*").alias("value"))
+    """Transactions of a program by type."""
+    return relevant_to_program(tx, program).groupBy(instruction_type("instructions", program).alias("name")).agg(F.count("*").alias("value"))
 
 
 def live_tracker(tx: DataFrame, program: str, path: str, checkpoint: str, keep: int = 100, every: str | None = None) -> StreamingQuery:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from slotweave.functions.scalars import PENALTY, SEVERITY
+from slotweave.functions.scalars import DEFAULT_PENALTY, PENALTY, SEVERITY
 from slotweave.operators.assembly import BLOCK_COLUMNS, METADATA
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,12 +65,12 @@ class _Slash(StatefulProcessor):
         pdf = _ordered(rows, self.order)
         start = self.total.get()[0] if self.total.exists() else 0
         tenths = pdf["violation"].map({k: int(float(v) * 10) for k, v in SEVERITY.items()})
-        running = start + tenths.cumsum()
+        running = start + tenths.fillna(0).astype("int64").cumsum()
         self.total.update((int(running.iloc[-1]),))
         over = running >= self.threshold
         pdf["severity_tenths"] = running
         pdf["slashed"] = over
-        pdf["penalty"] = pdf["violation"].map(PENALTY).where(over, 0)
+        pdf["penalty"] = pdf["violation"].map(PENALTY).fillna(DEFAULT_PENALTY).astype("int64").where(over, 0)
         yield pdf[self.columns]
 
     def close(self) -> None:

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from slotweave.functions.scalars import DEFAULT_PENALTY
 from slotweave.operators import ordered as O
 from slotweave.operators.staking import slashing
 from tests.conftest import rows
@@ -109,6 +110,19 @@ def test_distribution_gate_without_interval_keeps_all(spark):
     assert O.distribution_gate(df, ["key"], "t", "seq", 0).count() == 2
 
 
+def test_distribution_gate_with_nulls(spark):
+    df = spark.createDataFrame([(None, 1, 1), (None, 5, 2), (None, 12, 3), ("a", 3, 4), ("a", None, 5)], "key string, t bigint, seq bigint")
+    assert rows(O.distribution_gate(df, ["key"], "t", "seq", 10), "seq") == [(1,), (3,), (4,)]
+
+
+def test_running_over_many_wide_ranges(spark, monkeypatch):
+    monkeypatch.setattr(O, "FAN", 3)
+    data = skewed(21, 300)
+    got = O.running(frame(spark, data), ["key"], ["seq"], O.seq_bucket("seq", 4), {"s": ("sum", F.col("amount")), "c": ("count", F.lit(1)), "m": ("max", F.col("slot"))})
+    want = [(r[1], sum(x[3] for x in g[: i + 1]), i + 1, max(x[2] for x in g[: i + 1])) for g in by_key(data).values() for i, r in enumerate(g)]
+    assert rows(got, "seq", "s", "c", "m") == sorted(want, key=repr)
+
+
 def test_delegation_ledger(spark):
     rnd = random.Random(10)
     data = [("o", "hot" if rnd.random() < 0.5 else f"s{rnd.randrange(4)}", i, rnd.choice(["add", "add", "remove"]), rnd.randrange(100)) for i in range(300)]
@@ -148,6 +162,23 @@ def test_stake_with_cap(spark, seed, cap, chunk):
     assert got == stake_fold(data, 5, cap)
 
 
+def test_stake_with_cap_with_nulls_and_zeros(spark):
+    data = [(None, 1, 60), (None, 2, 60), (None, 3, 40), ("a", 4, None), ("b", 5, 90), ("b", 6, None), ("b", 7, 20), ("b", 8, 0), ("b", 9, 10), ("b", 10, 0)]
+    df = spark.createDataFrame(data, "operator string, seq bigint, amount bigint")
+    got = {r.seq: r.decision for r in O.stake_with_cap(df, 0, 100, chunk=1).collect()}
+    over, yes = "over cap", "accepted"
+    assert got == {1: yes, 2: over, 3: yes, 4: "invalid", 5: yes, 6: "invalid", 7: over, 8: yes, 9: yes, 10: yes}
+
+
+def test_stake_rounds_do_not_grow_with_zeros(spark, monkeypatch):
+    rounds = []
+    hand_over = O.hand_over
+    monkeypatch.setattr(O, "hand_over", lambda df: rounds.append(1) or hand_over(df))
+    df = spark.createDataFrame([("a", i, 0 if i % 2 else 60) for i in range(200)], "operator string, seq bigint, amount bigint")
+    assert O.stake_with_cap(df, 0, 100, chunk=2).filter("decision = 'accepted'").count() == 101
+    assert len(rounds) == 1
+
+
 def test_stake_with_cap_on_derived_table(views):
     from slotweave.plans.relational import STAKE_CAP, STAKE_MIN
 
@@ -159,6 +190,14 @@ def test_stake_with_cap_on_derived_table(views):
     assert {r.decision for r in got} == {"accepted", "below minimum", "over cap"}
 
 
+def test_slashing_with_unknown_violations(spark):
+    data = [("a", 1, "unknown"), ("a", 2, "DoubleProposal"), ("a", 3, None)]
+    df = spark.createDataFrame(data, "operator string, seq bigint, violation string").withColumn("ts", F.timestamp_seconds("seq"))
+    got = slashing(df, 0.7)
+    assert [(s, float(t), x) for s, t, x in rows(got, "seq", "total_severity", "slashed")] == [(1, 0.0, False), (2, 0.7, True), (3, 0.7, True)]
+    assert rows(got.filter("seq = 3"), "penalty") == [(DEFAULT_PENALTY,)]
+
+
 def test_slashing(spark):
     data = [("a", 1, "MaliciousValidation"), ("a", 2, "LowUptime"), ("a", 3, "DoubleVote"), ("b", 1, "DoubleProposal")]
     df = spark.createDataFrame(data, "operator string, seq bigint, violation string").withColumn("ts", F.timestamp_seconds(F.col("seq") * 3600))

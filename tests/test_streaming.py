@@ -83,6 +83,16 @@ def test_slashing(feed, events):
     assert rows(got, *cols) == rows(want, *cols)
 
 
+def test_slashing_survives_unknown_violations(spark, tmp_path):
+    odd = [("a", 1, "DoubleProposal"), ("a", 2, "unknown"), ("a", 3, None)]
+    df = spark.createDataFrame(odd, "operator string, seq bigint, violation string").withColumn("ts", F.timestamp_seconds("seq"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = feeds.read_feed(spark, str(tmp_path / "in"), df.schema)
+    got = feeds.drain(stateful.slashing_stream(stream, 0.7), "s")
+    cols = ["seq", "slashed", "penalty", F.col("total_severity").cast("double")]
+    assert rows(got, *cols) == rows(staking.slashing(df, 0.7), *cols)
+
+
 def test_upsert_log(spark, feed, events, tmp_path):
     order = ["slot", "write_version", "seq"]
     log, state = str(tmp_path / "log"), str(tmp_path / "state")

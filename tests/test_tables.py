@@ -145,7 +145,11 @@ def test_retain_and_page(spark):
     assert topk.retain_latest_slots(slots, 30, 5).count() == 30
     assert rows(topk.retain_latest_slots(slots, 29, 5)) == [(s,) for s in range(25, 30)]
     many = spark.range(500).withColumnRenamed("id", "slot")
-    assert topk.page(many, "slot").count() == 10 and topk.page(many, "slot", 1000).count() == 100
+    assert topk.page(many, "slot").count() == 10 and topk.page(many, "slot", 1000).count() == 500
+    with pytest.raises(ValueError):
+        topk.page(many, "slot", 101, max_limit=100)
+    twice = slots.unionByName(slots)
+    assert topk.retain_latest_slots(twice, 30, 5).count() == 60 and topk.retain_latest_slots(twice, 29, 5).count() == 10
     assert [r.slot for r in topk.page(many, "slot", 3, before=9, after=2).collect()] == [8, 7, 6]
 
 
