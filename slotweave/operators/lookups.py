@@ -67,9 +67,10 @@ def orphan_mentions(mentions: DataFrame, tx: DataFrame) -> DataFrame:
 def enrich_watchlist(watch: DataFrame, accounts: DataFrame, tx: DataFrame, tokens: DataFrame) -> DataFrame:
     """Each watched entity with its data; a miss stays as a row with ``error`` set.
 
-    ``accounts`` holds one row per key, ``tokens`` one row per (owner, mint).
+    ``accounts`` holds one row per key, ``tokens`` one row per (owner, mint); only watched owners are counted.
     """
-    counts = tokens.groupBy(F.col("owner").alias("pubkey")).agg(F.count("*").alias("tokens"))
+    owners = watch.filter(F.col("type") == "token").select(F.col("pubkey").alias("owner")).distinct()
+    counts = tokens.join(owners, "owner", "left_semi").groupBy(F.col("owner").alias("pubkey")).agg(F.count("*").alias("tokens"))
     none = F.lit(None).cast("bigint")
     acc = (
         watch.filter(F.col("type") == "account")

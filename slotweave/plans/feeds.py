@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slotweave import fixtures as X
 from slotweave.operators import filters as Fi
 from slotweave.operators.lookups import fan_out_topics
+from slotweave.operators.stats import daily_stats
 from slotweave.plans.oracle_views import oracle
 from slotweave.plans.reads import LATEST, MINE, PROGRAM, type_sql
 from slotweave.plans.registry import ORACLES, query
@@ -15,9 +16,18 @@ from slotweave.session import work_path
 from slotweave.streaming import feeds, stateful
 
 
-def _events(v, files: int = 100):
-    """The event table as a file feed. The bracket makes the path a glob, which may name a file."""
-    return feeds.read_feed(v.spark, f"{v.sf_dir}/events.parque[t]", v.base("events").schema, files)
+def _events(v):
+    """The event table as a feed: files of up to a million rows, four at least, one a micro-batch, so that state crosses batches.
+
+    They are written one after the other, as a file feed is read in order of arrival.
+    """
+    events, path = v.base("events"), work_path(v.spark, "event-feed")
+    top, n = events.agg(F.coalesce(F.max("event_id"), F.lit(0)), F.count("*")).first()
+    parts = max(4, n // 1_000_000 + 1)
+    width = top // parts + 1
+    for i in range(parts):
+        events.filter(F.col("event_id").between(i * width, (i + 1) * width - 1)).coalesce(1).write.mode("append").parquet(path)
+    return feeds.read_feed(v.spark, path, events.schema, 1)
 
 
 @query("t1_assemble_blocks_stream", oracle("v_slot_messages", BLOCKS_SQL, st=BLOCK_STATE))
@@ -56,7 +66,7 @@ def advancing(v):
     oracle("v_account_updates", "SELECT seq, pubkey, slot FROM v_account_updates"),
 )
 def micro_batches(v):
-    rows = X.account_updates(_events(v, files=1)).select("seq", "pubkey", "slot")
+    rows = X.account_updates(_events(v)).select("seq", "pubkey", "slot")
     return feeds.drain(rows, "micro-batches")
 
 
@@ -120,6 +130,27 @@ def live_tracker(v):
     return feeds.read_live(v.spark, path, schema).select("signature", "slot", "instruction_type")
 
 
+@query(
+    "t9_live_tracker_stats",
+    oracle("v_transactions", f"""
+        SELECT strftime(make_timestamp(block_time * 1000000), '%Y-%m-%d') AS date, count(*) AS transactions,
+               count(*) FILTER (err IS NULL) / count(*) * 100 AS success_rate, round(CAST(sum(fee) AS DOUBLE) / 1e9, 6) AS fees
+        FROM (SELECT * FROM typed WHERE {MINE} ORDER BY slot DESC, idx DESC LIMIT 100) GROUP BY 1""", typed=type_sql(PROGRAM)),
+)
+def live_tracker_stats(v):
+    """Daily success rate and fees over the newest 100 of one program, as the live view shows them."""
+    rows = _transactions(v).select("signature", "slot", "idx", "program_ids", "accounts", "instructions", "block_time", "err", "fee")
+    path = work_path(v.spark, "tracker-stats")
+    feeds.live_tracker(rows, PROGRAM, path, work_path(v.spark, "tracker-stats-state")).awaitTermination()
+    return daily_stats(feeds.read_live(v.spark, path, rows.withColumn("instruction_type", F.lit("")).schema))
+
+
+@query("t6_evict_rooted_stream", oracle("v_slot_messages", BLOCKS_SQL, st=BLOCK_STATE))
+def evict(v):
+    """Blocks as assembled with eviction on: state of rooted slots far behind is dropped."""
+    return feeds.drain(stateful.assemble_blocks_stream(X.slot_messages(_events(v)), keep_slots=1000), "evicting")
+
+
 @query(
     "t10_live_counters",
     oracle("v_slot_messages", """

@@ -11,10 +11,12 @@ from slotweave.operators import staking as St
 from slotweave.operators import stats as A
 from slotweave.operators import topk
 from slotweave.operators.assembly import assemble_blocks, evict_rooted
+from slotweave.operators.index import read_by_key, write_index
 from slotweave.operators.latest import last_votes, latest_by, latest_metrics, operator_status, upsert_accounts
 from slotweave.plans.oracle_views import oracle
 from slotweave.plans.reads import ACCOUNT_KEY, LATEST, MINE, PROGRAM, type_sql
 from slotweave.plans.registry import query
+from slotweave.session import work_path
 
 MIN_STAKE = 1_000_000_000
 STAKE_MIN, STAKE_CAP = 1_200_000, 2_000_000_000
@@ -42,6 +44,23 @@ def by_account(v):
     return K.transactions_by_account(v.transactions, ACCOUNT_KEY).select("signature", "slot", "fee")
 
 
+@query("k1_index_by_program", oracle("v_transactions", f"""
+    SELECT signature, slot FROM v_transactions WHERE list_contains(program_ids, '{PROGRAM}') ORDER BY slot DESC, idx DESC LIMIT 1000"""))
+def program_index(v):
+    path = work_path(v.spark, "program-index")
+    write_index(v.transactions, "program_ids", path, buckets=16)
+    return read_by_key(v.spark, path, PROGRAM, 1000, buckets=16).select("signature", "slot")
+
+
+@query("k2_index_by_account", oracle("v_transactions", f"""
+    SELECT signature, slot FROM v_transactions WHERE list_contains(accounts, '{ACCOUNT_KEY}') ORDER BY slot DESC, idx DESC LIMIT 1000"""))
+def account_index(v):
+    path = work_path(v.spark, "account-index")
+    for half in (0, 1):  # appended as slots come in
+        write_index(v.transactions.filter(F.col("slot") % 2 == half), "accounts", path, buckets=16)
+    return read_by_key(v.spark, path, ACCOUNT_KEY, 1000, buckets=16).select("signature", "slot")
+
+
 @query(
     "k3_build_mentions",
     oracle("v_transactions", """
@@ -83,7 +102,8 @@ def cascade(v):
                 ON w.type = 'token' AND w.pubkey = k.owner)""", cur=LATEST),
 )
 def watch(v):
-    current = upsert_accounts(None, v.account_updates)
+    watched = v.watchlist.select("pubkey").distinct()
+    current = upsert_accounts(None, v.account_updates.join(watched, "pubkey", "left_semi"))
     rows = K.enrich_watchlist(v.watchlist, current, v.transactions, v.token_balances)
     return rows.select("id", "type", "pubkey", "lamports", "slot", "tokens", "error", "key_data")
 

@@ -18,12 +18,15 @@ from slotweave.functions.scalars import instruction_type
 from slotweave.operators.filters import relevant_to_program
 from slotweave.operators.latest import latest_by
 from slotweave.operators.topk import tracker_view
-from slotweave.session import work_path
+from slotweave.session import drop_folder, numbered, work_path
 
 
-def read_feed(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 100, **options) -> DataFrame:
-    """File feed; ``files_per_trigger`` bounds a micro-batch."""
-    return spark.readStream.schema(schema).options(**options).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_feed(
+    spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = 100, bytes_per_trigger: str | None = None, **options
+) -> DataFrame:
+    """File feed. A micro-batch is bounded by files, or by bytes (like ``"1g"``) where files differ much in size."""
+    bound = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.schema(schema).options(**options).option(*bound).parquet(path)
 
 
 def start(
@@ -82,34 +85,55 @@ def stream_upsert(df: DataFrame, log: str, checkpoint: str, key: str, order: lis
     return start_batches(df, batch_folder(log, lambda b: latest_by(b, [key], F.struct(*order))), checkpoint, every)
 
 
-def read_upserted(spark: SparkSession, log: str, schema: T.StructType, key: str, order: list[str]) -> DataFrame:
-    """Current rows of a log written by ``stream_upsert``."""
-    return latest_by(spark.read.schema(schema).parquet(log), [key], F.struct(*order))
+def read_upserted(spark: SparkSession, log: str, schema: T.StructType, key: str, order: list[str], last: int | None = None) -> DataFrame:
+    """Current rows of a log written by ``stream_upsert``, up to batch ``last``."""
+    done = numbered(spark, f"{log}/compact", "upto")
+    paths = [f"{log}/compact/upto={done[-1]}"] if done else []
+    paths += [f"{log}/batch_id={n}" for n in numbered(spark, log, "batch_id") if not (done and n <= done[-1]) and (last is None or n <= last)]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return latest_by(rows, [key], F.struct(*order))
 
 
-def compact_log(spark: SparkSession, log: str, schema: T.StructType, key: str, order: list[str], into: str) -> None:
-    """Write the current rows as one batch of a new log; point readers at it when it is complete."""
-    read_upserted(spark, log, schema, key, order).write.parquet(f"{into}/batch_id=0")
+def compact_log(spark: SparkSession, log: str, schema: T.StructType, key: str, order: list[str]) -> None:
+    """Fold all batches but the newest into one table beside them, then delete those batches. Safe while the stream runs.
+
+    Only complete batches up to a fixed number are folded, so a batch that is being written or replayed is never touched; readers use
+    the newest complete ``upto=<batch>`` and the batches after it.
+    """
+    batches = numbered(spark, log, "batch_id")[:-1]
+    if not batches:
+        return
+    read_upserted(spark, log, schema, key, order, batches[-1]).write.mode("overwrite").parquet(f"{log}/compact/upto={batches[-1]}")
+    for name, numbers in (("batch_id", batches), ("compact/upto", [n for n in numbered(spark, f"{log}/compact", "upto") if n < batches[-1]])):
+        for n in numbers:
+            drop_folder(spark, f"{log}/{name}={n}")
 
 
 # --- live statistics ----------------------------------------------------------------------------------
 
 
-def live_table(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep a streaming aggregate as a table: every micro-batch writes its full result to
-    ``version=<batch>``. The result has one row per group, however long the feed runs."""
+KEEP_VERSIONS = 3  # of a live table: readers may still be at an earlier one
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    return start_batches(df, handle, checkpoint, every, "complete")
+def _write_version(df: DataFrame, path: str, version: int) -> None:
+    """A complete new version of a small table; a replayed batch overwrites its own, old ones go."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    for n in numbered(spark, path, "version"):
+        if n <= version - KEEP_VERSIONS:
+            drop_folder(spark, f"{path}/version={n}")
+
+
+def live_table(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep a streaming aggregate as a table: every micro-batch writes its full result to
+    ``version=<batch>``; the last ``KEEP_VERSIONS`` stay. The result has one row per group, however long the feed runs."""
+    return start_batches(df, lambda batch, n: _write_version(batch, path, n), checkpoint, every, "complete")
 
 
 def read_live(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The last version; earlier ones are pruned by folder."""
-    fields = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
-    versions = spark.read.schema(fields).parquet(path)
-    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
+    """The last complete version."""
+    versions = numbered(spark, path, "version")
+    return spark.read.schema(schema).parquet(f"{path}/version={versions[-1]}") if versions else spark.createDataFrame([], schema)
 
 
 def live_daily(tx: DataFrame) -> DataFrame:
@@ -137,29 +161,32 @@ def live_tracker(tx: DataFrame, program: str, path: str, checkpoint: str, keep:
         if batch_id > 0:
             old = spark.read.schema(new.schema).parquet(f"{path}/version={batch_id - 1}")
             new = old.unionByName(new).orderBy(F.col("slot").desc(), F.col("idx").desc()).limit(keep)
-        new.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        _write_version(new, path, batch_id)
 
     return start_batches(tx, handle, checkpoint, every)
 
 
 def live_counters(df: DataFrame, kind: str, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Counters per kind and micro-batch, and as observed metrics ``feed`` in the query's progress."""
+    """Counters per kind so far, one version per micro-batch, and as observed metrics ``feed`` in the query's progress."""
     seen = df.observe("feed", F.count(F.lit(1)).alias("received"), F.count_if("error").alias("errors"))
+    folds = [F.sum(c).alias(c) for c in ("received", "errors", "published")] + [F.min("first").alias("first"), F.max("last").alias("last")]
 
-    def count(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(kind).agg(
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        new = batch.groupBy(kind).agg(
             F.count("*").alias("received"), F.count_if("error").alias("errors"), F.count_if("published").alias("published"),
             F.min("seconds").alias("first"), F.max("seconds").alias("last"),
         )
+        if batch_id > 0:
+            old = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/version={batch_id - 1}")
+            new = old.unionByName(new).groupBy(kind).agg(*folds)
+        _write_version(new, path, batch_id)
 
-    return start_batches(seen, batch_folder(path, count), checkpoint, every)
+    return start_batches(seen, handle, checkpoint, every)
 
 
 def read_counters(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Totals and rates over all micro-batches."""
-    schema = f"{kind} STRING, received BIGINT, errors BIGINT, published BIGINT, first BIGINT, last BIGINT, batch_id BIGINT"
-    elapsed = (F.max("last") - F.min("first")).cast("double")
-    return spark.read.schema(schema).parquet(path).groupBy(kind).agg(
-        F.sum("received").alias("received"), F.sum("errors").alias("errors"), F.sum("published").alias("published"),
-        F.when(elapsed > 0, F.sum("received") / elapsed).otherwise(F.lit(0.0)).alias("per_second"),
-    )
+    schema = T.StructType.fromDDL(f"{kind} STRING, received BIGINT, errors BIGINT, published BIGINT, first BIGINT, last BIGINT")
+    elapsed = (F.col("last") - F.col("first")).cast("double")
+    rate = F.when(elapsed > 0, F.col("received") / elapsed).otherwise(F.lit(0.0)).alias("per_second")
+    return read_live(spark, path, schema).select(kind, "received", "errors", "published", rate)

@@ -6,9 +6,11 @@ size the source's rate options bound; the order between micro-batches is the fee
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from slotweave.functions.scalars import DEFAULT_PENALTY, PENALTY, SEVERITY
 from slotweave.operators.assembly import BLOCK_COLUMNS, METADATA
 
+# The worker that sets up a stateful query on the driver's side does not see files added to the application.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -107,6 +112,17 @@ def _long(x) -> int | None:
     return None if x is None or pd.isna(x) else int(x)
 
 
+def _plain(x):
+    return None if x is None or pd.isna(x) else x if isinstance(x, str) else int(x)
+
+
+def _last(column: pd.Series, where: pd.Series, before) -> pd.Series:
+    """For each row the value at the latest row so far that ``where`` marks, NULL or not; ``before`` if there is none."""
+    place = pd.Series(range(len(column))).where(where.to_numpy(), -1).cummax()
+    values = [*(_plain(x) for x in column), before]  # -1 is the last one
+    return pd.Series([values[i] for i in place], dtype="object" if isinstance(before, str) or column.dtype == object else "Int64")
+
+
 class _Assemble(StatefulProcessor):
     """Holds the open state of one slot: the last metadata, the status and two counters."""
 
@@ -118,32 +134,24 @@ class _Assemble(StatefulProcessor):
         self.state = handle.getValueState("slot", SLOT_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        slot = int(key[0])
-        names = SLOT_STATE.names
+        slot, pdf = int(key[0]), _ordered(rows, ["seq"])
         fresh = not self.state.exists()
-        s = dict.fromkeys(names) if fresh else dict(zip(names, self.state.get()))
-        s["entries"], s["executed_tx"] = s["entries"] or 0, s["executed_tx"] or 0
-        out = []
-        for m in _ordered(rows, ["seq"]).itertuples(index=False):
-            if m.kind == "entry":
-                s["entries"] += 1
-                s["executed_tx"] += _long(m.executed_tx) or 0
-            elif m.kind == "metadata":
-                s.update({c: _long(getattr(m, c)) for c in METADATA[1:]}, blockhash=m.blockhash)
-                if _long(m.parent_slot) is not None:
-                    s["parent_slot"] = _long(m.parent_slot)
-            else:
-                if fresh:
-                    s["parent_slot"] = _long(m.parent)
-                s["status"] = m.status
-            fresh = False
-            if m.kind != "entry" and s["status"] == "rooted":
-                count = s["entries"] if s["entry_count"] is None else s["entry_count"]
-                out.append([slot, m.seq, *[s[c] for c in BLOCK_COLUMNS[2:8]], count, s["executed_tx"]])
-        self.state.update(tuple(s[c] for c in names))
-        if self.evict and s["status"] == "rooted":
+        s = dict.fromkeys(SLOT_STATE.names) if fresh else dict(zip(SLOT_STATE.names, self.state.get()))
+        meta, status, entry = (pdf["kind"] == k for k in ("metadata", "status", "entry"))
+        if fresh and status.iloc[0]:
+            s["parent_slot"] = _long(pdf["parent"].iloc[0])
+        now = {"seq": pdf["seq"], "entries": (s["entries"] or 0) + entry.cumsum()}
+        now["executed_tx"] = (s["executed_tx"] or 0) + pdf["executed_tx"].where(entry).fillna(0).astype("int64").cumsum()
+        # what the last metadata, parent and status said: the place of that message, or the state so far
+        for name, where in [*((c, meta) for c in METADATA), ("parent_slot", meta & pdf["parent_slot"].notna()), ("status", status)]:
+            now[name] = _last(pdf[name], where, s[name])
+        table = pd.DataFrame(now)
+        self.state.update(tuple(_plain(table[c].iloc[-1]) for c in SLOT_STATE.names))
+        if self.evict and table["status"].iloc[-1] == "rooted":
             self.handle.registerTimer((slot + 1) * 1000)
-        yield pd.DataFrame(out, columns=BLOCK_COLUMNS).convert_dtypes() if out else pd.DataFrame(columns=BLOCK_COLUMNS)
+        out = table[~entry & (table["status"] == "rooted")].assign(slot=slot)
+        out["entry_count"] = out["entry_count"].where(out["entry_count"].notna(), out["entries"])
+        yield out[BLOCK_COLUMNS]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.state.exists():
