@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.llm.decontam import find_contamination
+from slotweave.llm.decontam import uncontaminated
 from slotweave.llm.mixing import soft_mixing
 from slotweave.llm.plans import TARGETS, domains
 from slotweave.llm.quality import accepted
@@ -34,16 +34,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more stands in the benchmark go; others stay as they are."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, extra=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.filter("not contaminated").select(*docs.columns)
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in as many copies as bring the domains to their target shares of tokens."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixed = soft_mixing(docs, domains(labels), TARGETS, extra=tuple(c for c in docs.columns if c != "doc_id"))
+    mixed = soft_mixing(docs, domains(labels), TARGETS, extra=tuple(docs.columns))
     copies = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return copies.select(*docs.columns, "rate", "copy")
+    own = [c for c in docs.columns if c in mixed.columns and c not in ("n_tokens", "posterior", "rate", "copies", "copy")]
+    return copies.select(*own, "rate", "copy")
 
 
 STAGES = [

@@ -178,12 +178,42 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list]:
         yield [(r["item_id"], r["text"]) for r in slim.filter(block == k).collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.05, block_bytes: int = 1 << 24, extra: tuple[str, ...] = ()) -> DataFrame:
+def _judge(shipped: list, data: np.ndarray, at: np.ndarray, scale: int):
+    """For the documents of one shard: number of words and of hits, items found, spans of hits, and whether each is contaminated."""
+    hashes, _, _, first = word_hashes(data, at)
+    docs = len(at) - 1
+    cover = np.zeros(len(hashes) + 1, np.int64)
+    items: list[set] = [set() for _ in range(docs)]
+    for block in shipped:
+        test = block.value
+        place, phrase = occurrences(hashes, first, test)
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + test.length[phrase], -1)
+        doc = np.searchsorted(first, place, "right") - 1
+        for pair in np.unique(doc * max(len(test.length), 1) + phrase).tolist():
+            d, p = divmod(pair, len(test.length))
+            items[d].update(test.names[x] for x in test.items[test.item_from[p] : test.item_from[p + 1]])
+    hit = np.cumsum(cover[:-1]) > 0
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    n_words, n_hit = np.diff(first), np.diff(sums[first])
+    spans: list[list] = [[] for _ in range(docs)]
+    for d in np.flatnonzero(n_hit):
+        own = np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]]))
+        spans[d] = [{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(own > 0), np.flatnonzero(own < 0))]
+    return n_words, n_hit, items, spans, (n_hit > 0) & (scale * n_hit >= n_words)
+
+
+def _shipped(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast(phrases(rows, window)) for rows in _blocks(benchmark, block_bytes)]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.05, block_bytes: int = 1 << 24) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with what it shares with ``benchmark`` (item_id, text).
 
-    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, ``spans`` (merged word intervals [lo, hi) to remove) and the
-    columns ``extra``. Words are digits, letters and all non-ASCII characters, lower-cased in A-Z; a hit lies in an occurrence of
-    ``window`` consecutive words of an item, or of the whole of a shorter item; a document is contaminated if hits are at least
+    Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated and ``spans`` (merged word intervals [lo, hi) to remove).
+    Words are digits, letters and all non-ASCII characters, lower-cased in A-Z; a hit lies in an occurrence of ``window``
+    consecutive words of an item, or of the whole of a shorter item; a document is contaminated if hits are at least
     ``min_share`` of its words and there are any.
 
     The documents are not shuffled. The benchmark goes to the tasks in blocks of ``block_bytes``, each an own broadcast; a task searches
@@ -192,48 +222,37 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     Null or empty text: no words, on either side. A null item_id reads as the empty string; items that repeat an id are one. Null or
     repeated doc_id: each row is judged alone. Empty tables: no rows, or no hits. Other columns are not read.
     """
-    context = docs.sparkSession.sparkContext
-    shipped = [context.broadcast(phrases(rows, window)) for rows in _blocks(benchmark, block_bytes)]
-    keep = ["doc_id", *extra]
-    types = dict(docs.dtypes)
-    fields = [f"`{c}` {types[c]}" for c in keep]
-    schema = ", ".join([*fields, "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<lo:bigint,hi:bigint>>"])
-    scale = round(1 / min_share)
+    shipped, scale = _shipped(docs, benchmark, window, block_bytes), round(1 / min_share)
+    schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<lo:bigint,hi:bigint>>"
 
     def judged(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
             for i, j in chunks(at, SHARD):
-                hashes, _, _, first = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-                docs_here = j - i
-                cover = np.zeros(len(hashes) + 1, np.int64)
-                items: list[set] = [set() for _ in range(docs_here)]
-                for block in shipped:
-                    test = block.value
-                    place, phrase = occurrences(hashes, first, test)
-                    np.add.at(cover, place, 1)
-                    np.add.at(cover, place + test.length[phrase], -1)
-                    doc = np.searchsorted(first, place, "right") - 1
-                    pairs = np.unique(doc * max(len(test.length), 1) + phrase)
-                    for pair in pairs.tolist():
-                        d, p = divmod(pair, len(test.length))
-                        items[d].update(test.names[x] for x in test.items[test.item_from[p] : test.item_from[p + 1]])
-                hit = np.cumsum(cover[:-1]) > 0
-                sums = np.concatenate([[0], np.cumsum(hit)])
-                n_words, n_hit = np.diff(first), np.diff(sums[first])
-                spans = [[] for _ in range(docs_here)]
-                for d in np.flatnonzero(n_hit):
-                    own = np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].astype(np.int8), [0]]))
-                    spans[d] = [{"lo": int(a), "hi": int(b)} for a, b in zip(np.flatnonzero(own > 0), np.flatnonzero(own < 0))]
+                n_words, n_hit, items, spans, bad = _judge(shipped, data[at[i] : at[j]], at[i : j + 1] - at[i], scale)
                 digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(i, docs_here) for c in keep]
+                    [batch.column("doc_id").slice(i, j - i)]
                     + [pa.array(x) for x in (n_words, n_hit, np.array([len(x) for x in items], np.int64))]
-                    + [pa.array(digests, pa.string()), pa.array((n_hit > 0) & (scale * n_hit >= n_words)), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
-                    names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+                    + [pa.array(digests, pa.string()), pa.array(bad), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
+                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                 )
 
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(judged, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(judged, schema)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.05, block_bytes: int = 1 << 24) -> DataFrame:
+    """The rows of ``docs``, all columns and unchanged, that ``find_contamination`` does not call contaminated."""
+    shipped, scale = _shipped(docs, benchmark, window, block_bytes), round(1 / min_share)
+
+    def kept(batches):
+        for batch in batches:
+            data, at = flat(batch.column("text"))
+            for i, j in chunks(at, SHARD):
+                bad = _judge(shipped, data[at[i] : at[j]], at[i : j + 1] - at[i], scale)[-1]
+                yield batch.slice(i, j - i).filter(pa.array(~bad))
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def without_spans(text: str | None, spans) -> str:

@@ -149,9 +149,10 @@ def soft_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
 
     Null or empty text: no tokens, the prior as posterior, a rate like any other. Null doc_id: never labelled. Repeated rows: each gets
     the same rate. Labels of other domains, or of ids that are not there, are ignored; no labels: all domains are alike. Empty table: no rows.
-    Other columns are not read; ``extra`` may not contain the returned names.
+    Other columns are not read; of ``extra``, columns named like returned ones are left out.
     """
     domains = sorted(targets)
+    extra = tuple(c for c in extra if c not in ("doc_id", "n_tokens", "posterior", "rate", "copies"))
     weights = fit_domains(docs, labelled, domains, sample)
     members = cut_lineage(memberships(docs.select("text"), weights, []))
     pulls, step = fit_pulls(members, np.array([targets[d] for d in domains]), ridge, steps)

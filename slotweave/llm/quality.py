@@ -84,7 +84,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``x``, the statistics of ``text``."""
+    """The columns ``keep`` and ``_x``, the statistics of ``text``."""
 
     def made(batches):
         for batch in batches:
@@ -92,9 +92,9 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
             rows = [statistics(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in chunks(at)]
             x = np.concatenate(rows) if rows else np.empty((0, WIDTH))
             arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [arrays], names=[*keep, "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [arrays], names=[*keep, "_x"])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "x array<double>"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "_x array<double>"])
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(made, schema)
 
 
@@ -116,11 +116,11 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, shrink: float = 0.1, to_diagonal: float = 0.1) -> Discriminant:
-    """From rows x, label (0 or 1). Without rows of both classes every score is the share of label 1 (1 without any)."""
+    """From rows _x, label (0 or 1). Without rows of both classes every score is the share of label 1 (1 without any)."""
 
     def sums(batches):
         for batch in batches:
-            x = batch.column("x").values.to_numpy(zero_copy_only=False).reshape(-1, WIDTH) if batch.num_rows else np.empty((0, WIDTH))
+            x = batch.column("_x").values.to_numpy(zero_copy_only=False).reshape(-1, WIDTH) if batch.num_rows else np.empty((0, WIDTH))
             label = batch.column("label").to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 own = np.column_stack([np.ones((label == k).sum()), x[label == k]])
@@ -129,7 +129,7 @@ def fit(labelled: DataFrame, shrink: float = 0.1, to_diagonal: float = 0.1) -> D
                     names=["label", "cell", "value"],
                 )
 
-    parts = labelled.select(F.col("label").cast("int").alias("label"), "x").mapInArrow(sums, "label int, cell int, value double")
+    parts = labelled.select(F.col("label").cast("int").alias("label"), "_x").mapInArrow(sums, "label int, cell int, value double")
     table = np.zeros((2, (WIDTH + 1) ** 2))
     for row in parts.groupBy("label", "cell").agg(F.sum("value").alias("value")).collect():  # 2 * (WIDTH + 1) ** 2 rows at most
         table[row["label"], row["cell"]] = row["value"]
@@ -162,15 +162,15 @@ def scored(feats: DataFrame, model: Discriminant, keep: list[str]) -> DataFrame:
 
     def made(batches):
         for batch in batches:
-            x = batch.column("x").values.to_numpy(zero_copy_only=False).reshape(-1, WIDTH) if batch.num_rows else np.empty((0, WIDTH))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(shipped.value.score(x))], names=[*keep, "score"])
+            x = batch.column("_x").values.to_numpy(zero_copy_only=False).reshape(-1, WIDTH) if batch.num_rows else np.empty((0, WIDTH))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(shipped.value.score(x))], names=[*keep, "_score"])
 
-    schema = ", ".join([*(f"`{c}` {feats.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return feats.select(*keep, "x").mapInArrow(made, schema)
+    schema = ", ".join([*(f"`{c}` {feats.schema[c].dataType.simpleString()}" for c in keep), "_score double"])
+    return feats.select(*keep, "_x").mapInArrow(made, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, shrink: float = 0.1, to_diagonal: float = 0.1) -> tuple[DataFrame, Discriminant]:
-    """Statistics of all rows (doc_id, x), and the discriminant from all labelled ones outside the held-out fifth."""
+    """Statistics of all rows (doc_id, _x), and the discriminant from all labelled ones outside the held-out fifth."""
     feats = cut_lineage(features(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ["doc_id"]))
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)")
     return feats, fit(feats.filter(~is_held_out()).join(marks, "doc_id"), shrink, to_diagonal)
@@ -187,10 +187,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
     """
     feats, model = learn(docs, labels, shrink, to_diagonal)
     out = scored(feats, model, ["doc_id"])
-    return out.select("doc_id", is_held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return out.select("doc_id", is_held_out().alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more. Read twice, not shuffled."""
     _, model = learn(docs, labels)
-    return scored(features(docs, docs.columns), model, docs.columns).filter(F.col("score") >= threshold).select(*docs.columns)
+    return scored(features(docs, docs.columns), model, docs.columns).filter(F.col("_score") >= threshold).select(*docs.columns)

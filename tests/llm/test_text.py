@@ -44,6 +44,8 @@ def test_decontamination(spark, block_bytes):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = decontam.find_contamination(docs(spark, rows), bench, block_bytes=block_bytes)
     assert sorted((tuple(r)[:6] for r in got.collect()), key=repr) == plain_hits(rows, items)
+    kept = decontam.uncontaminated(docs(spark, rows), bench, block_bytes=block_bytes)
+    assert sorted((tuple(r) for r in kept.select("doc_id", "text").collect()), key=repr) == sorted((r for r, w in zip(sorted(rows, key=repr), [plain_hits([r], items)[0] for r in sorted(rows, key=repr)]) if not w[-1]), key=repr)
     for r in got.filter("n_hit > 0").collect():
         assert sum(s["hi"] - s["lo"] for s in r["spans"]) == r["n_hit"]
 
