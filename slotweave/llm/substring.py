@@ -121,7 +121,7 @@ def repeated_windows(docs: DataFrame, window: int = 50, first: int = 13) -> Data
     earliest = each.groupBy(F.struct("key", "hash").alias("k")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("k.*", "least")
     found = each.join(earliest, ["key", "hash"]).filter("doc_id > least").select(*CONTENT, (F.col("lo") + F.col("at")).alias("lo")).distinct()
     found = found.groupBy(*CONTENT).agg(F.collect_list("lo").alias("starts"))
-    of_content = content.select(*CONTENT, F.col("doc_id").alias("least")).join(found, CONTENT, "left")
+    of_content = cut_lineage(content.select(*CONTENT, F.col("doc_id").alias("least")).join(found, CONTENT, "left"))
     whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("run") + (window - 1)).alias("hi")))
     single = F.transform("starts", lambda s: F.struct((F.col("start") + s).alias("lo"), (F.col("start") + s + window).alias("hi")))
     spans = held.join(of_content, CONTENT).withColumn("spans", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(single))
