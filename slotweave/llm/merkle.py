@@ -152,7 +152,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     tail = F.struct(F.col("before").alias("part"), F.lit(True).alias("tail"))
     places = F.when(value.eqNullSafe(F.col("least")), F.array(own, tail)).otherwise(F.array(own))
     spread = ranged.join(F.broadcast(first), "part").select("doc_id", "text", F.inline(places))
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    return spread.repartitionById(parts, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
 
 
 def compare_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
