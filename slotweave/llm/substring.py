@@ -170,23 +170,24 @@ def passages_cut(docs: DataFrame, window: int = 50, first: int = 13) -> DataFram
 
     A text without any stays as it is; a cut one has its remaining words joined by one space. A row of which no word is left goes.
     """
-    rid = "_rid"
+    mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # begins no column of docs
+    rid, doc, row, found, changed = (mark + c for c in ("rid", "doc", "row", "spans", "cut"))
     own = docs.withColumn(rid, row_hash())
     slim = own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(rid).alias("rid"), "text")
-    spans = repeated_windows(slim, window, first).select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_row"), "spans")
-    both = own.join(spans, (own["doc_id"] == spans["_doc"]) & (own[rid] == spans["_row"]), "left").withColumnRenamed("spans", "_spans")
-    both = both.select(*docs.columns, "_spans")
+    spans = repeated_windows(slim, window, first).select(F.col("doc_id").alias(doc), F.col("rid").alias(row), F.col("spans").alias(found))
+    both = own.join(spans, (own["doc_id"] == spans[doc]) & (own[rid] == spans[row]), "left")
+    both = both.select(*(f"`{c}`" for c in docs.columns), found)
     types = dict(docs.dtypes)
 
     def cut(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(found).to_pylist()):
                 if spans:
                     texts[i] = b" ".join(_kept(texts[i], spans)[1]).decode()
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs_columns]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array([s is not None for s in batch.column("_spans").to_pylist()])], names=[*docs_columns, "_cut"])
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([s is not None for s in batch.column(found).to_pylist()], pa.bool_())], names=[*docs_columns, changed])
 
     docs_columns = docs.columns
-    out = both.mapInArrow(cut, ", ".join([*(f"`{c}` {types[c]}" for c in docs_columns), "_cut boolean"])).filter("not _cut or text <> ''").drop("_cut")
+    out = both.mapInArrow(cut, ", ".join([*(f"`{c}` {types[c]}" for c in docs_columns), f"{changed} boolean"])).filter(f"not {changed} or text <> ''").drop(changed)
     return out.withColumn("n_chars", F.length("text").cast(types["n_chars"])) if "n_chars" in types else out
