@@ -2,8 +2,8 @@
 
 A payload is cut into chunks: rows of record number, chunk number, bytes, and the SHA-1 and length of the payload so far. Every chunk becomes one
 WARC 1.1 record, the first one of type response and later ones of type continuation, as the format's segmentation has it, so neither
-writer nor reader holds a whole payload. Archives are plain WARC files that Spark's text sink writes and its text source splits at record
-heads; no chunk holds the bytes that begin a record. Reading back orders the chunks of a record and carries the digest from one to the next.
+writer nor reader holds a whole payload. Archives are plain WARC files that Spark's text sink writes and its text source splits at version
+lines; no chunk holds the bytes that begin a record. Reading back orders the chunks of a record and carries the digest from one to the next.
 """
 
 from __future__ import annotations
@@ -12,16 +12,21 @@ import hashlib
 
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.session import work_path
+from slotweave.session import cut_lineage, work_path
 
 #: Bytes of a chunk, and the least payload that is stored once only.
 CHUNK, LEAST = 1 << 20, 1000
 #: Fixed values of the format: the version line begins a record, two line ends close it.
 VERSION, LINE = b"WARC/1.1", "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: What the reader splits at. No part of it is both its beginning and the end of another part: Spark's line reader does not go back into a
+#: buffer it has left, and would miss a separator that begins inside a failed match.
+BETWEEN = "\n" + VERSION.decode() + LINE
+#: What follows a block: the closing line ends, without the byte that the separator took if another record follows.
+CLOSING = (b"\r\n\r", b"\r\n\r\n")
 #: Bytes gathered before rows are handed on.
 _BATCH = 1 << 22
 _CHUNKS = {"record": pa.string(), "chunk": pa.int32(), "data": pa.string(), "digest": pa.string(), "bytes": pa.int64(), "last": pa.bool_()}
@@ -90,8 +95,8 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return slim.join(newest, "digest").filter("page_id < refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", size: int = CHUNK, least: int = LEAST) -> None:
-    """Write a record of every row of ``pages`` (page_id, url, html) as gzipped WARC files to the folder ``path``.
+def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", size: int = CHUNK, least: int = LEAST) -> int:
+    """Write a record of every row of ``pages`` (page_id, url, html) as gzipped WARC files to the folder ``path``; their number.
 
     Revisits have no payload, but its digest and length. Line ends in a URL are escaped.
     """
@@ -125,23 +130,28 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
         "Content-Length": F.octet_length("block").cast("string"),
     })
     value = F.concat(lit(VERSION.decode() + LINE), head, "block", lit(LINE)).alias("value")
-    parts.select(value).write.option("lineSep", LINE).option("compression", "gzip").text(path)
+    written = Observation()
+    parts.observe(written, F.count_if(first).alias("n")).select(value).write.option("lineSep", LINE).option("compression", "gzip").text(path)
+    return written.get["n"]
 
 
 def _parsed(value: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = value.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split(LINE) if ": " in x)
-    return fields, rest[: int(fields["Content-Length"])]
+    n = int(fields["Content-Length"])
+    if rest[n:] not in CLOSING:
+        raise ValueError(f"a record of {n} bytes has {len(rest)} bytes up to the next one: {fields['WARC-Record-ID']}")
+    return fields, rest[:n]
 
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """Records of the archives in ``path``, chunk by chunk: record, uri, page_id (text), chunk, kind, payload_bytes, payload_digest, refers_to.
 
     One row per record, from its last chunk; with ``keep_payload`` one row per chunk with ``data``. A digest that differs from the
-    one written, or a missing chunk, raises an error. Chunks of a record meet in one task, in order, and are let go one by one;
+    one written, a block that is not as long as its head says, or a missing chunk, be it the last one, raises an error. Chunks of a record meet in one task, in order, and are let go one by one;
     records of one chunk are verified where they are read, and only their results move.
     """
-    source = spark.read.option("lineSep", LINE * 2 + VERSION.decode() + LINE).text(path)
+    source = spark.read.option("lineSep", BETWEEN).text(path)
     fields = "origin string, chunk int, uri string, kind string, refers_to string, declared string, declared_bytes bigint, total bigint, digest string, bytes bigint, data binary"
     names = [f.split()[0] for f in fields.split(", ")]
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -178,11 +188,13 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
 
     def follow(batches):
         origin = running = head = None
-        at = size = 0
+        at, size, last = 0, 0, True
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 if r["origin"] != origin:
+                    if not last:
+                        raise ValueError(f"the last chunk of {origin} is missing")
                     origin, running, head, at, size = r["origin"], hashlib.sha1(), r, 0, 0
                 if r["chunk"] != at:
                     raise ValueError(f"chunk {at} of {origin} is missing")
@@ -202,12 +214,14 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
                         refers[1:-1].split(":")[2] if refers else None, r["data"] if keep_payload else None,
                     ))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(out_types)], names=out_names)
+        if not last:
+            raise ValueError(f"the last chunk of {origin} is missing")
 
     return source.mapInArrow(parse, fields).repartition("origin").sortWithinPartitions("origin", "chunk").mapInArrow(follow, out)
 
 
 def round_trip(pages: DataFrame, path: str | None = None, size: int = CHUNK, least: int = LEAST) -> DataFrame:
-    """Write every row of ``pages`` (page_id, url, html) to archives and read them back.
+    """Write every row of ``pages`` (page_id, url, html) to archives and read them back; another number of records than written raises an error.
 
     Returns page_id, payload_bytes, payload_digest, record_type (response or revisit) and refers_to.
 
@@ -217,7 +231,9 @@ def round_trip(pages: DataFrame, path: str | None = None, size: int = CHUNK, lea
     """
     spark = pages.sparkSession
     path = path or work_path(spark, "warc")
-    write_archives(pages.select("page_id", "url", "html"), path, size=size, least=least)
+    written = write_archives(pages.select("page_id", "url", "html"), path, size=size, least=least)
     kind = pages.schema["page_id"].dataType
-    back = read_archives(spark, path, keep_payload=False)
+    back = cut_lineage(read_archives(spark, path, keep_payload=False))
+    if (n := back.count()) != written:
+        raise ValueError(f"{written} records were written to {path}, {n} read back")
     return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))

@@ -73,6 +73,33 @@ def test_warc_damage_is_noticed(spark, tmp_path):
         warc.read_archives(spark, str(tmp_path / "bad")).collect()
 
 
+def test_warc_blocks_that_end_in_line_ends(spark, tmp_path):
+    """Revisits, null and empty payloads, and payloads ending in CRLF: the line ends before a version line vary in number."""
+    n = 300_000
+    html = "CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN repeat('x', 1000) ELSE concat('p', id, repeat('\\r\\n', int(id % 5))) END AS html"
+    table = spark.range(0, n, 1, 4).selectExpr("id AS page_id", "concat('http://h/', id, '/WARC/1.1') AS url", html)
+    got = warc.round_trip(table, str(tmp_path / "w"))
+    want = table.selectExpr("page_id", "coalesce(octet_length(html), 0) AS payload_bytes", "sha1(coalesce(html, '')) AS payload_digest")
+    assert got.count() == n and got.select(want.columns).exceptAll(want).count() == 0
+    assert got.filter("record_type = 'revisit'").count() == n // 4 - 1
+
+
+def test_warc_lost_records_are_noticed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "w")
+    warc.round_trip(pages(spark, [(1, "u", "x" * 500)]).coalesce(1), path, size=100)
+    lines = b"".join(gzip.open(f).read() for f in Path(path).glob("*.gz"))
+    assert lines.count(b"WARC/1.1\r\n") == 5
+    for name, bad, said in (("a", lines[: lines.rindex(b"WARC/1.1\r\n")], "last chunk .* is missing"), ("b", lines.replace(b"\nWARC/1.1\r\n", b"\nWARC/1.0\r\n", 1), "bytes up to the next one")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_bytes(bad)
+        with pytest.raises(Exception, match=said):
+            warc.read_archives(spark, str(tmp_path / name)).collect()
+    whole = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **b: whole(*a, **b).filter("page_id <> '1'"))
+    with pytest.raises(ValueError, match="2 records were written to .*, 1 read back"):
+        warc.round_trip(pages(spark, [(1, "u", "x"), (2, "u", "y")]), str(tmp_path / "v"))
+
+
 def plain_verdict(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
