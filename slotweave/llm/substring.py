@@ -77,7 +77,7 @@ def _extended(docs: DataFrame, wanted: DataFrame, window: int, between: list[int
                 out = []
                 for p in parts:
                     off = p["off"] - np.arange(p["run"])  # the anchor's distance from each window's start, falling
-                    cuts = np.flatnonzero(np.diff(off // widths[-1])) + 1
+                    cuts = np.flatnonzero(np.any([np.diff(off // w) for w in widths], axis=0)) + 1  # widths do not nest: a piece is in one class at every level
                     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), p["run"]]):
                         anchor, o = p["start"] + p["off"], int(off[lo])
                         common = []

@@ -125,6 +125,17 @@ def test_substring_dedup_edges(spark):
     assert cut[9]["text"] == rows[9][1].replace(passage + " ", "") and cut[9]["n_chars"] == len(cut[9]["text"]) and cut[9]["spans"] == "?"
 
 
+@pytest.mark.parametrize("window", [60, 100, 200])
+def test_substring_dedup_several_levels(spark, window):
+    """Passages little longer than the window, between contexts that differ."""
+    rows = []
+    for k in range(12):
+        passage = prose(window + 20, 1000 + k)
+        for i in range(3):
+            rows.append((10 * k + i, f"{prose(7 * k + 31 * i + 3, 2000 + 10 * k + i)} {passage} {prose(90 + i, 3000 + 10 * k + i)}"))
+    same(substring.substring_dedup(docs(spark, rows), window=window), cut_words(rows, window))
+
+
 def plain_fingerprint(text):
     w = re.findall(SPACES, lower(text))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
