@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotweave.schemas import REWARD
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +47,31 @@ def account_updates(events: DataFrame) -> DataFrame:
 
 
 def slot_messages(events: DataFrame) -> DataFrame:
+    return events.select(*_slot_message())
+
+
+def block_messages(events: DataFrame) -> DataFrame:
+    """Slot messages with what blocks list: up to three rewards of a metadata, hashes and start of an entry."""
+    k = prop_k()
+    reward = F.transform(
+        F.sequence(F.lit(1).cast("bigint"), k % 4),
+        lambda i: F.struct(
+            _str("v", i).alias("pubkey"), (k * i - 100).alias("lamports"), (k + i).cast("decimal(20,0)").alias("post_balance"),
+            F.when(i % 2 == 0, "fee").otherwise("voting").alias("reward_type"), F.when(i == 3, i).cast("tinyint").alias("commission"),
+        ),
+    )
+    rewards = F.when(k % 4 > 0, reward).otherwise(F.array().cast(f"ARRAY<{REWARD}>"))
+    entry = F.col("event_type").isin("view", "click")
+    return events.select(
+        *_slot_message(),
+        F.when(F.col("event_type").isin("signup", "purchase"), rewards).alias("rewards"),
+        F.when(entry, k * 3 + 1).alias("num_hashes"),
+        F.when(entry, _str("h", F.col("event_id")).cast("binary")).alias("hash"),
+        F.when(entry & (k % 2 == 0), k * 5).alias("starting_transaction_index"),
+    )
+
+
+def _slot_message() -> list[Column]:
     k = prop_k()
     kind = (
         F.when(F.col("event_type").isin("view", "click"), "entry")
@@ -52,7 +79,7 @@ def slot_messages(events: DataFrame) -> DataFrame:
         .otherwise("status")
     )
     slot = F.expr("event_id div 20")
-    return events.select(
+    return [
         F.col("event_id").alias("seq"),
         slot.alias("slot"),
         kind.alias("kind"),
@@ -66,7 +93,7 @@ def slot_messages(events: DataFrame) -> DataFrame:
         F.when((kind == "metadata") & (k % 5 == 0), k).alias("entry_count"),
         F.when(kind == "entry", F.col("event_id") % 20).alias("entry_index"),
         F.when(kind == "entry", k).alias("executed_tx"),
-    )
+    ]
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -426,7 +453,7 @@ class Views:
         return table(self.spark, self.sf_dir, name)
 
     def __getattr__(self, name: str) -> DataFrame:
-        events = ("account_updates", "slot_messages", "messages", "delegation_ops", "violations",
+        events = ("account_updates", "slot_messages", "block_messages", "messages", "delegation_ops", "violations",
                   "votes", "health_probes", "operator_updates", "scores")
         if name in events:
             return globals()[name](self.base("events"))

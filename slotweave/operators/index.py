@@ -1,34 +1,69 @@
-"""A stored secondary index: program or account to the transactions that mention it.
+"""A stored secondary index: program or account to the newest transactions that mention it.
 
-Rows are kept by hash of the key, so a lookup reads one folder of ``buckets`` whatever the table's size, and in it only the row groups of
-its key, as files are sorted by key and newest slot first. New transactions are appended; nothing is rewritten.
+It is a table of runs by hash of the key (``sources.keyed``). A lookup opens the runs of one bucket, fewer than ``fan`` of each level, and in them only the
+row groups whose Bloom filter and bounds allow the key. Taking a slot bucket in again changes nothing: pairs are
+unique. Runs are merged level by level, and a merge cuts each key to its newest ``depth``, so a hot key costs no more than others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slotweave.operators.lookups import build_index
+from slotweave.operators.ordered import top_per_key
+from slotweave.sources.keyed import RunTable
 
 BUCKETS = 256
+KEEP = ["signature", "slot", "idx"]
+ORDER = ["slot", "idx"]
+DEPTH = 1000  # transactions of a key
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+class IndexTable(RunTable):
+    """Rows key, ``unique`` and what orders them: of each key the newest ``depth`` (all for ``None``)."""
 
+    def __init__(
+        self, spark: SparkSession, path: str, schema: T.StructType, unique: str = "signature", order: list[str] = ORDER, depth: int | None = DEPTH,
+        buckets: int = BUCKETS, fan: int = 8, keep: int = 10,
+    ):
+        super().__init__(spark, path, schema, ["key"], buckets, fan, keep)
+        self.unique, self.order, self.depth = unique, order, depth
 
-def write_index(tx: DataFrame, array: str, path: str, keep: list[str] = ["signature", "slot", "idx"], buckets: int = BUCKETS, order: list[str] = ["slot", "idx"]) -> None:
-    """Append one row per (key, transaction) of the array column. Call it once for each new slot bucket.
+    def reduced(self, rows: DataFrame) -> DataFrame:
+        once = rows.dropDuplicates(["key", self.unique])
+        return once if self.depth is None else top_per_key(once, ["key"], self._newest(), self.depth, salt=64).drop("rn")
 
-    A hot key is spread over as many tasks as its rows need: rows are dealt by bucket through a rebalance, which splits large ones.
+    def _newest(self) -> list[Column]:
+        return [F.col(c).desc() for c in self.order]
+
+    def sorting(self) -> list[Column]:
+        return [F.col("key"), *self._newest()]
+
+    def options(self) -> dict[str, str]:
+        return {"parquet.bloom.filter.enabled#key": "true"}
+
+
+def _table(spark: SparkSession, path: str, schema: T.StructType, buckets: int, order: list[str], depth: int | None) -> IndexTable:
+    return IndexTable(spark, path, schema, order=order, depth=depth, buckets=buckets)
+
+
+def write_index(
+    tx: DataFrame, array: str, path: str, keep: list[str] = KEEP, buckets: int = BUCKETS, order: list[str] = ORDER, depth: int | None = DEPTH, batch: int | None = None
+) -> int:
+    """Take in the transactions of some slots, by the keys in the array column; the index's version that has them.
+
+    Call it for each new slot bucket, and again for one that has changed. With ``batch`` numbers of a stream, a replayed batch is not even read.
     """
-    rows = build_index(tx, array, "key", keep).withColumn("key_bucket", _bucket(F.col("key"), buckets))
-    dealt = rows.hint("rebalance", "key_bucket").sortWithinPartitions("key_bucket", "key", *[F.col(c).desc() for c in order])
-    dealt.write.mode("append").partitionBy("key_bucket").parquet(path)
+    rows = build_index(tx, array, "key", keep)
+    return _table(tx.sparkSession, path, rows.schema, buckets, order, depth).upsert(rows, batch)
 
 
-def read_by_key(spark: SparkSession, path: str, key: str, limit: int | None = 10, buckets: int = BUCKETS, order: list[str] = ["slot", "idx"]) -> DataFrame:
-    """The newest ``limit`` entries of a key (all for ``None``): one folder is read, and a top-k in each of its tasks."""
-    rows = spark.read.parquet(path).filter((F.col("key_bucket") == _bucket(F.lit(key), buckets)) & (F.col("key") == key)).drop("key_bucket")
+def read_by_key(
+    spark: SparkSession, path: str, key: str, limit: int | None = 10, buckets: int = BUCKETS, order: list[str] = ORDER, keep: str = "signature STRING, slot BIGINT, idx BIGINT"
+) -> DataFrame:
+    """The newest ``limit`` entries of a key (all that the index has for ``None``), with the columns that ``keep`` declares."""
+    schema = T.StructType([T.StructField("key", T.StringType()), *T.StructType.fromDDL(keep).fields])
+    rows = _table(spark, path, schema, buckets, order, None).read_keys(key)
     return rows if limit is None else rows.orderBy(*[F.col(c).desc() for c in order]).limit(limit)

@@ -54,10 +54,15 @@ def page(
     return out.orderBy(F.col(key).desc()).limit(limit)
 
 
+def mentions(program: str):
+    """Whether a transaction calls a program or lists it; as ``where`` of ``sources.tables.read_newest``, its rows are all that ``tracker_view`` needs."""
+    return F.array_contains("program_ids", program) | F.array_contains("accounts", program)
+
+
 def tracker_view(tx: DataFrame, program: str, keep: int = 100, show: int = 20, order: list[str] = ["slot", "idx"]) -> DataFrame:
     """The newest ``keep`` transactions of a program with their type; ``shown`` marks the newest ``show``."""
     desc = [F.col(c).desc() for c in order]
-    mine = tx.filter(F.array_contains("program_ids", program) | F.array_contains("accounts", program))
+    mine = tx.filter(mentions(program))
     kept = mine.orderBy(*desc).limit(keep)
     rank = F.row_number().over(W.orderBy(*desc))  # over the ``keep`` rows only
     return kept.withColumns({"instruction_type": instruction_type("instructions", program), "shown": rank <= show})

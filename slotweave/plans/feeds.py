@@ -7,32 +7,33 @@ from pyspark.sql import functions as F
 from slotweave import fixtures as X
 from slotweave.operators import filters as Fi
 from slotweave.operators.lookups import fan_out_topics
+from slotweave.operators.ordered import seq_bucket
 from slotweave.operators.stats import daily_stats
 from slotweave.plans.oracle_views import oracle
 from slotweave.plans.reads import LATEST, MINE, PROGRAM, type_sql
 from slotweave.plans.registry import ORACLES, query
 from slotweave.plans.relational import BLOCK_STATE, BLOCKS_SQL
 from slotweave.session import work_path
-from slotweave.streaming import feeds, stateful
+from slotweave.sources.keyed import KeyedTable
+from slotweave.streaming import feeds, folds, stateful
 
 
-def _events(v):
-    """The event table as a feed: files of up to a million rows, four at least, one a micro-batch, so that state crosses batches.
+def events_feed(v, rows: int = 1_000_000):
+    """The event table as a feed of up to ``rows`` rows a micro-batch, four micro-batches at least, so that state crosses them.
 
-    They are written one after the other, as a file feed is read in order of arrival.
+    One job writes it. Rows without an id come first.
     """
     events, path = v.base("events"), work_path(v.spark, "event-feed")
-    top, n = events.agg(F.coalesce(F.max("event_id"), F.lit(0)), F.count("*")).first()
-    parts = max(4, n // 1_000_000 + 1)
-    width = top // parts + 1
-    for i in range(parts):
-        events.filter(F.col("event_id").between(i * width, (i + 1) * width - 1)).coalesce(1).write.mode("append").parquet(path)
-    return feeds.read_feed(v.spark, path, events.schema, 1)
+    parts = max(4, -(-events.count() // rows))
+    cuts = sorted(set(events.stat.approxQuantile("event_id", [k / parts for k in range(1, parts)], 0.1 / parts)))
+    batch = sum((F.coalesce(F.col("event_id") >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    feeds.write_feed(events.withColumn("batch", batch), path, "batch", parts)
+    return feeds.read_feed(v.spark, path, events.schema, 1, recursiveFileLookup="true")
 
 
 @query("t1_assemble_blocks_stream", oracle("v_slot_messages", BLOCKS_SQL, st=BLOCK_STATE))
 def assemble(v):
-    return feeds.drain(stateful.assemble_blocks_stream(X.slot_messages(_events(v))), "blocks")
+    return feeds.drain(stateful.assemble_blocks_stream(X.slot_messages(events_feed(v))), "blocks")
 
 
 @query(
@@ -40,24 +41,24 @@ def assemble(v):
     oracle("v_account_updates", "SELECT seq, pubkey, owner, lamports FROM v_account_updates WHERE owner = 'purchase'"),
 )
 def filtered(v):
-    rows = Fi.filter_account_updates(X.account_updates(_events(v)), "", "purchase").select("seq", "pubkey", "owner", "lamports")
+    rows = Fi.filter_account_updates(X.account_updates(events_feed(v)), "", "purchase").select("seq", "pubkey", "owner", "lamports")
     return feeds.drain(rows, "filtered")
 
 
 @query("t3_dedup_stream", oracle("v_messages", "SELECT DISTINCT message_id FROM v_messages"))
 def dedup(v):
-    return feeds.drain(feeds.dedup_stream(X.messages(_events(v)), within=None).select("message_id"), "dedup")
+    return feeds.drain(feeds.dedup_stream(X.messages(events_feed(v)), within=None).select("message_id"), "dedup")
 
 
 @query("t3_dedup_within_watermark", oracle("v_messages", "SELECT DISTINCT message_id FROM v_messages"))
 def dedup_bounded(v):
     # copies of a message are minutes apart in this feed, so a day of memory is exact
-    return feeds.drain(feeds.dedup_stream(X.messages(_events(v)), within="1 day").select("message_id"), "dedup-bounded")
+    return feeds.drain(feeds.dedup_stream(X.messages(events_feed(v)), within="1 day").select("message_id"), "dedup-bounded")
 
 
 @query("t4_advancing_slots_stream", ORACLES["w5_advancing_slots"])
 def advancing(v):
-    rows = X.account_updates(_events(v)).select("seq", "owner", "slot")
+    rows = X.account_updates(events_feed(v)).select("seq", "owner", "slot")
     return feeds.drain(stateful.advancing_slots_stream(rows, "owner", ["seq"]), "advancing")
 
 
@@ -66,13 +67,71 @@ def advancing(v):
     oracle("v_account_updates", "SELECT seq, pubkey, slot FROM v_account_updates"),
 )
 def micro_batches(v):
-    rows = X.account_updates(_events(v)).select("seq", "pubkey", "slot")
+    rows = X.account_updates(events_feed(v)).select("seq", "pubkey", "slot")
     return feeds.drain(rows, "micro-batches")
 
 
+@query(
+    "t4_advancing_slots_folded",
+    ORACLES["w5_advancing_slots"],
+)
+def advancing_folded(v):
+    """Ranges of 100 rows, folded in parallel; a source's greatest slot is carried from batch to batch."""
+    rows = X.account_updates(events_feed(v)).select("seq", "owner", "slot")
+    path = work_path(v.spark, "advancing-fold")
+    folds.advancing_slots(rows, ["owner"], ["seq"], path, work_path(v.spark, "advancing-state"), seq_bucket(width=100)).awaitTermination()
+    return folds.read_rows(v.spark, path, rows.schema)
+
+
+@query("t11_slashing_folded", ORACLES["w2_slashing"])
+def slashing_folded(v):
+    rows = X.violations(events_feed(v))
+    path = work_path(v.spark, "slashing-fold")
+    folds.slashing(rows, 5.0, path, work_path(v.spark, "slashing-state")).awaitTermination()
+    made = folds.read_rows(v.spark, path, folds.slashing_columns(rows.schema))
+    return made.select("operator", "seq", F.col("total_severity").cast("double").alias("total_severity"), "slashed", "penalty")
+
+
+@query(
+    "t5_batches_by_count",
+    oracle("v_account_updates", """
+        SELECT seq, lane, (n - 1) // 50 AS batch_id, CASE WHEN (n - 1) // 50 < total // 50 THEN 'count' ELSE 'end' END AS closed_by
+        FROM (SELECT seq, seq % 3 AS lane, row_number() OVER (PARTITION BY seq % 3 ORDER BY seq) AS n, count(*) OVER (PARTITION BY seq % 3) AS total
+              FROM v_account_updates)"""),
+)
+def batches_by_count(v):
+    """Batches of 50 in each of three lanes, over several micro-batches, and what is open at the end of the feed."""
+    rows = X.account_updates(events_feed(v)).select("seq", (F.col("seq") % 3).alias("lane"))
+    made = stateful.micro_batches(rows, "lane", ["seq"], 50, "1 day")
+    checkpoint, path = work_path(v.spark, "lanes-state"), work_path(v.spark, "lanes")
+    feeds.start(made, path, checkpoint, by_clock=True).awaitTermination()
+    closed = v.spark.read.schema(made.schema).parquet(path)
+    return closed.unionByName(stateful.open_batches(v.spark, checkpoint, made.schema, "lane")).select("seq", "lane", "batch_id", "closed_by")
+
+
+@query("t3_dedup_expiring", oracle("v_messages", "SELECT message_id, min(seq) AS seq FROM v_messages GROUP BY message_id"))
+def dedup_expiring(v):
+    # ids are remembered for an hour by the clock: longer than this feed takes
+    rows = stateful.dedup_expiring(X.messages(events_feed(v)).select("message_id", "seq"), "1 hour")
+    return feeds.drain(rows, "dedup-expiring", by_clock=True)
+
+
+@query(
+    "t8_keyed_table",
+    oracle("v_account_updates", "SELECT pubkey, lamports, slot, seq FROM cur", cur=LATEST),
+)
+def keyed_table(v):
+    """The latest state as a table of key-hash buckets, merged while the feed goes on."""
+    order = ["slot", "write_version", "seq"]
+    rows = X.account_updates(events_feed(v)).select("pubkey", "lamports", *order)
+    table = KeyedTable(v.spark, work_path(v.spark, "accounts"), rows.schema, ["pubkey"], order, buckets=8, fan=2)
+    feeds.stream_table(rows, table, work_path(v.spark, "accounts-state")).awaitTermination()
+    return table.read().select("pubkey", "lamports", "slot", "seq")
+
+
 @query("t7_fan_out_stream", ORACLES["t7_fan_out_topics"])
 def fan_out(v):
-    rows = fan_out_topics(X.messages(_events(v)).drop("ts", "source"), ["all", "click", "signup"])
+    rows = fan_out_topics(X.messages(events_feed(v)).drop("ts", "source"), ["all", "click", "signup"])
     return feeds.drain(rows, "topics")
 
 
@@ -80,7 +139,7 @@ def fan_out(v):
 def upsert(v):
     order = ["slot", "write_version", "seq"]
     log = work_path(v.spark, "log")
-    rows = X.account_updates(_events(v)).select("pubkey", "lamports", *order)
+    rows = X.account_updates(events_feed(v)).select("pubkey", "lamports", *order)
     feeds.stream_upsert(rows, log, work_path(v.spark, "log-state"), "pubkey", order).awaitTermination()
     return feeds.read_upserted(v.spark, log, rows.schema, "pubkey", order).select("pubkey", "lamports", "slot", "seq")
 
@@ -148,7 +207,7 @@ def live_tracker_stats(v):
 @query("t6_evict_rooted_stream", oracle("v_slot_messages", BLOCKS_SQL, st=BLOCK_STATE))
 def evict(v):
     """Blocks as assembled with eviction on: state of rooted slots far behind is dropped."""
-    return feeds.drain(stateful.assemble_blocks_stream(X.slot_messages(_events(v)), keep_slots=1000), "evicting")
+    return feeds.drain(stateful.assemble_blocks_stream(X.slot_messages(events_feed(v)), keep_slots=1000), "evicting")
 
 
 @query(
@@ -159,7 +218,7 @@ def evict(v):
         FROM v_slot_messages GROUP BY kind"""),
 )
 def counters(v):
-    flagged = X.slot_messages(_events(v)).select(
+    flagged = X.slot_messages(events_feed(v)).select(
         "kind", (F.col("seq") % 11 == 0).alias("error"), (F.col("seq") % 11 != 0).alias("published"), F.col("slot").alias("seconds")
     )
     path = work_path(v.spark, "counters")
@@ -169,5 +228,5 @@ def counters(v):
 
 @query("t11_slashing_stream", ORACLES["w2_slashing"])
 def slashing(v):
-    rows = feeds.drain(stateful.slashing_stream(X.violations(_events(v)), 5.0), "slashing")
+    rows = feeds.drain(stateful.slashing_stream(X.violations(events_feed(v)), 5.0), "slashing")
     return rows.select("operator", "seq", F.col("total_severity").cast("double").alias("total_severity"), "slashed", "penalty")

@@ -33,6 +33,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                           WHEN event_type IN ('signup', 'purchase') THEN 'metadata'
                           ELSE 'status' END AS kind
               FROM events)"""),
+    "v_block_messages": (("v_slot_messages",), f"""
+        SELECT m.*, CASE WHEN kind = 'metadata' THEN
+                    list_transform(range(1, 1 + {K} % 4), lambda i: 'v' || i || ':' || ({K} * i - 100) || ':' || ({K} + i) || ':'
+                                   || CASE WHEN i % 2 = 0 THEN 'fee' ELSE 'voting' END || ':' || CASE WHEN i = 3 THEN '3' ELSE '' END) END AS rewards,
+               CASE WHEN kind = 'entry' THEN entry_index || ':' || ({K} * 3 + 1) || ':h' || event_id || ':' || {K} || ':'
+                    || CASE WHEN {K} % 2 = 0 THEN CAST({K} * 5 AS VARCHAR) ELSE '' END END AS entry
+        FROM v_slot_messages m JOIN events e ON e.event_id = m.seq"""),
     "v_messages": ((), """
         SELECT event_id AS seq, 'm' || (event_id // 3) AS message_id, 's' || (user_id % 100) AS source,
                [event_type, 'all'] AS topics, ts

@@ -8,7 +8,7 @@ from slotweave.operators import filters as Fi
 from slotweave.operators import parse, topk
 from slotweave.operators.latest import upsert_accounts, upsert_latest
 from slotweave.plans.oracle_views import oracle
-from slotweave.plans.registry import query
+from slotweave.plans.registry import ORACLES, query
 from slotweave.session import work_path
 from slotweave.sources import rpc, tables
 
@@ -391,6 +391,32 @@ def tracker_view(v):
     return topk.tracker_view(v.transactions, PROGRAM).select("signature", "slot", "instruction_type", "shown")
 
 
+STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_transactions(v) -> str:
+    """The transactions as a table of slot buckets, written once for each session and data folder."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in STORED:
+        path = work_path(v.spark, "transactions")
+        tables.write_bucketed(v.transactions, path, width=50)
+        STORED[key] = path
+    return STORED[key]
+
+
+@query("l3_newest_stored", ORACLES["l3_recent_transactions"])
+def newest_stored(v):
+    path = stored_transactions(v)
+    return tables.read_newest(v.spark, v.transactions.schema, path, 25).select("signature", "slot", "idx", "fee")
+
+
+@query("l8_tracker_stored", ORACLES["l8_tracker_view"])
+def tracker_stored(v):
+    """The tracker on a stored table: only the newest buckets that hold 100 transactions of the program are read."""
+    newest = tables.read_newest(v.spark, v.transactions.schema, stored_transactions(v), 100, where=topk.mentions(PROGRAM))
+    return topk.tracker_view(newest, PROGRAM).select("signature", "slot", "instruction_type", "shown")
+
+
 # --- latest state ---------------------------------------------------------------------------------------
 
 

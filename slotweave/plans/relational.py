@@ -56,7 +56,7 @@ def program_index(v):
     SELECT signature, slot FROM v_transactions WHERE list_contains(accounts, '{ACCOUNT_KEY}') ORDER BY slot DESC, idx DESC LIMIT 1000"""))
 def account_index(v):
     path = work_path(v.spark, "account-index")
-    for half in (0, 1):  # appended as slots come in
+    for half in (0, 1, 0):  # taken in as slots come; one comes twice
         write_index(v.transactions.filter(F.col("slot") % 2 == half), "accounts", path, buckets=16)
     return read_by_key(v.spark, path, ACCOUNT_KEY, 1000, buckets=16).select("signature", "slot")
 

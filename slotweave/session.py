@@ -80,19 +80,20 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that one of these jobs wrote, in whatever store it is."""
     if not os.path.basename(path.rstrip("/")).startswith(("cut-", "version=", "batch_id=", "upto=")):
         raise ValueError(f"{path} was not written by these jobs")
-    store, folder = _store(spark, path)
+    store, folder = file_store(spark, path)
     store.delete(folder, True)
 
 
-def _store(spark: SparkSession, path: str):
+def file_store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its object."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
 def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     """Numbers of the complete folders ``<name>=<number>`` in ``path``, ascending."""
-    store, folder = _store(spark, path)
+    store, folder = file_store(spark, path)
     if not store.exists(folder):
         return []
     found = [s.getPath().getName() for s in store.listStatus(folder)]
-    return sorted(int(x.partition("=")[2]) for x in found if x.startswith(f"{name}=") and store.exists(_store(spark, f"{path}/{x}/_SUCCESS")[1]))
+    return sorted(int(x.partition("=")[2]) for x in found if x.startswith(f"{name}=") and store.exists(file_store(spark, f"{path}/{x}/_SUCCESS")[1]))

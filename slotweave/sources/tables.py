@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotweave.schemas import TABLES, schema
+from slotweave.session import file_store
 
 SLOT_BUCKET_WIDTH = 432_000  # slots of one epoch
 
@@ -98,6 +99,39 @@ def read_bucketed(
     return df.filter(inside).drop("slot_bucket")
 
 
+def newest_buckets(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the slot buckets that are there, from the newest."""
+    store, folder = file_store(spark, path)
+    names = [s.getPath().getName() for s in store.listStatus(folder)]
+    return sorted((int(n.partition("=")[2]) for n in names if n.startswith("slot_bucket=") and n.partition("=")[2].lstrip("-").isdigit()), reverse=True)
+
+
+def read_newest(
+    spark: SparkSession, table: str | T.StructType, path: str, limit: int, order: list[str] = ["slot", "idx"], where: Column | None = None
+) -> DataFrame:
+    """The newest ``limit`` rows that ``where`` holds for, of a table written by ``write_bucketed``; ``order`` begins with the slot.
+
+    Buckets are walked from the newest, in twice as many at each step, until they hold enough rows: later slots are in later buckets, so
+    what is read depends on ``limit`` and on how rare the rows are, not on the history. Rows without a slot are the oldest.
+    """
+    schema_ = schema(table) if isinstance(table, str) else table
+    descending = [F.col(c).desc() for c in order]
+
+    def rows(buckets: list[int]) -> DataFrame:
+        found = spark.read.schema(schema_).parquet(*[f"{path}/slot_bucket={b}" for b in buckets]) if buckets else spark.createDataFrame([], schema_)
+        return found if where is None else found.filter(where)
+
+    every, taken, step, have = newest_buckets(spark, path), [], 1, 0
+    while every and have < limit:
+        new, every = every[:step], every[step:]
+        have += rows(new).select(F.lit(1)).limit(limit - have).count()
+        taken, step = taken + new, step * 2
+    if have < limit:
+        store, none = file_store(spark, f"{path}/slot_bucket=__HIVE_DEFAULT_PARTITION__")
+        taken += ["__HIVE_DEFAULT_PARTITION__"] if store.exists(none) else []
+    return rows(taken).orderBy(*descending).limit(limit)
+
+
 # --- hot and cold -----------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ are never dropped.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from slotweave.functions.scalars import instruction_type
 from slotweave.operators.filters import relevant_to_program
 from slotweave.operators.latest import latest_by
 from slotweave.operators.topk import tracker_view
-from slotweave.session import drop_folder, numbered, work_path
+from slotweave.session import drop_folder, file_store, numbered, work_path
+from slotweave.sources.keyed import KeyedTable
 
 
 def read_feed(
@@ -29,14 +31,45 @@ def read_feed(
     return spark.readStream.schema(schema).options(**options).option(*bound).parquet(path)
 
 
+def write_feed(df: DataFrame, path: str, batch: str, batches: int) -> None:
+    """Write a table as a file feed whose micro-batches are numbered from 0 by the column ``batch``: one job, a file for each.
+
+    A file feed is read by modification time, so the files are stamped in the order of their numbers, a second apart.
+    """
+    spark = df.sparkSession
+    df.repartitionById(batches, batch).write.partitionBy(batch).parquet(path)
+    store, folder = file_store(spark, path)
+    now = int(time.time())
+    for part in store.listStatus(folder):
+        name, _, number = part.getPath().getName().partition("=")
+        if name == batch:
+            for file in store.listStatus(part.getPath()):
+                store.setTimes(file.getPath(), (now - batches + int(number)) * 1000, -1)
+
+
+#: Whether a query runs batches without new rows. It takes the setting over when it starts.
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def start(
-    df: DataFrame, path: str, checkpoint: str, every: str | None = None, output_mode: str = "append"
+    df: DataFrame, path: str, checkpoint: str, every: str | None = None, output_mode: str = "append", by_clock: bool = False
 ) -> StreamingQuery:
     """Append a stream to Parquet. ``every="100 milliseconds"`` publishes micro-batches at that
-    pace; without it the query takes what is there in bounded batches and stops."""
+    pace; without it the query takes what is there in bounded batches and stops.
+
+    ``by_clock``: the stream holds timers of the clock or state that expires by it. Such a query always has another batch
+    without rows before it, so one that is to stop must start without these."""
     writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.format("parquet").start(path)
+    if every or not by_clock:
+        return writer.format("parquet").start(path)
+    spark = df.sparkSession
+    before = spark.conf.get(IDLE)
+    spark.conf.set(IDLE, "false")
+    try:
+        return writer.format("parquet").start(path)
+    finally:
+        spark.conf.set(IDLE, before)
 
 
 def start_batches(
@@ -47,11 +80,11 @@ def start_batches(
     return writer.foreachBatch(handle).start()
 
 
-def drain(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def drain(df: DataFrame, name: str, output_mode: str = "append", by_clock: bool = False) -> DataFrame:
     """Run a stream over everything its source holds and give the result as a table."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    start(df, path, work_path(spark, f"{name}-state"), output_mode=output_mode).awaitTermination()
+    start(df, path, work_path(spark, f"{name}-state"), output_mode=output_mode, by_clock=by_clock).awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,12 +101,12 @@ def batch_folder(path: str, prepare: Callable[[DataFrame], DataFrame] = lambda d
 # --- duplicates -----------------------------------------------------------------------------------
 
 
-def dedup_stream(messages: DataFrame, within: str | None = None, key: str = "message_id", time: str = "ts") -> DataFrame:
+def dedup_stream(messages: DataFrame, within: str | None = None, key: str = "message_id", order: str = "ts") -> DataFrame:
     """First of every id. Ids are remembered for ever, unless ``within`` bounds the state: then an id is remembered for that long
     in event time, and rows later than that behind the newest one are dropped by the watermark."""
     if within is None:
         return messages.dropDuplicates([key])
-    return messages.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+    return messages.withWatermark(order, within).dropDuplicatesWithinWatermark([key])
 
 
 # --- upserts ----------------------------------------------------------------------------------------
@@ -85,6 +118,11 @@ def stream_upsert(df: DataFrame, log: str, checkpoint: str, key: str, order: lis
     return start_batches(df, batch_folder(log, lambda b: latest_by(b, [key], F.struct(*order))), checkpoint, every)
 
 
+def stream_table(df: DataFrame, table: KeyedTable, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Keep a latest-state table from a feed: each micro-batch becomes a version of ``table``, once, however often it is run."""
+    return start_batches(df, lambda batch, n: table.upsert(batch, n), checkpoint, every)
+
+
 def read_upserted(spark: SparkSession, log: str, schema: T.StructType, key: str, order: list[str], last: int | None = None) -> DataFrame:
     """Current rows of a log written by ``stream_upsert``, up to batch ``last``."""
     done = numbered(spark, f"{log}/compact", "upto")

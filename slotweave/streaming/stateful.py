@@ -1,7 +1,8 @@
 """Keyed state jobs: what a key has seen so far decides about its next row.
 
-State per key is a few numbers and never a list. Rows of a key are ordered inside a micro-batch, whose
-size the source's rate options bound; the order between micro-batches is the feed's.
+State per key is a few numbers, and for a slot the rewards of one block and the entries of one chunk. Rows of a key are ordered inside a
+micro-batch, whose size the source's rate options bound; the order between micro-batches is the feed's. Folds of keys
+that may be hot are in ``streaming.folds``, which never brings a key's rows together.
 """
 
 from __future__ import annotations
@@ -9,15 +10,17 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from slotweave.functions.scalars import DEFAULT_PENALTY, PENALTY, SEVERITY
-from slotweave.operators.assembly import BLOCK_COLUMNS, METADATA
+from slotweave.operators.assembly import BLOCK_COLUMNS, CHUNK, ENTRY, METADATA
+from slotweave.schemas import REWARD
 
 # The worker that sets up a stateful query on the driver's side does not see files added to the application.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +37,12 @@ def _ordered(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(order, ignore_index=True)
 
 
+def _exact(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Whole numbers as decimals: pandas would hold those of a column with NULLs as floats, which a state doesn't take and which lose digits."""
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, T.IntegralType)]
+    return df.withColumns({c: F.col(c).cast("decimal(20,0)") for c in whole}) if whole else df
+
+
 class _Advance(StatefulProcessor):
     def __init__(self, order: list[str]):
         self.order = order
@@ -108,76 +117,280 @@ SLOT_STATE = T.StructType(
 )
 
 
-def _long(x) -> int | None:
-    return None if x is None or pd.isna(x) else int(x)
-
-
 def _plain(x):
     return None if x is None or pd.isna(x) else x if isinstance(x, str) else int(x)
 
 
-def _last(column: pd.Series, where: pd.Series, before) -> pd.Series:
+def _last(column: pd.Series, where: pd.Series, before) -> np.ndarray:
     """For each row the value at the latest row so far that ``where`` marks, NULL or not; ``before`` if there is none."""
-    place = pd.Series(range(len(column))).where(where.to_numpy(), -1).cummax()
-    values = [*(_plain(x) for x in column), before]  # -1 is the last one
-    return pd.Series([values[i] for i in place], dtype="object" if isinstance(before, str) or column.dtype == object else "Int64")
+    place = np.maximum.accumulate(np.where(where.to_numpy(), np.arange(len(column)), -1))
+    values = np.empty(len(column) + 1, object)
+    values[0] = before
+    values[1:] = column.astype(object).where(column.notna(), None).to_numpy()
+    return values.take(place + 1)
+
+
+def _replace(state, rows: list[tuple]) -> None:
+    """What a list state holds; it takes no empty list."""
+    state.put(rows) if rows else state.clear()
 
 
 class _Assemble(StatefulProcessor):
-    """Holds the open state of one slot: the last metadata, the status and two counters."""
+    """Holds the open state of one slot: the last metadata with its rewards, the status and two counters."""
 
-    def __init__(self, evict: bool):
-        self.evict = evict
+    def __init__(self, evict: bool, rewards: bool = False, sweep: int | None = None):
+        self.evict, self.rewards, self.sweep = evict, rewards, sweep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("slot", SLOT_STATE)
+        if self.rewards:
+            self.paid = handle.getListState("rewards", REWARD_STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        slot, pdf = int(key[0]), _ordered(rows, ["seq"])
+        slot, pdf = key[0], _ordered(rows, ["seq"])
         fresh = not self.state.exists()
         s = dict.fromkeys(SLOT_STATE.names) if fresh else dict(zip(SLOT_STATE.names, self.state.get()))
         meta, status, entry = (pdf["kind"] == k for k in ("metadata", "status", "entry"))
         if fresh and status.iloc[0]:
-            s["parent_slot"] = _long(pdf["parent"].iloc[0])
+            s["parent_slot"] = _plain(pdf["parent"].iloc[0])
         now = {"seq": pdf["seq"], "entries": (s["entries"] or 0) + entry.cumsum()}
         now["executed_tx"] = (s["executed_tx"] or 0) + pdf["executed_tx"].where(entry).fillna(0).astype("int64").cumsum()
         # what the last metadata, parent and status said: the place of that message, or the state so far
         for name, where in [*((c, meta) for c in METADATA), ("parent_slot", meta & pdf["parent_slot"].notna()), ("status", status)]:
             now[name] = _last(pdf[name], where, s[name])
+        if self.rewards:
+            paid = None if fresh else [tuple(r) for r in self.paid.get()]
+            now["rewards"] = _last(pdf["rewards"].map(_records), meta, paid or [])
+            if meta.any():
+                _replace(self.paid, now["rewards"][-1] or [])
         table = pd.DataFrame(now)
         self.state.update(tuple(_plain(table[c].iloc[-1]) for c in SLOT_STATE.names))
-        if self.evict and table["status"].iloc[-1] == "rooted":
-            self.handle.registerTimer((slot + 1) * 1000)
+        if table["status"].iloc[-1] == "rooted":
+            if self.evict:
+                self.handle.registerTimer((int(slot) + 1) * 1000)
+            elif self.sweep is not None:
+                self._rearm(timerValues)
         out = table[~entry & (table["status"] == "rooted")].assign(slot=slot)
         out["entry_count"] = out["entry_count"].where(out["entry_count"].notna(), out["entries"])
-        yield out[BLOCK_COLUMNS]
+        if self.rewards:
+            out["rewards"] = out["rewards"].map(lambda r: r or [])
+        yield out[[*BLOCK_COLUMNS, *(["rewards"] if self.rewards else [])]]
+
+    def _rearm(self, timerValues) -> None:
+        """One timer a slot: a message moves it on."""
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.sweep)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.state.exists():
             self.state.clear()
+            if self.rewards:
+                self.paid.clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+REWARD_STATE = T.StructType(
+    [T.StructField("pubkey", T.StringType()), T.StructField("lamports", T.LongType()), T.StructField("post_balance", T.DecimalType(20, 0)),
+     T.StructField("reward_type", T.StringType()), T.StructField("commission", T.ByteType())]
+)
+
+
+def _records(rewards) -> list[tuple] | None:
+    """A list of rewards as tuples, in the order of their fields, however it came over."""
+    if rewards is None or (isinstance(rewards, float) and np.isnan(rewards)):
+        return None
+    return [tuple(r.get(f) for f in REWARD_STATE.names) if isinstance(r, dict) else tuple(r) for r in rewards]
+
+
+class _Chunks(StatefulProcessor):
+    """Holds the status of one slot, how many entries it has had, and those of its open chunk."""
+
+    def __init__(self, size: int, fields: list[str], types: T.StructType):
+        self.size, self.fields, self.types = size, fields, types
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("slot", T.StructType([T.StructField("status", T.StringType()), T.StructField("entries", T.LongType())]))
+        self.open = handle.getListState("open", self.types)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _ordered(rows, ["seq"])
+        known = self.state.get() if self.state.exists() else (None, 0)
+        entry = (pdf["kind"] == "entry").to_numpy()
+        status = _last(pdf["status"], pdf["kind"] == "status", known[0])
+        held = [tuple(r) for r in self.open.get()] if known[1] % self.size else []
+        first = known[1] - len(held)  # entries in full chunks
+        columns = [pdf[c].astype(object).where(pdf[c].notna(), None).to_numpy()[entry] for c in self.fields]
+        held += list(zip(*columns))
+        count = known[1] + np.cumsum(entry)
+        seq = pdf["seq"].to_numpy()
+        filled = entry & (count % self.size == 0)
+        shown = ~entry & (status == "rooted") & (count % self.size > 0)
+        out = []
+        for i in np.flatnonzero(filled | shown).tolist():
+            chunk = (int(count[i]) - 1) // self.size
+            lo, hi = chunk * self.size - first, int(count[i]) - first
+            out.append((key[0], seq[i], chunk, held[lo:hi]))
+        total = int(count[-1])
+        self.state.update((_plain(status[-1]), total))
+        if entry.any():
+            _replace(self.open, held[total // self.size * self.size - first :])
+        yield pd.DataFrame(out, columns=["slot", "seq", "chunk", "entries"])
+
+    def close(self) -> None:
+        pass
+
+
+def block_entries_stream(messages: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Streaming form of ``operators.assembly.block_entries``: the same rows. A slot's state holds fewer than ``size`` entries."""
+    fields = [c for c in ENTRY if c in messages.columns]
+    own = T.ArrayType(T.StructType([messages.schema[c] for c in fields]))
+    exact = _exact(messages.select("slot", "seq", "kind", "status", *fields), fields)
+    types = T.StructType([exact.schema[c] for c in fields])
+    schema = T.StructType(
+        [messages.schema["slot"], messages.schema["seq"], T.StructField("chunk", T.LongType()), T.StructField("entries", T.ArrayType(types))]
+    )
+    return _with_state(exact, ["slot"], _Chunks(size, fields, types), schema).withColumn("entries", F.col("entries").cast(own))
+
+
 BLOCK_SCHEMA = (
     "slot BIGINT, seq BIGINT, parent_slot BIGINT, status STRING, blockhash STRING, block_time BIGINT, "
     "block_height BIGINT, transaction_count BIGINT, entry_count BIGINT, executed_tx BIGINT"
 )
 
 
-def assemble_blocks_stream(messages: DataFrame, keep_slots: int | None = None) -> DataFrame:
-    """Streaming form of ``operators.assembly.assemble_blocks``.
+def assemble_blocks_stream(messages: DataFrame, keep_slots: int | None = None, sweep: str | None = None) -> DataFrame:
+    """Streaming form of ``operators.assembly.assemble_blocks``, with ``rewards`` if messages have them.
 
     With ``keep_slots`` the slot number acts as event time: the state of a rooted slot is dropped
-    once the newest slot is that many slots ahead, and messages later than that are ignored.
+    once the newest slot is that many slots ahead. Messages later than that are ignored; the query's progress counts them
+    (``monitor.late_rows``).
+
+    With ``sweep`` (like ``"60 seconds"``) the state of a rooted slot is dropped when that much time has gone by on the clock
+    since its last message, be there new input or not; a later message opens the slot anew.
     """
+    if keep_slots is not None and sweep is not None:
+        raise ValueError("state is dropped by slots or by the clock, not by both")
+    rewards = "rewards" in messages.columns
+    schema = BLOCK_SCHEMA + (f", rewards ARRAY<{REWARD}>" if rewards else "")
     if keep_slots is None:
-        return _with_state(messages, ["slot"], _Assemble(False), BLOCK_SCHEMA)
+        pause = None if sweep is None else int(pd.Timedelta(sweep).total_seconds() * 1000)
+        return _with_state(messages, ["slot"], _Assemble(False, rewards, pause), schema, "None" if sweep is None else "ProcessingTime")
     # One second per slot. Times start at 1 because the first watermark is 0; a time equal to the
     # watermark is late, so the extra second keeps the slot exactly ``keep_slots`` behind.
     timed = messages.withColumn("slot_time", F.timestamp_seconds(F.col("slot") + 1))
     timed = timed.withWatermark("slot_time", f"{keep_slots + 1} seconds")
-    return _with_state(timed, ["slot"], _Assemble(True), BLOCK_SCHEMA, "EventTime")
+    return _with_state(timed, ["slot"], _Assemble(True, rewards), schema, "EventTime")
+
+
+# --- batches that close by count or by time ---------------------------------------------------------
+
+
+class _Batches(StatefulProcessor):
+    """Holds the rows of a lane's open batch, fewer than ``size``, and the number of batches before it."""
+
+    def __init__(self, size: int, pause: int, order: list[str], columns: list[str], types: T.StructType, lane: str):
+        self.size, self.pause, self.order, self.columns, self.types, self.lane = size, pause, order, columns, types, lane
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("lane", T.StructType([T.StructField("batches", T.LongType()), T.StructField("held", T.LongType())]))
+        self.open = handle.getListState("open", self.types)
+
+    def _closed(self, lane, rows: list[tuple], first: int, reason: str) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.columns)
+        out.insert(0, self.lane, lane)
+        return out.assign(batch_id=first + np.arange(len(rows)) // self.size, closed_by=reason)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _ordered(rows, self.order)[self.columns]
+        batches, held = self.state.get() if self.state.exists() else (0, 0)
+        new = list(zip(*[pdf[c].astype(object).where(pdf[c].notna(), None).to_numpy() for c in self.columns]))
+        full = (held + len(new)) // self.size
+        if full:
+            every = [tuple(r) for r in self.open.get()] + new if held else new
+            yield self._closed(key[0], every[: full * self.size], batches, "count")
+            rest = every[full * self.size :]
+            _replace(self.open, rest)
+            self._disarm()
+        else:
+            rest = new
+            self.open.appendList(new)
+        left = held + len(new) - full * self.size
+        if left and (full or not held):
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.pause)
+        self.state.update((batches + full, left))
+
+    def _disarm(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        batches, held = self.state.get() if self.state.exists() else (0, 0)
+        if not held:
+            return
+        yield self._closed(key[0], [tuple(r) for r in self.open.get()], batches, "time")
+        self.open.clear()
+        self.state.update((batches + 1, 0))
+
+    def close(self) -> None:
+        pass
+
+
+def micro_batches(df: DataFrame, lane: str, order: list[str], size: int = 1000, pause: str = "100 milliseconds") -> DataFrame:
+    """Number the rows of each lane in batches that close at ``size`` rows, or ``pause`` after their first row came.
+
+    Adds batch_id (from 0) and closed_by (count or time). The rows of a batch that is still open are in the state: run with a short
+    ``every`` to have them closed by time, or take them with ``open_batches`` when the feed has ended. Deal a
+    feed to lanes by a hash, so that all are about as busy; a lane's state holds fewer than ``size`` rows.
+    """
+    columns = [c for c in df.columns if c != lane]
+    exact = _exact(df, columns)
+    types = T.StructType([exact.schema[c] for c in columns])
+    schema = T.StructType([df.schema[lane], *types.fields, T.StructField("batch_id", T.LongType()), T.StructField("closed_by", T.StringType())])
+    processor = _Batches(size, int(pd.Timedelta(pause).total_seconds() * 1000), order, columns, types, lane)
+    return _with_state(exact, [lane], processor, schema, "ProcessingTime").select(lane, *[F.col(c).cast(df.schema[c].dataType) for c in columns], "batch_id", "closed_by")
+
+
+def open_batches(spark: SparkSession, checkpoint: str, schema: T.StructType, lane: str) -> DataFrame:
+    """What a stopped query of ``micro_batches`` had not closed, as rows of its ``schema``: the flush at the end of a feed."""
+    state = spark.read.format("statestore").option("path", checkpoint)
+    rows = state.option("stateVarName", "open").load().select(F.col("key")[lane].alias(lane), "list_element.*")
+    count = state.option("stateVarName", "lane").load().select(F.col("key")[lane].alias(lane), F.col("value.batches").alias("batch_id"))
+    both = rows.join(count, lane).withColumn("closed_by", F.lit("end"))
+    return both.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+
+
+# --- ids that are forgotten after a while -----------------------------------------------------------
+
+
+class _Expiring(StatefulProcessor):
+    """Holds a mark per id until its time to live is over."""
+
+    def __init__(self, keep: int, order: list[str], columns: list[str]):
+        self.keep, self.order, self.columns = keep, order, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]), self.keep)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = _ordered(rows, self.order)
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield pdf[self.columns].iloc[:1]
+
+    def close(self) -> None:
+        pass
+
+
+def dedup_expiring(messages: DataFrame, keep: str = "60 seconds", key: str = "message_id", order: list[str] = ["seq"]) -> DataFrame:
+    """First of every id; an id is forgotten ``keep`` after it was let through, by the clock, and is let through once more when it comes again.
+
+    Repeated ids don't prolong that. State is a mark per id of the last ``keep``, and falls without new input.
+    """
+    processor = _Expiring(int(pd.Timedelta(keep).total_seconds() * 1000), order, messages.columns)
+    return _with_state(messages, [key], processor, messages.schema, "ProcessingTime")
