@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotweave import session
 from slotweave.session import cut_lineage, drop_folder, hand_over
 
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
@@ -227,7 +228,7 @@ def _join_nulls(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     """Join on columns of equal names whose NULLs match each other; they are returned once."""
     renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
     joined = left.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on]), how)
-    return joined if how == "left_semi" else joined.drop(*[f"_right_{c}" for c in on])
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{c}" for c in on])
 
 
 def stake_with_cap(
@@ -240,31 +241,31 @@ def stake_with_cap(
     count. ``order`` must be unique within an operator; ``bucket`` cuts it into ranges (default: by the first
     column, an arrival number). A NULL operator is an operator like any other; a NULL amount is invalid.
 
-    An operator whose eligible requests fit under the cap needs no order at all. For the others one
-    running sum accepts everything before the first request that does not fit. After that only
+    An operator whose eligible requests fit under the cap needs no order at all: nothing of it is stored. Of the others
+    one running sum accepts everything before the first request that does not fit. After that only
     requests that still fit can change anything, so each round takes the next ``chunk`` requests
     that fit the room left (a bounded group, found by a two-step top-n), folds them, and drops the
     requests that no longer fit. Room only shrinks, so what is left after a round is smaller than
-    everything refused so far. Requests for nothing always fit and take no part. The events are stored once and read
-    from there; the rounds hand over through tables in the shared folder, each deleted when the next is complete.
+    everything refused so far. Requests for nothing always fit and take no part, and those above the cap never fit. The events are
+    read three times: for the sums, for crowded operators' requests and for the result, which joins what was refused. Rounds hand
+    over through tables in the shared folder; all but that of the refused requests are deleted.
     """
     if chunk < 1:
         raise ValueError("chunk must be positive")
     if not 0 <= cap < 2**62:
         raise ValueError("cap must fit a signed 64-bit number with room for one more request")
-    events = cut_lineage(events)
-    amount = F.col("amount")
+    spark, amount = events.sparkSession, F.col("amount")
     sums = events.filter(amount >= minimum).groupBy("operator").agg(F.sum(amount.cast("decimal(38,0)")).alias("_sum"))
     crowded = sums.filter(F.col("_sum") > cap).select("operator")
     cols = list(dict.fromkeys(["operator", *order, "amount"]))
-    requests = events.filter((amount >= minimum) & (amount <= cap) & (amount > 0)).withColumn("amount", amount.cast("bigint")).select(*cols)
+    eligible = events.filter((amount >= minimum) & (amount <= cap) & (amount > 0)).withColumn("amount", amount.cast("bigint")).select(*cols)
+    requests, stored = session.hand_over(_join_nulls(eligible, crowded, ["operator"], "left_semi"))
     ranges = seq_bucket(order[0]) if bucket is None else bucket
-    summed = running(_join_nulls(requests, crowded, ["operator"], "left_semi"), ["operator"], order, ranges, {"_run": ("sum", amount.cast("decimal(38,0)"))})
-    summed = cut_lineage(summed)
-    first = summed.filter(F.col("_run") <= cap)
-    taken = [first.select("operator", *order)]
-    rooms = first.groupBy("operator").agg((F.lit(cap) - F.max("_run")).cast("bigint").alias("_room"))
-    rest = _join_nulls(summed.filter(F.col("_run") > cap), rooms, ["operator"], "left").withColumn("_room", F.coalesce("_room", F.lit(cap)))
+    summed, summing = session.hand_over(running(requests, ["operator"], order, ranges, {"_run": ("sum", amount.cast("decimal(38,0)"))}))
+    drop_folder(spark, stored)
+    rooms = summed.filter(F.col("_run") <= cap).groupBy("operator").agg((F.lit(cap) - F.max("_run")).cast("bigint").alias("_room"))
+    beyond = summed.filter(F.col("_run") > cap)
+    rest = _join_nulls(beyond, rooms, ["operator"], "left").withColumn("_room", F.coalesce("_room", F.lit(cap)))
     left, path = hand_over(rest.filter(amount <= F.col("_room")).select(*cols, "_room"))
     decided = T.StructType(
         [*left.select("operator", *order).schema.fields, T.StructField("_taken", T.BooleanType()), T.StructField("_next", T.LongType())]
@@ -278,23 +279,28 @@ def stake_with_cap(
             room -= amount if taken[-1] else 0
         return pdf[["operator", *order]].assign(_taken=taken, _next=room)
 
-    position = F.struct(*order)
+    position, taken, folders = F.struct(*order), [], [summing]
     while not left.isEmpty():
         window = top_per_key(left, ["operator"], [F.col(c).asc() for c in order], chunk, salt=64)
-        done = cut_lineage(window.groupBy("operator").applyInPandas(fold, decided))
+        done, folder = session.hand_over(window.groupBy("operator").applyInPandas(fold, decided))
         taken.append(done.filter("_taken").select("operator", *order))
+        folders.append(folder)
         state = done.groupBy("operator").agg(F.max(position).alias("_end"), F.min("_next").alias("_next"))
         rest = _join_nulls(left, state, ["operator"]).filter((position > F.col("_end")) & (amount <= F.col("_next")))
         before, (left, path) = path, hand_over(rest.select(*cols, F.col("_next").alias("_room")))
-        drop_folder(events.sparkSession, before)
-    drop_folder(events.sparkSession, path)
-
-    marked = _join_nulls(events, crowded.withColumn("_crowded", F.lit(True)), ["operator"], "left")
-    marked = _join_nulls(marked, reduce(DataFrame.unionByName, taken).withColumn("_taken", F.lit(True)), ["operator", *order], "left")
+        drop_folder(spark, before)
+
+    refused = beyond.select("operator", *order)
+    if taken:
+        refused = _join_nulls(refused, reduce(DataFrame.unionByName, taken), ["operator", *order], "left_anti")
+    refused = cut_lineage(refused).withColumn("_refused", F.lit(True))
+    for folder in [path, *folders]:
+        drop_folder(spark, folder)
+    marked = _join_nulls(events, refused, ["operator", *order], "left")
     decision = (
         F.when(amount.isNull(), "invalid")
         .when(amount < minimum, "below minimum")
-        .when(F.col("_crowded").isNull() | F.col("_taken").isNotNull() | (amount == 0), "accepted")
-        .otherwise("over cap")
+        .when((amount > cap) | F.col("_refused").isNotNull(), "over cap")
+        .otherwise("accepted")
     )
-    return marked.withColumn("decision", decision).drop("_crowded", "_taken")
+    return marked.withColumn("decision", decision).drop("_refused")
