@@ -18,16 +18,24 @@ from slotweave.sources.keyed import KeyedTable
 from slotweave.streaming import feeds, folds, stateful
 
 
+FEEDS: dict[tuple, str] = {}
+
+
 def events_feed(v, rows: int = 1_000_000):
     """The event table as a feed of up to ``rows`` rows a micro-batch, four micro-batches at least, so that state crosses them.
 
-    One job writes it. Rows without an id come first.
+    One job writes it, once for each session and data folder. Rows without an id come first.
     """
-    events, path = v.base("events"), work_path(v.spark, "event-feed")
+    key = (v.spark.sparkContext.applicationId, v.sf_dir, rows)
+    events = v.base("events")
+    if key in FEEDS:
+        return feeds.read_feed(v.spark, FEEDS[key], events.schema, 1, recursiveFileLookup="true")
+    path = work_path(v.spark, "event-feed")
     parts = max(4, -(-events.count() // rows))
     cuts = sorted(set(events.stat.approxQuantile("event_id", [k / parts for k in range(1, parts)], 0.1 / parts)))
     batch = sum((F.coalesce(F.col("event_id") >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
     feeds.write_feed(events.withColumn("batch", batch), path, "batch", parts)
+    FEEDS[key] = path
     return feeds.read_feed(v.spark, path, events.schema, 1, recursiveFileLookup="true")
 
 

@@ -11,6 +11,7 @@ from slotweave.plans.oracle_views import oracle
 from slotweave.plans.registry import ORACLES, query
 from slotweave.session import work_path
 from slotweave.sources import rpc, tables
+from slotweave.sources.tiers import TieredTable
 
 ACCOUNT = "pubkey, owner, lamports, slot, write_version, executable, is_startup"
 PROGRAM, ACCOUNT_KEY = "Brand#13", "supp7"
@@ -141,6 +142,17 @@ def hot_cold(v):
     return merged.select("pubkey", "lamports", "slot", "write_version")
 
 
+@query("s8_moving_cut", oracle("v_account_updates", "SELECT pubkey, lamports, slot, write_version, seq FROM v_account_updates"))
+def moving_cut(v):
+    """Rows come in while the cut between the hot and the cold store moves over them, some behind it."""
+    rows = v.account_updates.select("pubkey", "lamports", "slot", "write_version", "seq")
+    table = TieredTable(v.spark, work_path(v.spark, "hot"), work_path(v.spark, "cold"), rows.schema, width=10)
+    for k, slot in enumerate((25, 60, 40)):
+        table.append(rows.filter(F.col("seq") % 3 == k))
+        table.move(slot)
+    return table.read()
+
+
 # --- filters ------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from slotweave.operators.index import read_by_key, write_index
 from slotweave.operators.latest import last_votes, latest_by, latest_metrics, operator_status, upsert_accounts
 from slotweave.plans.oracle_views import oracle
 from slotweave.plans.reads import ACCOUNT_KEY, LATEST, MINE, PROGRAM, type_sql
-from slotweave.plans.registry import query
+from slotweave.plans.registry import ORACLES, query
 from slotweave.session import work_path
 
 MIN_STAKE = 1_000_000_000
@@ -52,6 +52,20 @@ def program_index(v):
     return read_by_key(v.spark, path, PROGRAM, 1000, buckets=16).select("signature", "slot")
 
 
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+@query("k1_lookup_stored", ORACLES["k1_index_by_program"])
+def stored_lookup(v):
+    """A lookup in an index that is there: it is built once for each session and data folder."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir)
+    if key not in INDEXES:
+        path = work_path(v.spark, "stored-index")
+        write_index(v.transactions, "program_ids", path, buckets=16)
+        INDEXES[key] = path
+    return read_by_key(v.spark, INDEXES[key], PROGRAM, 1000, buckets=16).select("signature", "slot")
+
+
 @query("k2_index_by_account", oracle("v_transactions", f"""
     SELECT signature, slot FROM v_transactions WHERE list_contains(accounts, '{ACCOUNT_KEY}') ORDER BY slot DESC, idx DESC LIMIT 1000"""))
 def account_index(v):

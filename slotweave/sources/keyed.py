@@ -22,6 +22,43 @@ from slotweave.session import file_store
 BUCKET = "_bucket"
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the manifests that a table at ``path`` still has, ascending."""
+    store, folder = file_store(spark, f"{path}/manifests")
+    if not store.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in store.listStatus(folder)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+
+
+def read_manifest(spark: SparkSession, path: str, version: int | None = None) -> dict | None:
+    """The newest manifest or that of a version; ``None`` if there is none at all."""
+    known = versions(spark, path)
+    if version is None:
+        if not known:
+            return None
+        version = known[-1]
+    elif version not in known:
+        raise ValueError(f"{path} has no version {version} any more, only {known}")
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{version:012d}.json").collect()))
+
+
+def commit_manifest(spark: SparkSession, path: str, version: int, held: dict) -> None:
+    """Make a version the newest, in one step: the file gets its name when it is whole."""
+    store, target = file_store(spark, f"{path}/manifests/{version:012d}.json")
+    _, draft = file_store(spark, f"{path}/manifests/draft-{uuid.uuid4().hex}")
+    out = store.create(draft, True)
+    out.write(bytearray(json.dumps(held).encode()))
+    out.close()
+    if store.exists(target) or not store.rename(draft, target):
+        raise RuntimeError(f"{target.toString()} is already there: two writers")
+
+
+def drop_manifest(spark: SparkSession, path: str, version: int) -> None:
+    store, file = file_store(spark, f"{path}/manifests/{version:012d}.json")
+    store.delete(file, False)
+
+
 @dataclass
 class Manifest:
     """``runs`` maps each run to (level, its buckets in force); ``batch`` is the last batch that is in."""
@@ -55,33 +92,17 @@ class RunTable:
     # --- manifests ------------------------------------------------------------------------------
 
     def versions(self) -> list[int]:
-        store, folder = file_store(self.spark, f"{self.path}/manifests")
-        if not store.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in store.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+        return versions(self.spark, self.path)
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The newest manifest, or that of a version; an empty one before the first upsert."""
-        versions = self.versions()
-        if version is None:
-            if not versions:
-                return Manifest(buckets=self.buckets)
-            version = versions[-1]
-        elif version not in versions:
-            raise ValueError(f"{self.path} has no version {version} any more, only {versions}")
-        text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/manifests/{version:012d}.json").collect())
-        held = json.loads(text)
+        held = read_manifest(self.spark, self.path, version)
+        if held is None:
+            return Manifest(buckets=self.buckets)
         return Manifest(held["version"], held["batch"], held["buckets"], {k: (level, own) for k, (level, own) in held["runs"].items()})
 
     def _commit(self, m: Manifest) -> None:
-        store, target = file_store(self.spark, f"{self.path}/manifests/{m.version:012d}.json")
-        _, draft = file_store(self.spark, f"{self.path}/manifests/draft-{uuid.uuid4().hex}")
-        out = store.create(draft, True)
-        out.write(bytearray(json.dumps({"version": m.version, "batch": m.batch, "buckets": m.buckets, "runs": m.runs}).encode()))
-        out.close()
-        if not store.rename(draft, target):
-            raise RuntimeError(f"{target.toString()} is already there: two writers")
+        commit_manifest(self.spark, self.path, m.version, {"version": m.version, "batch": m.batch, "buckets": m.buckets, "runs": m.runs})
 
     # --- reading --------------------------------------------------------------------------------
 
@@ -169,7 +190,7 @@ class RunTable:
             return
         named = {run for v in kept for run in self.manifest(v).runs}
         for v in old:
-            store.delete(file_store(self.spark, f"{self.path}/manifests/{v:012d}.json")[1], False)
+            drop_manifest(self.spark, self.path, v)
         for s in store.listStatus(folder):
             if s.getPath().getName() not in named:
                 store.delete(s.getPath(), True)

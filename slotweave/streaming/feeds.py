@@ -191,40 +191,52 @@ def live_mix(tx: DataFrame, program: str) -> DataFrame:
 
 def live_tracker(tx: DataFrame, program: str, path: str, checkpoint: str, keep: int = 100, every: str | None = None) -> StreamingQuery:
     """Newest ``keep`` transactions after every micro-batch, in a new folder ``version=<batch>``:
-    the last version and the batch together hold all that can be among the newest."""
+    the last version before it and the batch together hold all that can be among the newest."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = tracker_view(batch, program, keep).drop("shown")
-        if batch_id > 0:
-            old = spark.read.schema(new.schema).parquet(f"{path}/version={batch_id - 1}")
+        before = [n for n in numbered(spark, path, "version") if n < batch_id]
+        if before:
+            old = spark.read.schema(new.schema).parquet(f"{path}/version={before[-1]}")
             new = old.unionByName(new).orderBy(F.col("slot").desc(), F.col("idx").desc()).limit(keep)
         _write_version(new, path, batch_id)
 
     return start_batches(tx, handle, checkpoint, every)
 
 
+def _counters(spark: SparkSession, path: str, kind: str) -> KeyedTable:
+    schema = T.StructType.fromDDL(f"{kind} STRING, received BIGINT, errors BIGINT, published BIGINT, first BIGINT, last BIGINT, batch BIGINT")
+    return KeyedTable(spark, path, schema, [kind], ["batch"], buckets=1)
+
+
 def live_counters(df: DataFrame, kind: str, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Counters per kind so far, one version per micro-batch, and as observed metrics ``feed`` in the query's progress."""
+    """Counters per kind so far, as a table at ``path``, and as observed metrics ``feed`` in the query's progress.
+
+    A batch that is run again is counted once. A restart with another ``path`` counts from there on.
+    """
     seen = df.observe("feed", F.count(F.lit(1)).alias("received"), F.count_if("error").alias("errors"))
     folds = [F.sum(c).alias(c) for c in ("received", "errors", "published")] + [F.min("first").alias("first"), F.max("last").alias("last")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        table = _counters(batch.sparkSession, path, kind)
+        if batch_id <= table.manifest().batch:
+            return
         new = batch.groupBy(kind).agg(
             F.count("*").alias("received"), F.count_if("error").alias("errors"), F.count_if("published").alias("published"),
             F.min("seconds").alias("first"), F.max("seconds").alias("last"),
-        )
-        if batch_id > 0:
-            old = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/version={batch_id - 1}")
-            new = old.unionByName(new).groupBy(kind).agg(*folds)
-        _write_version(new, path, batch_id)
+        ).persist()  # a row per kind, used for its bucket and for the sums; observed once
+        try:
+            both = new.unionByName(table.read_buckets_of(new.select(kind)).drop("batch"))
+            table.upsert(both.groupBy(kind).agg(*folds).withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
+        finally:
+            new.unpersist()
 
     return start_batches(seen, handle, checkpoint, every)
 
 
 def read_counters(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Totals and rates over all micro-batches."""
-    schema = T.StructType.fromDDL(f"{kind} STRING, received BIGINT, errors BIGINT, published BIGINT, first BIGINT, last BIGINT")
     elapsed = (F.col("last") - F.col("first")).cast("double")
     rate = F.when(elapsed > 0, F.col("received") / elapsed).otherwise(F.lit(0.0)).alias("per_second")
-    return read_live(spark, path, schema).select(kind, "received", "errors", "published", rate)
+    return _counters(spark, path, kind).read().select(kind, "received", "errors", "published", rate)

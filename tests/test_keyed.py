@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slotweave.operators import index, topk
 from slotweave.operators.lookups import transactions_by_account
-from slotweave.sources import tables
+from slotweave.sources import tables, tiers
 from slotweave.sources.keyed import KeyedTable
 from tests.conftest import rows
 
@@ -132,3 +132,47 @@ def test_newest_rows_of_an_empty_table(spark, views, tmp_path):
     path = str(tmp_path / "tx")
     tables.write_bucketed(views.transactions.filter("false"), path)
     assert tables.read_newest(spark, views.transactions.schema, path, 5).count() == 0
+
+
+# --- hot and cold ---------------------------------------------------------------------------------
+
+
+def _updates(spark, lo, hi, note):
+    return spark.range(lo, hi).select((F.col("id") * 7 % 100).alias("slot"), F.col("id").alias("seq"), F.lit(note).alias("note"))
+
+
+def test_moves_and_reads_in_turns(spark, tmp_path):
+    schema = _updates(spark, 0, 1, "").schema
+    table = tiers.TieredTable(spark, str(tmp_path / "hot"), str(tmp_path / "cold"), schema, width=10)
+    assert table.read().count() == 0 and table.cut() is None
+    parts, snapshots = [], []
+    for k, slot in enumerate((0, 35, 35, 20, 71, 200)):
+        parts.append(_updates(spark, 100 * k, 100 * k + 100, f"n{k}"))
+        table.append(parts[-1])
+        want = rows(parts[0]) if k == 0 else sorted(r for p in parts for r in rows(p))
+        before = table.read()
+        assert rows(before) == sorted(want, key=repr)
+        table.move(slot)
+        assert rows(before) == sorted(want, key=repr)  # taken before the move, read after it
+        assert rows(table.read()) == sorted(want, key=repr)
+        some = [r for r in want if 33 <= r[0] <= 48]
+        assert rows(table.read(33, 48)) == sorted(some, key=repr)
+        snapshots.append(table.cut())
+    assert snapshots == [0, 3, 3, 3, 7, 20]
+    assert len(table.read(33, 36).inputFiles()) < len(table.read().inputFiles())
+
+
+def test_a_failed_move_is_made_again(spark, tmp_path, monkeypatch):
+    data = _updates(spark, 0, 300, "a")
+    table = tiers.TieredTable(spark, str(tmp_path / "hot"), str(tmp_path / "cold"), data.schema, width=10)
+    table.append(data)
+    commit = tiers.commit_manifest
+    monkeypatch.setattr(tiers, "commit_manifest", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.move(50)
+    assert table.cut() is None and rows(table.read()) == rows(data)
+    monkeypatch.setattr(tiers, "commit_manifest", commit)
+    assert table.move(50) == 5 and rows(table.read()) == rows(data)
+    table.append(_updates(spark, 0, 10, "late"))
+    assert rows(table.read()) == rows(data.unionByName(_updates(spark, 0, 10, "late")))
+    assert not [b for b in table._buckets(str(tmp_path / "cold")) if b >= 5]
