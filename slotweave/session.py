@@ -13,12 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of rows that go to a Python worker at once: it holds several copies of them while it works, and an executor has many workers.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone and ship this package to the executors.
+    """Pin the session time zone, bound what Python workers get at once, and ship this package to the executors.
 
     Unix seconds and timestamps must agree everywhere, and functions that run in Python workers import this package by name.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(_BATCH) == "67108864b":  # the default; what a user has set stays
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
     ship_package(spark)
     return spark
 
