@@ -68,6 +68,14 @@ def items(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
+def length(v: Column, path: str) -> Column:
+    """Number of elements of a JSON array; NULL for anything that is not an array.
+
+    The elements are read as booleans, most of them as NULL, so none of them is copied, however large it is.
+    """
+    return F.array_size(F.try_variant_get(v, path, "array<boolean>"))
+
+
 def records(v: Column, path: str, fields: list[str]) -> Column:
     """JSON array of objects as ARRAY<STRUCT<field: VARIANT, ...>>; NULL if it is not an array.
 

@@ -180,7 +180,7 @@ def parse_block_response(df: DataFrame) -> DataFrame:
         "parent_blockhash": J.text(v, "$.result.previousBlockhash"),
         "block_time": J.i64(v, "$.result.blockTime"),
         "block_height": J.u64_as_long(v, "$.result.blockHeight"),
-        "transaction_count": F.array_size(J.items(v, "$.result.transactions")).cast("bigint"),
+        "transaction_count": J.length(v, "$.result.transactions").cast("bigint"),
     }
     required = ["blockhash", "parent_slot", "parent_blockhash", "transaction_count"]
     return _typed(df, ["slot"], cols, required)
@@ -211,7 +211,7 @@ def parse_block_full(df: DataFrame, now: int) -> DataFrame:
         "previous_blockhash": F.coalesce(J.text(v, "$.result.previousBlockhash"), F.lit("unknown")),
         "block_time": F.coalesce(J.i64(v, "$.result.blockTime"), F.lit(now).cast("bigint")),
         "block_height": F.coalesce(J.u64_as_long(v, "$.result.blockHeight"), F.lit(0).cast("bigint")),
-        "transaction_count": F.coalesce(F.array_size(J.items(v, "$.result.transactions")), F.lit(0)).cast("bigint"),
+        "transaction_count": F.coalesce(J.length(v, "$.result.transactions"), F.lit(0)).cast("bigint"),
         "all_rewards": rewards,
     }
     return _typed(df, [], cols, ["usable"]).select(

@@ -15,7 +15,7 @@ from slotweave.plans.registry import ORACLES, query
 from slotweave.plans.relational import BLOCK_STATE, BLOCKS_SQL
 from slotweave.session import work_path
 from slotweave.sources.keyed import KeyedTable
-from slotweave.streaming import feeds, folds, stateful
+from slotweave.streaming import feeds, folds, seen, stateful
 
 
 FEEDS: dict[tuple, str] = {}
@@ -124,6 +124,16 @@ def dedup_expiring(v):
     return feeds.drain(rows, "dedup-expiring", by_clock=True)
 
 
+@query("t3_dedup_event_time", oracle("v_messages", "SELECT message_id, min(seq) AS seq, 0 AS late FROM v_messages GROUP BY message_id"))
+def dedup_event_time(v):
+    """A day of memory is exact here; no row of this feed is late, and the number of late ones is part of the result."""
+    rows, path = X.messages(events_feed(v)).select("message_id", "seq", "ts"), work_path(v.spark, "dedup-time")
+    seen.dedup_by_event_time(rows, "1 DAY", path, work_path(v.spark, "dedup-time-state"), buckets=8).awaitTermination()
+    late = seen.read_side(v.spark, path, "late", rows.schema).agg(F.count("*").cast("int").alias("late"))
+    passed = seen.read_side(v.spark, path, "rows", rows.schema).select("message_id", "seq")
+    return passed.withColumn("late", F.lit(late.first()[0]))
+
+
 @query(
     "t8_keyed_table",
     oracle("v_account_updates", "SELECT pubkey, lamports, slot, seq FROM cur", cur=LATEST),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotweave.schemas import TABLES, schema
-from slotweave.session import file_store
+from slotweave.session import drop_folder, file_store, work_path
 
 SLOT_BUCKET_WIDTH = 432_000  # slots of one epoch
 
@@ -46,21 +46,13 @@ def write_table(
 ) -> None:
     """Parquet sink. ``max_records`` rolls files by row count.
 
-    ``max_file_mb`` rolls by size: the rows are rebalanced first, so AQE merges small and splits
-    large (skewed) partitions toward that size before they are written.
+    ``max_file_mb`` rolls by size: a file takes as many rows as fit by ``rows_per_file``, and rows are rebalanced first, so that small partitions
+    don't make small files. ``df`` is read once more for that. No setting of the session is changed.
     """
     if max_file_mb:
-        spark = df.sparkSession
-        key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-        before = spark.conf.get(key)
-        spark.conf.set(key, f"{max_file_mb}MB")
-        try:
-            return write_table(
-                df.hint("rebalance", *(partition_by or [])), path, compression, max_records,
-                partition_by=partition_by, mode=mode,
-            )
-        finally:
-            spark.conf.set(key, before)
+        fit = rows_per_file(df, max_file_mb << 20, compression)
+        max_records = min(max_records or fit, fit)
+        df = df.hint("rebalance", *(partition_by or []))
     writer = df.write.mode(mode).option("compression", compression)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
@@ -69,6 +61,21 @@ def write_table(
     writer.parquet(path)
 
 
+def rows_per_file(df: DataFrame, limit: int, compression: str = "snappy", sample: int = 2000) -> int:
+    """How many rows of ``df`` a Parquet file of ``limit`` bytes takes.
+
+    The first ``sample`` rows of each partition are written to a scratch folder; the partition with the most bytes a row decides, so files
+    stay below the limit where rows differ in size between partitions; those with smaller rows are then well below it. A file has one row at least.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, "cut")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of a row in its partition
+    df.withColumn("_place", place).filter(F.col("_place") < sample).drop("_place").write.option("compression", compression).parquet(path)
+    files = spark.read.schema(df.schema).parquet(path).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").count()
+    widest = files.agg(F.max(F.col("file_size") / F.col("count"))).first()[0]
+    drop_folder(spark, path)
+    return max(1, int(0.95 * limit / widest)) if widest else 1 << 31  # parts of a partition differ a little
+
+
 # --- slot buckets -----------------------------------------------------------------------------
 
 

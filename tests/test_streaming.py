@@ -1,5 +1,6 @@
 """Stream = batch: each stream job over at least three micro-batches equals its batch form."""
 
+import datetime
 import time
 
 import pytest
@@ -10,7 +11,7 @@ from slotweave.operators import filters, latest, lookups, ordered, staking, stat
 from slotweave.operators.assembly import assemble_blocks, block_entries
 from slotweave.plans.blocks import entry_texts, reward_texts
 from slotweave.session import numbered
-from slotweave.streaming import feeds, folds, monitor, stateful
+from slotweave.streaming import feeds, folds, monitor, seen, stateful
 from tests.conftest import SF, rows
 
 
@@ -329,6 +330,24 @@ def test_ids_expire(spark, tmp_path):
     assert read() == [("a", 1), ("a", 6), ("b", 3), ("c", 5)]
 
 
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    parts = [
+        [("a", 1, at(0)), ("a", 2, at(5)), ("b", 3, at(50)), (None, 4, at(51)), (None, 5, at(52))],
+        [("a", 6, at(30)), ("c", 7, at(100)), ("b", 8, at(110)), ("d", 9, None)],  # a within the hour, b after it
+        [("e", 10, at(49)), ("c", 11, at(50)), ("f", 12, at(51)), ("a", 13, at(61)), (None, 14, at(300))],  # the newest was 110: 49 is late, 50 is not
+        [("a", 15, at(241)), ("b", 16, at(239)), ("c", 17, at(400))],
+    ]
+    schema = "message_id string, seq bigint, ts timestamp"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source, path = feeds.read_feed(spark, str(tmp_path / "in"), schema, 1), str(tmp_path / "out")
+    for _ in range(2):
+        seen.dedup_by_event_time(source, "1 HOUR", path, str(tmp_path / "s"), buckets=2).awaitTermination()
+    got = {side: sorted(r["seq"] for r in seen.read_side(spark, path, side, source.schema).collect()) for side in ("rows", "late")}
+    assert got == {"rows": [1, 3, 4, 7, 8, 12, 13, 14, 15, 17], "late": [9, 10, 16]}
+
+
 def test_rooted_slots_are_swept_by_the_clock(spark, tmp_path):
     schema = X.slot_messages(spark.read.parquet(f"{SF}/events.parquet")).schema
     message = lambda slot, seq, kind, status=None: tuple({"slot": slot, "seq": seq, "kind": kind, "status": status}.get(c) for c in schema.names)

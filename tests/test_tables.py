@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from slotweave.operators import filters as Fi
 from slotweave.operators import latest, lookups, staking, stats, topk
 from slotweave.operators.assembly import assemble_blocks
+from slotweave.session import shared_root
 from slotweave.sources import rpc, tables
 from tests.conftest import rows
 
@@ -28,6 +29,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_files_roll_by_bytes(spark, tmp_path):
+    """Rows of very different sizes: no file is larger than the limit, and no setting of the session is touched meanwhile."""
+    small = spark.range(0, 200_000, 1, 4).select("id", F.lit("s").alias("text"))
+    large = spark.range(0, 6000, 1, 2).select("id", F.sha2(F.col("id").cast("string"), 512).alias("h"))
+    large = large.select("id", F.concat(*[F.sha2(F.concat("h", F.lit(str(k))), 512) for k in range(12)]).alias("text"))
+    shared_root(spark)
+    before = {r[0]: r[1] for r in spark.sql("SET").collect()}
+    for name, df in (("mixed", small.unionByName(large)), ("by", small.unionByName(large).withColumn("part", F.col("id") % 2))):
+        path = tmp_path / name
+        tables.write_table(df, str(path), max_file_mb=1, partition_by=["part"] if name == "by" else None)
+        sizes = [f.stat().st_size for f in path.rglob("*.parquet")]
+        assert len(sizes) >= 4 and max(sizes) <= 1 << 20
+        assert spark.read.parquet(str(path)).count() == 206_000
+    assert {r[0]: r[1] for r in spark.sql("SET").collect()} == before
+    assert tables.rows_per_file(small.limit(0), 1 << 20) > 1 << 30 and tables.rows_per_file(large, 1) == 1
+
+
 def test_write_and_read(spark, tmp_path):
     path = str(tmp_path / "a")
     tables.write_table(accounts(spark).coalesce(1), path, max_records=50)
