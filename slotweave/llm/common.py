@@ -25,12 +25,17 @@ def row_hash(text: str = "text") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column of a table begins with: names made with it clash with none."""
+    return "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in columns), default=0))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all strings of a batch and the offsets of each; null counts as empty."""
+    """Bytes of all strings (in UTF-8) or binaries of a batch and the offsets of each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "")
-    wide = pa.types.is_large_string(column.type)
+    column = pc.fill_null(column, pa.scalar(b"", column.type) if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)

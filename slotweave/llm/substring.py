@@ -4,7 +4,8 @@ Windows of ``first`` words that occur in two documents are candidates; only thes
 ``window`` words, until no candidates survive. At the first length not every window is listed: each window of ``window`` words is
 dealt to the shortest-level window in it with the least hash, so equal long windows are dealt to equal short ones. Neighbouring windows of
 one short window form a run; each level splits the surviving runs so that what its windows have in common is twice as long.
-Everything is grouped by hashes with partial aggregation; no group is gathered.
+Equal runs are a class. A run that repeats itself without a gap, as periodic text does, is one row with a number of times; and classes that follow one
+another wherever they occur are one stretch. So a passage costs each of its holders a row, however long it is. Everything is grouped by hashes with partial aggregation; no group is gathered.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import Rolling, anchored_runs, byte_values, chunks, flat, merged, mixed, row_hash, signed, words
-from slotweave.session import cut_lineage
+from slotweave.llm.common import Rolling, anchored_runs, byte_values, chunks, flat, free_prefix, merged, mixed, row_hash, signed, words
+from slotweave.session import cut_lineage, drop_folder, hand_over
 
 #: Words are separated by these bytes.
 SPACES = b" \t\n\r\x0b\x0c"
 IS_WORD = ~np.isin(np.arange(256), list(SPACES))
-RUN = "doc_id bigint, rid bigint, start int, run int, off int, key bigint, digest bigint"
+RUN = "doc_id bigint, rid bigint, start int, run int, off int, key bigint, digest bigint, next bigint, times int"
 CONTENT = ["key", "digest"]
 
 
@@ -43,11 +44,19 @@ def _listed(docs: DataFrame, window: int, first: int) -> DataFrame:
                 item, start, run, anchor = anchored_runs(grams, own, window, first)
                 if not len(item):
                     continue
+                digest = rolling.spans(start, start + run + window - 1)
+                again = (item[1:] == item[:-1]) & (digest[1:] == digest[:-1])
+                kept = np.flatnonzero(np.append(True, ~again))
+                times = np.diff(np.append(kept, len(item)))
+                item, start, run, anchor, digest = (x[kept] for x in (item, start, run, anchor, digest))
+                following = np.append(digest[1:], np.uint64(0))  # of the run behind; 0 behind a text's last one
+                following[:-1][item[1:] != item[:-1]] = 0
                 at_row = pa.array(item + i)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(at_row), batch.column("rid").take(at_row)]
                     + [pa.array(x.astype(np.int32)) for x in (start - own[item], run, anchor - start)]
-                    + [pa.array(signed(x)) for x in (grams[anchor], rolling.spans(start, start + run + window - 1))],
+                    + [pa.array(signed(x)) for x in (grams[anchor], digest, following)]
+                    + [pa.array(times.astype(np.int32))],
                     names=[c.split()[0] for c in RUN.split(", ")],
                 )
 
@@ -103,11 +112,15 @@ def _extended(docs: DataFrame, wanted: DataFrame, window: int, between: list[int
 def repeated_windows(docs: DataFrame, window: int = 50, first: int = 13) -> DataFrame:
     """Rows doc_id, rid, spans: word intervals [lo, hi) covered by windows that start in a document with a smaller doc_id."""
     known = docs.filter("doc_id is not null")
-    listed = cut_lineage(_listed(known, window, first))
+    listed, listing = hand_over(_listed(known, window, first))
     often = listed.groupBy(F.struct("key").alias("k")).agg(F.min("doc_id").alias("key_doc"), F.max("doc_id").alias("last")).filter("key_doc < last").select("k.key", "key_doc")
     held = cut_lineage(listed.join(often, "key"))
-    content = held.groupBy(*CONTENT, "key_doc").agg(F.min(F.struct("doc_id", "rid", "start", "run", "off")).alias("first"))
-    content = cut_lineage(content.select(*CONTENT, "key_doc", "first.*"))
+    drop_folder(docs.sparkSession, listing)
+    content = held.groupBy(*CONTENT, "key_doc").agg(
+        F.min(F.struct("doc_id", "rid", "start", "run", "off", "times")).alias("first"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"),
+        F.min("next").alias("next"), F.max("next").alias("next2"), F.min("times").alias("few"), F.max("times").alias("many"),
+    )
+    content = cut_lineage(content.select(*CONTENT, "key_doc", "first.*", "last_doc", "n", "next", "next2", "few", "many"))
     # runs that differ inside one candidate: those of later documents may hold windows of earlier ones
     several = content.groupBy(F.struct("key").alias("k")).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.min("doc_id").alias("least"))
     open_ = several.filter("n > 1 and last > least").select("k.key")
@@ -121,11 +134,31 @@ def repeated_windows(docs: DataFrame, window: int = 50, first: int = 13) -> Data
     earliest = each.groupBy(F.struct("key", "hash").alias("k")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).filter("least < last").select("k.*", "least")
     found = each.join(earliest, ["key", "hash"]).filter("doc_id > least").select(*CONTENT, (F.col("lo") + F.col("at")).alias("lo")).distinct()
     found = found.groupBy(*CONTENT).agg(F.collect_list("lo").alias("starts"))
-    of_content = cut_lineage(content.select(*CONTENT, F.col("doc_id").alias("least")).join(found, CONTENT, "left"))
-    whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("run") + (window - 1)).alias("hi")))
-    single = F.transform("starts", lambda s: F.struct((F.col("start") + s).alias("lo"), (F.col("start") + s + window).alias("hi")))
-    spans = held.join(of_content, CONTENT).withColumn("spans", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(single))
-    return spans.filter("spans is not null").groupBy("doc_id", "rid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    # windows of a class's least document that an earlier one has in another class; later documents lose the whole run
+    partly = held.join(content.select(*CONTENT, F.col("doc_id").alias("least")).join(found, CONTENT), CONTENT).filter("doc_id = least")
+    shifts = F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda j: F.col("start") + j * F.col("run"))
+    single = F.flatten(F.transform(shifts, lambda at: F.transform("starts", lambda s: F.struct((at + s).alias("lo"), (at + s + window).alias("hi")))))
+    end = F.col("start") + F.col("run") * F.col("times") + F.col("further") + (window - 1)
+    whole = F.array(F.struct(F.col("start").alias("lo"), end.alias("hi")))
+    later = held.join(stretches(content), CONTENT).filter("doc_id > least").select("doc_id", "rid", whole.alias("spans"))
+    spans = later.unionByName(partly.select("doc_id", "rid", single.alias("spans")))
+    return spans.groupBy("doc_id", "rid").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+
+def stretches(content: DataFrame) -> DataFrame:
+    """Classes that occur in several documents, chained: key and digest of a chain's first class, the least document, and the windows further on in the chain.
+
+    A class is chained to the one that stands behind each of its occurrences if that one occurs as often, always repeated as many times: then neither
+    occurs without the other. A chain's classes have the same first holder and are neighbours there, so only the classes of one text are ordered.
+    """
+    own = Window.partitionBy("doc_id", "rid").orderBy("start")
+    size = F.col("run") * F.col("times")
+    before = F.lag(F.struct("next", "next2", "n", (F.col("start") + size).alias("end"))).over(own)
+    behind = (F.col("before.next") == F.col("digest")) & (F.col("before.next2") == F.col("digest")) & (F.col("before.n") == F.col("n")) & (F.col("before.end") == F.col("start"))
+    opens = F.when(behind & (F.col("few") == F.col("many")), 0).otherwise(1)  # without a class before: no answer, so not chained
+    numbered = content.filter("last_doc > doc_id").withColumn("before", before).withColumn("chain", F.sum(opens).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = numbered.groupBy("doc_id", "rid", "chain").agg(F.min(F.struct("start", *CONTENT, size.alias("size"))).alias("head"), F.sum(size).alias("length"))
+    return chains.select("head.key", "head.digest", F.col("doc_id").alias("least"), (F.col("length") - F.col("head.size")).cast("int").alias("further"))
 
 
 def _kept(text: str | None, spans) -> tuple[int, list[bytes]]:
@@ -170,7 +203,7 @@ def passages_cut(docs: DataFrame, window: int = 50, first: int = 13) -> DataFram
 
     A text without any stays as it is; a cut one has its remaining words joined by one space. A row of which no word is left goes.
     """
-    mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))  # begins no column of docs
+    mark = free_prefix(docs.columns)
     rid, doc, row, found, changed = (mark + c for c in ("rid", "doc", "row", "spans", "cut"))
     own = docs.withColumn(rid, row_hash())
     slim = own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(rid).alias("rid"), "text")
