@@ -19,18 +19,23 @@ from pyspark.sql import functions as F
 LEAF, SECTION, ROOT = 10, 12, 32
 #: A paragraph ends at a line end, or after a sentence end; without these, at a space after this many characters.
 LONG = 64
-_PARAGRAPH = re.compile(r"[^\n]*?(?:[.!?]+[ \t]|\n)|[^\n]+", re.S)
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t]")
 
 
 def paragraphs(text: str) -> list[str]:
-    """The text in pieces, nothing left out."""
+    """The text in pieces, nothing left out; one walk over it, whatever it holds."""
     out = []
-    for part in _PARAGRAPH.findall(text):
-        while len(part) > LONG:
-            at = part.find(" ", LONG // 2, LONG) + 1 or LONG
-            out.append(part[:at])
-            part = part[at:]
-        out.append(part)
+    for line in _LINE.finditer(text):
+        begin, end = line.span()
+        for cut in (*(m.end() for m in _SENTENCE.finditer(text, begin, end)), end):
+            while cut - begin > LONG:
+                at = text.find(" ", begin + LONG // 2, begin + LONG) + 1 or begin + LONG
+                out.append(text[begin:at])
+                begin = at
+            if cut > begin:
+                out.append(text[begin:cut])
+            begin = cut
     return out
 
 
