@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import Rolling, byte_values, chunks, flat, merged, mixed, words
+from slotweave.llm.common import Rolling, byte_values, chunks, flat, free_prefix, merged, mixed, row_hash, words
 from slotweave.llm.induced import suffix_array
+from slotweave.session import cut_lineage
 
 _CODES = np.arange(256)
 _LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
 IS_WORD = ((_CODES >= 48) & (_CODES <= 57)) | ((_CODES >= 97) & (_CODES <= 122)) | (_CODES >= 128)
 #: Bytes of text in one shard, and how sparsely suffix positions are kept.
 SHARD, SAMPLE = 1 << 22, 8
+#: Bytes of benchmark text whose phrases workers hold at once; a larger benchmark is searched in several passes over the documents.
+HELD = 1 << 26
+_SPANS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray):
@@ -171,8 +176,7 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, test: Phrases) -> tuple[n
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list]:
     """The test set in blocks of about ``block_bytes`` of text, one after the other through the driver."""
     slim = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
+    n = max(1, -(-_text_bytes(slim) // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
         yield [(r["item_id"], r["text"]) for r in slim.filter(block == k).collect()]
@@ -203,11 +207,63 @@ def _judge(shipped: list, data: np.ndarray, at: np.ndarray, scale: int):
     return n_words, n_hit, items, spans, (n_hit > 0) & (scale * n_hit >= n_words)
 
 
+def _text_bytes(benchmark: DataFrame) -> int:
+    return benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def _shipped(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> list:
     context = docs.sparkSession.sparkContext
     return [context.broadcast(phrases(rows, window)) for rows in _blocks(benchmark, block_bytes)]
 
 
+def _by_passes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """doc_id, rid, spans and items of the documents (doc_id, rid, text) with hits: one pass and one broadcast for each block."""
+    context, found = docs.sparkSession.sparkContext, []
+
+    def hits_of(test):
+        def hits(batches):
+            for batch in batches:
+                data, at = flat(batch.column("text"))
+                for i, j in chunks(at, SHARD):
+                    _, n_hit, items, spans, _ = _judge([test], data[at[i] : at[j]], at[i : j + 1] - at[i], 1)
+                    some = np.flatnonzero(n_hit).tolist()
+                    columns = [batch.column(c).slice(i, j - i).take(pa.array(some, pa.int64())) for c in ("doc_id", "rid")]
+                    columns += [pa.array([spans[k] for k in some], _SPANS), pa.array([sorted(items[k]) for k in some], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "spans", "items"])
+
+        return hits
+
+    for rows in _blocks(benchmark, block_bytes):
+        test = context.broadcast(phrases(rows, window))
+        found.append(cut_lineage(docs.mapInArrow(hits_of(test), "doc_id bigint, rid bigint, spans array<struct<lo:bigint,hi:bigint>>, items array<string>").distinct()))
+        test.destroy()
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _summed(data: np.ndarray, at: np.ndarray, spans: list, items: list, scale: int):
+    """As ``_judge``, of spans and items that passes have found."""
+    n_words = np.diff(word_hashes(data, at)[3])
+    both = [merged(np.array([s["lo"] for s in x]), np.array([s["hi"] for s in x])) if x else ((), ()) for x in spans]
+    n_hit = np.array([int(np.sum(hi) - np.sum(lo)) for lo, hi in both], np.int64)
+    joined = [[{"lo": int(a), "hi": int(b)} for a, b in zip(lo, hi)] for lo, hi in both]
+    return n_words, n_hit, [set(x or ()) for x in items], joined, (n_hit > 0) & (scale * n_hit >= n_words)
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, scale: int):
+    """The documents, with columns ``spans`` and ``items`` behind a mark if found by passes, and a judge of a part of a batch."""
+    if _text_bytes(benchmark) <= HELD:
+        shipped = _shipped(docs, benchmark, window, block_bytes)
+        return docs, lambda batch, data, at: _judge(shipped, data, at, scale)
+    mark = free_prefix(docs.columns)
+    own = docs.withColumn(mark + "rid", row_hash())
+    found = _by_passes(own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(mark + "rid").alias("rid"), "text"), benchmark, window, min(block_bytes, HELD))
+    found = found.select(*[F.col(c).alias(mark + c) for c in ("doc_id", "spans", "items")], F.col("rid").alias(mark + "row"))
+    both = own.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col(mark + "doc_id")) & (F.col(mark + "rid") == F.col(mark + "row")), "left")
+    both = both.select(*(f"`{c}`" for c in docs.columns), mark + "spans", mark + "items")
+    return both, lambda batch, data, at: _summed(data, at, batch.column(mark + "spans").to_pylist(), batch.column(mark + "items").to_pylist(), scale)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.05, block_bytes: int = 1 << 24) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with what it shares with ``benchmark`` (item_id, text).
 
@@ -217,42 +273,45 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     ``min_share`` of its words and there are any.
 
     The documents are not shuffled. The benchmark goes to the tasks in blocks of ``block_bytes``, each an own broadcast; a task searches
-    one block after the other.
+    one block after the other. Beyond ``HELD`` bytes each block has its own pass over the documents, and what the passes find is joined to them.
 
     Null or empty text: no words, on either side. A null item_id reads as the empty string; items that repeat an id are one. Null or
     repeated doc_id: each row is judged alone. Empty tables: no rows, or no hits. Other columns are not read.
     """
-    shipped, scale = _shipped(docs, benchmark, window, block_bytes), round(1 / min_share)
+    scale = round(1 / min_share)
+    read, judge = _judged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, window, block_bytes, scale)
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<lo:bigint,hi:bigint>>"
 
     def judged(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
             for i, j in chunks(at, SHARD):
-                n_words, n_hit, items, spans, bad = _judge(shipped, data[at[i] : at[j]], at[i : j + 1] - at[i], scale)
+                n_words, n_hit, items, spans, bad = judge(batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i])
                 digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i)]
                     + [pa.array(x) for x in (n_words, n_hit, np.array([len(x) for x in items], np.int64))]
-                    + [pa.array(digests, pa.string()), pa.array(bad), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))],
+                    + [pa.array(digests, pa.string()), pa.array(bad), pa.array(spans, _SPANS)],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(judged, schema)
+    return read.mapInArrow(judged, schema)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.05, block_bytes: int = 1 << 24) -> DataFrame:
     """The rows of ``docs``, all columns and unchanged, that ``find_contamination`` does not call contaminated."""
-    shipped, scale = _shipped(docs, benchmark, window, block_bytes), round(1 / min_share)
+    read, judge = _judged(docs, benchmark, window, block_bytes, round(1 / min_share))
+    names = docs.columns
 
     def kept(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
+            own = pa.RecordBatch.from_arrays([batch.column(c) for c in names], names=names)
             for i, j in chunks(at, SHARD):
-                bad = _judge(shipped, data[at[i] : at[j]], at[i : j + 1] - at[i], scale)[-1]
-                yield batch.slice(i, j - i).filter(pa.array(~bad))
+                bad = judge(batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i])[-1]
+                yield own.slice(i, j - i).filter(pa.array(~bad))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return read.mapInArrow(kept, docs.schema)
 
 
 def without_spans(text: str | None, spans) -> str:
