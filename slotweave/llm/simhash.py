@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import row_hash
+from slotweave.llm.common import free_prefix, row_hash
 from slotweave.session import cut_lineage
 
 #: Words of a fingerprint whose bits are counted, and the fingerprints of one block.
@@ -98,10 +98,15 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     shifted = F.array(*[F.struct(*[(F.col(f"tile.c{k}") + d[k]).cast("int").alias(f"c{k}") for k in range(WORDS)]) for d in near])
     inside = lambda t: F.least(*[t[f"c{k}"] for k in range(WORDS)]) >= 0
     within = lambda t: inside(t) & (F.greatest(*[t[f"c{k}"] for k in range(WORDS)]) < base)
+    plain = F.struct(*[F.col(f"tile.c{k}").cast("int").alias(f"c{k}") for k in range(WORDS)]).alias("tile")
+    many = sizes.select(plain, F.ceil(F.col("count") / BLOCK).alias("blocks"))
     left = blocks.select(F.col("tile").alias("own"), F.col("block").alias("own_block"), F.col("fps").alias("a"), F.explode(F.filter(shifted, within)).alias("tile"))
-    right = blocks.select(F.struct(*[F.col(f"tile.c{k}").cast("int").alias(f"c{k}") for k in range(WORDS)]).alias("tile"), "block", F.col("fps").alias("b"))
     same = F.col("own") == F.col("tile")
-    pairs = left.join(right, "tile").filter(~same | (F.col("own_block") <= F.col("block")))
+    # each pair of blocks is dealt by its second one, so a dense tile's pairs go to as many tasks as it has blocks
+    first = F.when(same, F.col("own_block")).otherwise(0)
+    left = left.join(F.broadcast(many), "tile").withColumn("block", F.explode(F.sequence(first, F.col("blocks") - 1)))
+    right = blocks.select(plain, "block", F.col("fps").alias("b"))
+    pairs = left.join(right, ["tile", "block"])
     pairs = pairs.select("a", F.when(~(same & (F.col("own_block") == F.col("block"))), F.col("b")).alias("b"))
 
     def compared(batches):
@@ -166,8 +171,9 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int =
     Of rows that repeat id and text one stays. Components whose ids are all null stay whole, but for repeated texts.
     """
     stay = grouped(docs, shingle, radius, seed).filter("doc_id = component_id or component_id is null").select("doc_id", "rid").distinct()
-    rid = "_rid"
+    mark = free_prefix(docs.columns)
+    rid, copy = mark + "rid", mark + "copy"
     own = docs.withColumn(rid, row_hash()).alias("d")
     both = own.join(stay.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{rid}") == F.col("s.rid")), "left_semi")
     again = F.row_number().over(Window.partitionBy("doc_id", rid).orderBy(rid))
-    return both.withColumn("_again", again).filter("_again = 1").select(*docs.columns)
+    return both.withColumn(copy, again).filter(F.col(copy) == 1).select(*(f"`{c}`" for c in docs.columns))
