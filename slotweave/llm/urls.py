@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the digest that are joined on.
 SHORT = 8
+#: Rules up to this number are sent to the tasks, where an expression of very many URLs needs no shuffle; beyond it, hits are joined by a shuffle.
+FEW = 50_000
 
 
 def _ascii_lower(c: Column) -> Column:
@@ -72,6 +74,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -
     every = expressions.select("suffix", "prefix").distinct()
     every = every.withColumn("full", _digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("full", 1, SHORT))
     hits = every.join(known, "short").filter("full = digest").select("suffix", "prefix", F.struct("size", "host_size", "rule", "verdict").alias("hit"))
+    if known.count() <= FEW:  # hits are no more than rules
+        hits = F.broadcast(hits)
     best = expressions.join(hits, ["suffix", "prefix"]).groupBy(F.struct("host", "path").alias("k")).agg(F.max("hit").alias("hit"))
     decided = best.select("k.host", "k.path", "hit.rule", "hit.verdict")
     return judged.join(decided, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))

@@ -112,7 +112,9 @@ def plain_verdict(url, rules):
     return host, path, best[2] if best else None, best[3] if best else "allow"
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_url_filter(spark, monkeypatch, few):
+    monkeypatch.setattr(urls, "FEW", few)
     rules = [*RULES, ("example.com", "/en/a", "block"), ("a.example.com", "/en", "allow"), ("é.fr", "", "block"), ("", "/x", "block"), (None, "/", "block"), ("org", None, "block"), ("dup.org", "/", "allow"), ("dup.org", "/", "block"), ("COM", "/up/", "block")]
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
     links = [
