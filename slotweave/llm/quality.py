@@ -191,6 +191,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more. Read twice, not shuffled."""
+    """The rows of ``docs``, all columns, that score ``threshold`` or more. Read twice, not shuffled; a row is judged where it stands."""
     _, model = learn(docs, labels)
-    return scored(features(docs, docs.columns), model, docs.columns).filter(F.col("_score") >= threshold).select(*docs.columns)
+
+    def kept(batches):
+        for batch in batches:
+            data, at = flat(batch.column("text"))
+            good = [model.score(statistics(data[at[i] : at[j]], at[i : j + 1] - at[i])) >= threshold for i, j in chunks(at)]
+            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+
+    return docs.mapInArrow(kept, docs.schema)
