@@ -1,19 +1,14 @@
-"""Suffix array of one shard by induced sorting, and its permuted common prefixes, in numpy.
+"""Suffix array of one shard by induced sorting, and its permuted common prefixes.
 
-The order of suffixes is induced from that of the leftmost smaller (LMS) ones: a descending (L) suffix is ordered by its
-symbol and the place of the suffix after it, which is already known when buckets are filled upwards; ascending (S) ones
-likewise downwards. Buckets are filled whole rather than suffix by suffix: a run of symbols inside one bucket is
-resolved by its length and the place of what follows it.
+The order of suffixes is induced linearly from that of the leftmost smaller (LMS) ones: a walk up the array puts the descending (L) suffix in front of
+each one at the head of its bucket, a walk down the ascending (S) one at the tail. The walks are plain loops over lists, as each step depends on those before it;
+types, buckets, names of LMS substrings and prefixes are numpy.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Most batches of buckets in one pass over a large alphabet.
-BATCHES = 256
-
-
 def _ascending(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last symbol is the least and unique."""
     n = len(s)
@@ -24,92 +19,32 @@ def _ascending(s: np.ndarray) -> np.ndarray:
     return up[nearest]
 
 
-def _batches(counts: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of symbols; a frequent symbol stands alone."""
-    if len(counts) <= 2 * BATCHES:
-        return [(int(c), int(c) + 1) for c in np.flatnonzero(counts)]
-    limit, out, begin, held = max(1, int(counts.sum()) // BATCHES), [], 0, 0
-    sums = np.concatenate([[0], np.cumsum(counts)])
-    while begin < len(counts):
-        end = max(begin + 1, int(np.searchsorted(sums, sums[begin] + limit, "right")) - 1)
-        held = sums[end] - sums[begin]
-        if held:
-            out.append((begin, end))
-        begin = end
-    return out
-
-
-def _filled(s, place, edge, group, low, high, known):
-    """Order of ``group`` (suffixes of one type with symbols in [low, high)), least first.
-
-    place: of suffixes that are known; edge: for each symbol, a place on the side where this type stands.
-    """
-    if high - low == 1:
-        # known suffixes end a run; group is in text order, so the next known place is found from the right
-        step = group + 1
-        last = np.ones(len(group), bool)
-        last[:-1] = step[:-1] != group[1:]
-        ends = np.flatnonzero(last)
-        end = ends[np.searchsorted(ends, np.arange(len(group)))]
-        length, after = group[end] - group, place[group[end] + 1]
-        return length, after
-    columns, at = [], group
-    while True:
-        open_ = ~known[at]
-        columns.append(np.where(open_, edge[s[at]], place[at]))
-        if not open_.any():
-            return columns
-        at = np.where(open_, at + 1, at)
-
-
-def _induce(s: np.ndarray, up: np.ndarray, lms: np.ndarray, bounds: np.ndarray, batches) -> np.ndarray:
-    """Suffix array from the given order of LMS suffixes."""
-    n = len(s)
-    place = np.zeros(n, np.int64)
-    known = np.zeros(n, bool)
-    by_symbol = np.argsort(s, kind="stable")
-    head, tail = bounds[:-1], bounds[1:]
-    order = lms[np.argsort(s[lms], kind="stable")]
-    symbols = s[order]
-    of_symbol = np.bincount(symbols, minlength=len(head))
-    place[order] = np.arange(len(order)) - (np.cumsum(of_symbol) - of_symbol)[symbols] + (tail - of_symbol)[symbols]
-    known[order] = True
-    for low, high in batches:
-        own = by_symbol[head[low] : tail[high - 1]]
-        group = own[~up[own]]
-        if not len(group):
-            continue
-        if high - low == 1:
-            length, after = _filled(s, place, head, group, low, high, known)
-            ranked = group[np.argsort(length * (n + 1) + after, kind="stable")]
-            place[ranked] = head[low] + np.arange(len(ranked))
-        else:
-            ranked = group[np.lexsort(_filled(s, place, head, group, low, high, known)[::-1])]
-            symbols = s[ranked]
-            count = np.bincount(symbols - low, minlength=high - low)
-            place[ranked] = head[symbols] + np.arange(len(ranked)) - (np.cumsum(count) - count)[symbols - low]
-        known[group] = True
-    known[up] = False
-    known[n - 1] = True
-    place[n - 1] = 0
-    for low, high in reversed(batches):
-        own = by_symbol[head[low] : tail[high - 1]]
-        group = own[up[own] & (own != n - 1)]
-        if not len(group):
-            continue
-        if high - low == 1:
-            length, after = _filled(s, place, tail, group, low, high, known)
-            ranked = group[np.argsort(after - length * (n + 1), kind="stable")]
-            place[ranked] = tail[low] - len(ranked) + np.arange(len(ranked))
-        else:
-            ranked = group[np.lexsort(_filled(s, place, tail - 1, group, low, high, known)[::-1])]
-            symbols = s[ranked]
-            count = np.bincount(symbols - low, minlength=high - low)
-            place[ranked] = tail[symbols] - count[symbols - low] + np.arange(len(ranked)) - (np.cumsum(count) - count)[symbols - low]
-        known[group] = True
-    array = np.empty(n, np.int64)
-    array[place] = np.arange(n)
-    return array
+def _before(s: np.ndarray, of_type: np.ndarray) -> list[int]:
+    """For each suffix the symbol of the one before it, if that is of the type; else -1. One more -1 stands for an empty place (-1)."""
+    return np.concatenate([[-1], np.where(of_type[:-1], s[:-1], -1), [-1]]).tolist()
+
+
+def _induce(s: np.ndarray, up: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Suffix array from the given order of LMS suffixes. ``bounds`` has the begin of each symbol's bucket, and the end of the last one."""
+    array = [-1] * len(s)
+    tail = bounds[1:].tolist()
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist()):
+        tail[c] = at = tail[c] - 1
+        array[at] = i
+    head, descending = bounds[:-1].tolist(), _before(s, ~up)
+    for i in array:  # what the walk puts in stands further on
+        c = descending[i]
+        if c >= 0:
+            at = head[c]
+            array[at] = i - 1
+            head[c] = at + 1
+    tail, ascending = bounds[1:].tolist(), _before(s, up)
+    for i in reversed(array):
+        c = ascending[i]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            array[at] = i - 1
+    return np.array(array)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -120,14 +55,13 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     up = _ascending(s)
     counts = np.bincount(s)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    batches = _batches(counts)
     is_lms = up.copy()
     is_lms[0] = False
     is_lms[1:] &= ~up[:-1]
     lms = np.flatnonzero(is_lms)
     if len(lms) < 2:
-        return _induce(s, up, lms, bounds, batches)
-    array = _induce(s, up, lms, bounds, batches)
+        return _induce(s, up, lms, bounds)
+    array = _induce(s, up, lms, bounds)
     order = array[is_lms[array]]  # by LMS substring
     ends = np.append(lms[1:], n - 1)
     length = np.zeros(n, np.int64)
@@ -144,10 +78,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         left = left[length[a[left]] >= k]
     names = np.concatenate([[0], np.cumsum(differs)])
     if names[-1] + 1 == len(lms):
-        return _induce(s, up, order, bounds, batches)
+        return _induce(s, up, order, bounds)
     name = np.empty(n, np.int64)
     name[order] = names
-    return _induce(s, up, lms[suffix_array(name[lms])], bounds, batches)
+    return _induce(s, up, lms[suffix_array(name[lms])], bounds)
 
 
 def common_prefixes(s: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,17 +11,22 @@ steps so far, a few numbers each; tasks replay them to get the current rates, so
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import Rolling, byte_values, chunks, flat, words
+from slotweave.llm.common import Rolling, byte_values, chunks, flat, free_prefix, words
 from slotweave.llm.substring import IS_WORD
 from slotweave.session import cut_lineage
 
 BUCKETS = 1 << 16
+#: How near totals come to their targets, as a share of each.
+TOLERANCE = 0.005
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _CORE = (_LOWER >= 97) & (_LOWER <= 122) | (_LOWER >= 128)
 
@@ -66,8 +71,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     return np.column_stack([weights, np.log((seen + 1) / (seen.sum() + len(domains)))])
 
 
-def memberships(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep``, n_tokens and posterior (array over domains) of every row."""
+def memberships(docs: DataFrame, weights: np.ndarray, keep: list[str], rates=None) -> DataFrame:
+    """``keep``, n_tokens and posterior (array over domains) of every row; with ``rates``, a function of the posteriors, ``rate`` too."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
     types = dict(docs.dtypes)
 
@@ -85,9 +90,10 @@ def memberships(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFr
                 tokens.append(np.diff(words(piece, own, IS_WORD)[2]))
             p = np.concatenate(posterior)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(w)), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.concatenate(tokens)), lists], names=[*keep, "n_tokens", "posterior"])
+            more = [] if rates is None else [pa.array(rates(p))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(np.concatenate(tokens)), lists, *more], names=[*keep, "n_tokens", "posterior", "rate"][: len(keep) + 2 + len(more)])
 
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_tokens bigint, posterior array<double>"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_tokens bigint, posterior array<double>" + (", rate double" if rates else "")])
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(made, schema)
 
 
@@ -112,11 +118,29 @@ def with_rates(members: DataFrame, pulls: np.ndarray, step: float, ridge: float,
     return members.mapInArrow(made, ", ".join([*(f"`{c}` {t}" for c, t in members.dtypes), "rate double"]))
 
 
-def fit_pulls(members: DataFrame, targets: np.ndarray, ridge: float = 1e-3, steps: int = 40, tolerance: float = 0.005) -> tuple[np.ndarray, float]:
-    """Domain pulls of each step, and the step size, for all rows of ``members`` (n_tokens, posterior).
+@dataclass
+class Fit:
+    """Domain pulls of each step, the step size, the targets after limits, and by how much of itself a target is missed at most."""
+
+    pulls: np.ndarray
+    step: float
+    targets: np.ndarray
+    missed: float
+
+
+def limited(targets: np.ndarray, share: np.ndarray, at_most: np.ndarray) -> np.ndarray:
+    """Targets of which those marked are no more than the present shares; what they leave goes to the others in proportion."""
+    low = np.where(at_most, np.minimum(targets, share), targets)
+    rest = low[~at_most].sum()
+    return np.where(at_most, low, low * (1 + (targets - low).sum() / rest)) if rest > 0 else targets
 
-    ``targets``: shares of all tokens, as wanted, summing to any total. Ends when the totals are within ``tolerance`` of the targets, as a share
-    of each, or after ``steps`` steps. A domain nobody belongs to cannot be met and is left out of the sum.
+
+def fit_pulls(members: DataFrame, targets: np.ndarray, ridge: float = 1e-3, steps: int = 40, tolerance: float = TOLERANCE, at_most: np.ndarray | None = None) -> Fit:
+    """Projected-gradient steps for all rows of ``members`` (n_tokens, posterior).
+
+    ``targets``: shares of all tokens, as wanted, summing to any total; those that ``at_most`` marks are upper limits: such a domain is never
+    raised. Ends when the totals are within ``tolerance`` of the targets, as a share of each, or after ``steps`` steps. A domain nobody belongs to
+    cannot be met and is left out of the sum.
     """
     k = len(targets)
     mass = F.col("n_tokens").cast("double")
@@ -125,25 +149,29 @@ def fit_pulls(members: DataFrame, targets: np.ndarray, ridge: float = 1e-3, step
     everything = totals[0] or 0.0
     pulls = np.empty((0, k))
     if not everything:
-        return pulls, 0.0
+        return Fit(pulls, 0.0, targets, 0.0)
     share = np.array([totals[1 + a] for a in range(k)]) / everything
     gram = np.array(totals[1 + k :]).reshape(k, k) / everything
     reach = share > 1e-9
+    if at_most is not None:
+        targets = limited(targets, share, at_most)
     scale = np.where(reach, 1 / np.sqrt(np.where(targets > 0, targets, 1.0)), 0.0)
     step, now = 1 / (np.linalg.eigvalsh(scale[:, None] * gram * scale[None, :]).max() + ridge), share
-    for _ in range(steps):
+    while True:
         residual = (now - targets) * scale
-        if (np.abs(residual) * scale).max() <= tolerance:
-            break
+        missed = float((np.abs(residual) * scale).max())
+        if missed <= tolerance or len(pulls) == steps:
+            return Fit(pulls, step, targets, missed)
         pulls = np.vstack([pulls, residual * scale])
         sums = with_rates(members, pulls, step, ridge, ahead=True).agg(*[F.sum(mass * F.col("rate") * F.col("posterior")[a]) for a in range(k)]).first()
         now = np.array(sums) / everything
-    return pulls, step
 
 
-def soft_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ridge: float = 1e-3, steps: int = 40, sample: int = 20_000, extra: tuple[str, ...] = (), seed: int = 7) -> DataFrame:
+def soft_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ridge: float = 1e-3, steps: int = 40, sample: int = 20_000, extra: tuple[str, ...] = (), seed: int = 7, at_most: tuple[str, ...] = ()) -> DataFrame:
     """Rates and copies that mix ``docs`` (doc_id, text) to ``targets`` (domain to share of all tokens).
 
+    Domains in ``at_most`` are never raised above their present share. A warning says by how much a target is missed if ``steps`` steps don't meet all.
+
     Returns doc_id, the columns ``extra``, n_tokens, posterior (array in the order of the targets' sorted names), rate and copies: the rate rounded up
     or down by a hash of id and text, so that copies equal rates in expectation. Documents are read twice and never shuffled.
 
@@ -155,8 +183,12 @@ def soft_mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     extra = tuple(c for c in extra if c not in ("doc_id", "n_tokens", "posterior", "rate", "copies"))
     weights = fit_domains(docs, labelled, domains, sample)
     members = cut_lineage(memberships(docs.select("text"), weights, []))
-    pulls, step = fit_pulls(members, np.array([targets[d] for d in domains]), ridge, steps)
+    fit = fit_pulls(members, np.array([targets[d] for d in domains]), ridge, steps, at_most=np.array([d in at_most for d in domains]))
+    if fit.missed > TOLERANCE:
+        warnings.warn(f"after {steps} steps a target is missed by {fit.missed:.1%} of itself", stacklevel=2)
+    pulls, step = fit.pulls, fit.step
+    own_draw = free_prefix(docs.columns) + "draw"
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *extra, draw.alias("_draw"), *([] if "text" in extra else ["text"]))
-    rated = with_rates(memberships(every, weights, ["doc_id", *extra, "_draw"]), pulls, step, ridge)
-    return rated.withColumn("copies", F.floor(F.col("rate") + F.col("_draw")).cast("int")).drop("_draw")
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *extra, draw.alias(own_draw), *([] if "text" in extra else ["text"]))
+    rated = memberships(every, weights, ["doc_id", *extra, own_draw], lambda p: replay(p, pulls, step, ridge, False))
+    return rated.withColumn("copies", F.floor(F.col("rate") + F.col(own_draw)).cast("int")).drop(own_draw)

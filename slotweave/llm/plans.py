@@ -33,7 +33,8 @@ def query(name: str, table: str):
 
 @query("op1_suffix_array_dedup", "documents")
 def op1(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(docs, length=400, keep_text=False)
+    kept = suffix_dedup(docs, length=400)  # what is left of a character that was cut in two shows as U+FFFD in text, not in the digest
+    return kept.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 @query("op9_simhash_near_dedup", "documents")
@@ -50,6 +51,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Shares of all tokens that the mix aims at.
 TARGETS = {"good": 0.95, "poor": 0.04, "toxic": 0.01}
+#: Of these no more than there is: else a cleaner corpus would get copies of bad text and lose good ones.
+AT_MOST = ("poor", "toxic")
 
 #: Failure rate from which a host's documents all go: more fail than don't.
 HOST_LIMIT = 0.5
@@ -62,7 +65,7 @@ def domains(labels: DataFrame) -> DataFrame:
 
 @query("op2_soft_mixing", "documents")
 def op2(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return soft_mixing(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
+    return soft_mixing(docs, domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS, at_most=AT_MOST)
 
 
 @query("op3_warc_chunks", "pages")

@@ -7,7 +7,8 @@ anchors need not be compared. Neighbouring windows of one anchor form a segment.
 1. Segments are rows of numbers; those of grams that occur once go, and equal segments are counted before anything is gathered.
 2. For grams with different segments, of which some occurs once, the text of each different segment goes to a shard by its
    gram. A shard's suffix array is induced, its permuted common prefixes tell which windows occur again.
-3. Grams with more than ``shard_bytes`` of different segments would make one task grow; their windows are counted one by one.
+3. Grams with more than ``shard_bytes`` of different segments would make one shard grow. Their segments are texts of their own for the same steps with a
+   longer gram, which tells more of their windows apart, and so on up to grams of a whole window.
 4. Marks go back to all holders of a segment, and each text is cut once.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import Rolling, anchored_runs, byte_values, chunks, flat, merged, row_hash, signed
+from slotweave.llm.common import CHUNK, Rolling, anchored_runs, byte_values, chunks, flat, merged, row_hash, signed
 from slotweave.llm.induced import common_prefixes, suffix_array
 from slotweave.session import cut_lineage
 
@@ -32,23 +33,23 @@ CONTENT = ["key", "d1", "d2"]
 PIECE = 1 << 22
 
 
-def _stretches(at: np.ndarray, overlap: int):
+def _stretches(at: np.ndarray, overlap: int, size: int):
     """(first row, begin, bounds from there, bytes of the row before begin)."""
-    for i, j in chunks(at):
-        if j == i + 1 and at[j] - at[i] > PIECE:
-            for p in range(0, int(at[j] - at[i]), PIECE):
-                yield i, at[i] + p, np.array([0, min(PIECE + overlap, at[j] - at[i] - p)]), p
+    for i, j in chunks(at, min(size, CHUNK)):
+        if j == i + 1 and at[j] - at[i] > size:
+            for p in range(0, int(at[j] - at[i]), size):
+                yield i, at[i] + p, np.array([0, min(size + overlap, at[j] - at[i] - p)]), p
         else:
             yield i, at[i], at[i : j + 1] - at[i], 0
 
 
-def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows of SEGMENT for all windows of all texts; ``off`` is the anchor's distance from the start."""
+def segments(docs: DataFrame, length: int, gram: int, size: int = PIECE) -> DataFrame:
+    """Rows of SEGMENT for all windows of all texts; ``off`` is the anchor's distance from the start. Texts over ``size`` bytes are listed by pieces."""
 
     def listed(batches):
         for batch in batches:
             data, at = flat(batch.column("text"))
-            for i, begin, own, shift in _stretches(at, length - 1):
+            for i, begin, own, shift in _stretches(at, length - 1, size):
                 piece = data[begin : begin + own[-1]]
                 grams = Rolling(byte_values(piece)).windows(gram)
                 item, start, run, anchor = anchored_runs(grams, own, length, gram)
@@ -121,35 +122,26 @@ def _by_shard(bodies: DataFrame, length: int, shards: int) -> DataFrame:
     return bodies.select(shard, *CONTENT, "body").groupBy("shard").applyInPandas(marked, "key bigint, d1 bigint, d2 bigint, lo int, hi int")
 
 
-def _by_window(bodies: DataFrame, length: int) -> DataFrame:
-    """Marks for grams with very many different segments: no group is gathered."""
-
-    def windows(batches):
-        for batch in batches:
-            for key, d1, d2, body in zip(*(batch.column(c).to_pylist() for c in (*CONTENT, "body"))):
-                n = len(body) - length + 1
-                digest = b"".join([hashlib.blake2b(body[i : i + length], digest_size=16).digest() for i in range(n)])
-                pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v)) for v in (key, d1, d2)] + [pa.array(np.arange(n, dtype=np.int32)), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=[*CONTENT, "lo", "w1", "w2"])
-
-    every = bodies.mapInArrow(windows, "key bigint, d1 bigint, d2 bigint, lo int, w1 bigint, w2 bigint").dropDuplicates([*CONTENT, "lo"])
-    again = every.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return every.join(again, ["w1", "w2"]).select(*CONTENT, "lo", F.col("lo").alias("hi"))
+def longer(gram: int, length: int) -> int:
+    """The next gram: half-way to the whole window."""
+    return gram + (length - gram + 1) // 2
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 20, size: int = PIECE) -> DataFrame:
     """Rows doc_id, rid, spans: byte intervals [lo, hi) covered by windows that occur elsewhere; texts without any are left out.
 
     ``docs`` has doc_id, rid and text. A row's identity is (doc_id, rid); rows that repeat both are equal and get equal spans.
     """
-    listed = cut_lineage(segments(docs, length, gram))
+    listed = cut_lineage(segments(docs, length, gram, size))
     often = listed.groupBy(F.struct("key").alias("k")).agg(F.count("*").alias("n")).filter("n > 1").select("k.key")
     held = cut_lineage(listed.join(often, "key"))
     content = held.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start", "run")).alias("first"))
     content = cut_lineage(content.select(*CONTENT, "copies", "first.*"))
     body_bytes = F.sum(F.col("run") + (length - 1))
     per_key = content.groupBy(F.struct("key").alias("k")).agg(F.count("*").alias("different"), F.min("copies").alias("least"), body_bytes.alias("bytes"))
-    open_ = per_key.filter("different > 1 and least = 1").select("k.key", "bytes")
+    # different segments of a gram as long as the window are clashes of its hash
+    bounded = F.col("bytes") if gram < length else F.lit(0).cast("bigint").alias("bytes")
+    open_ = per_key.filter("different > 1 and least = 1").select("k.key", bounded)
     wanted = cut_lineage(content.join(open_, "key"))
     sums = wanted.agg(F.sum(F.when(F.col("bytes") <= shard_bytes, F.col("run") + (length - 1))), F.count(F.when(F.col("bytes") > shard_bytes, 1))).first()
     marks = content.filter("copies > 1").select(*CONTENT, F.lit(0).alias("lo"), (F.col("run") - 1).alias("hi"))
@@ -159,14 +151,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 96, shard_byt
         if sums[0]:
             found.append(_by_shard(bodies.filter(F.col("bytes") <= shard_bytes), length, -(-sums[0] // shard_bytes)))
         if sums[1]:
-            found.append(_by_window(bodies.filter(F.col("bytes") > shard_bytes), length))
+            large = bodies.filter(F.col("bytes") > shard_bytes)
+            texts = large.select(F.col("d1").alias("doc_id"), F.col("d2").alias("rid"), F.col("body").alias("text"))
+            deeper = repeated_spans(texts, length, longer(gram, length), shard_bytes, size).withColumn("span", F.explode("spans"))
+            own = deeper.select(F.col("doc_id").alias("d1"), F.col("rid").alias("d2"), F.col("span.lo").alias("lo"), (F.col("span.hi") - length).alias("hi"))
+            found.append(large.select(*CONTENT).join(own, ["d1", "d2"]).select(*CONTENT, "lo", "hi"))
         for more in found:
             marks = marks.unionByName(more)
     spans = held.join(marks, CONTENT).select("doc_id", "rid", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + length).alias("hi")).alias("span"))
     return spans.groupBy("doc_id", "rid").agg(F.collect_set("span").alias("spans"))
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 20, keep_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes: int = 1 << 20, keep_text: bool = True, size: int = PIECE) -> DataFrame:
     """Cut every byte covered by a ``length``-byte string that also starts elsewhere in ``docs`` (doc_id, text).
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the remaining bytes ``kept``.
@@ -176,7 +172,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, shard_bytes
     not read.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_hash().alias("rid"), "text")
-    spans = repeated_spans(slim, length, gram, shard_bytes)
+    spans = repeated_spans(slim, length, gram, shard_bytes, size)
     both = slim.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.rid") == F.col("s.rid")), "left")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
 

@@ -4,6 +4,7 @@ import bisect
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -37,8 +38,9 @@ def plain_hits(rows, items, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, held", [(1 << 24, 1 << 26), (200, 1 << 26), (200, 300)])
+def test_decontamination(spark, monkeypatch, block_bytes, held):
+    monkeypatch.setattr(decontam, "HELD", held)
     rows = odd_rows() + [(50, "Déjà-VU, " + prose(13, 1).upper() + "?"), (51, prose(700, 33) + " " + prose(20, 1)), (52, "x one two y"), (53, "one two"), (54, prose(13, 1)), (55, "aa bb " * 40)]
     items = [(1, prose(40, 1)), (1, prose(14, 2)), (2, "ONE two"), (3, None), (None, "日本語 " * 3), (4, ""), (5, prose(20, 1)), (6, "aa bb " * 8)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -98,6 +100,46 @@ def test_merkle_trees():
     assert "".join(merkle.paragraphs("z" * 500 + "\n\n.")) == "z" * 500 + "\n\n."
 
 
+OLD = re.compile(r"[^\n]*?(?:[.!?]+[ \t]|\n)|[^\n]+", re.S)
+
+
+def plain_paragraphs(text):
+    out = []
+    for part in OLD.findall(text):
+        while len(part) > merkle.LONG:
+            at = part.find(" ", merkle.LONG // 2, merkle.LONG) + 1 or merkle.LONG
+            out.append(part[:at])
+            part = part[at:]
+        out.append(part)
+    return out
+
+
+def plain_likeness(a, b):
+    """Characters of paragraphs both texts have, as a share of the longer text's: sections change nothing but the order of the search."""
+    if a == b:
+        return 1.0
+    own, other = (collections.Counter(plain_paragraphs(t)) for t in (a, b))
+    return sum(len(p) * n for p, n in (own & other).items()) / max(len(a), len(b))
+
+
+def test_paragraphs_and_likeness(spark, sf_dir):
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    odd = ["", "a.", ". . .", "a. \tb!? c\n\n x", "!" * 300, "! " * 300, "\n" * 5, "x" * 64 + " y", "x" * 65, "w " * 500 + ". " + "w" * 200 + "\n ."]
+    for t in texts + odd:
+        assert merkle.paragraphs(t) == plain_paragraphs(t)
+    for a, b in zip(texts, texts[1:] + texts[:1]):
+        new = merkle.edited(a, b)
+        for x in (b, new):
+            assert abs(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(x)) - plain_likeness(a, x)) < 1e-9
+
+
+def test_paragraphs_take_time_in_proportion():
+    for text in ("!" * 1_000_000, "x" * 10_000_000, "a.b" * 1_000_000, "! " * 500_000):
+        begin = time.time()
+        assert "".join(merkle.paragraphs(text)) == text
+        assert time.time() - begin < 20
+
+
 def plain_sections(text, encoding, rule):
     raw = text.encode()
     bounds = [0] + [i + 1 for i, c in enumerate(raw) if c == 10 or (c == 32 and i and raw[i - 1] in b".!?")]
@@ -184,6 +226,28 @@ def test_mixing_meets_targets(spark):
     assert mixing.soft_mixing(docs(spark, rows[:20]), labels.filter("false"), targets).count() == 20
 
 
+def test_mixing_raises_no_limited_domain(spark):
+    kinds = {"a": "alpha beta gamma", "b": "delta epsilon zeta", "c": "eta theta iota"}
+    rows = [(i, f"{kinds[('a' * 16 + 'bbbc')[i % 20]]} {prose(20 + i % 30, i)}") for i in range(600)]
+    labels = spark.createDataFrame([(i, ("a" * 16 + "bbbc")[i % 20]) for i in range(0, 600)], "doc_id bigint, domain string")
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    got = mixing.soft_mixing(docs(spark, rows), labels, targets, at_most=("b", "c")).collect()
+    total = sum(r["n_tokens"] for r in got)
+    before, after = (np.array([sum((r["rate"] if k else 1) * r["n_tokens"] * r["posterior"][d] for r in got) for d in range(3)]) / total for k in (0, 1))
+    assert np.all(after[1:] <= before[1:] * 1.01) and before[1] < 0.2 and abs(after.sum() - 1) < 0.02
+    assert min(r["copies"] for r in got if r["posterior"][0] > 0.9) >= 1  # nothing of the domain that may grow is lost
+    assert np.allclose(mixing.limited(np.array([0.5, 0.3, 0.2]), np.array([0.8, 0.15, 0.05]), np.array([False, True, True])), [0.8, 0.15, 0.05])
+    assert np.allclose(mixing.limited(np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.5, 0.4]), np.array([False, True, True])), [0.5, 0.3, 0.2])
+
+
+def test_mixing_says_what_it_misses(spark):
+    kinds = {"a": "alpha beta gamma", "b": "delta epsilon zeta"}
+    rows = [(i, f"{kinds['aaab'[i % 4]]} {prose(20, i)}") for i in range(80)]
+    labels = spark.createDataFrame([(i, "aaab"[i % 4]) for i in range(80)], "doc_id bigint, domain string")
+    with pytest.warns(UserWarning, match="a target is missed by"):
+        mixing.soft_mixing(docs(spark, rows), labels, {"a": 0.1, "b": 0.9}, steps=1)
+
+
 def test_mixing_steps_reach_the_least_squares_solution():
     r = np.random.default_rng(1)
     p, w = r.dirichlet([0.3] * 3, 500), r.integers(1, 100, 500).astype(float)
