@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slotweave.llm.decontam import uncontaminated
 from slotweave.llm.mixing import soft_mixing
-from slotweave.llm.plans import TARGETS, domains
+from slotweave.llm.plans import AT_MOST, TARGETS, domains
 from slotweave.llm.quality import accepted
 from slotweave.llm.simhash import one_of_each
 from slotweave.llm.substring import passages_cut
@@ -38,9 +38,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in as many copies as bring the domains to their target shares of tokens."""
+    """Documents in as many copies as bring the domains to their target shares of tokens; bad ones get no more than they have."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    mixed = soft_mixing(docs, domains(labels), TARGETS, extra=tuple(docs.columns))
+    mixed = soft_mixing(docs, domains(labels), TARGETS, extra=tuple(docs.columns), at_most=AT_MOST)
     copies = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     own = [c for c in docs.columns if c in mixed.columns and c not in ("n_tokens", "posterior", "rate", "copies", "copy")]
     return copies.select(*own, "rate", "copy")
