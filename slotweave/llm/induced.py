@@ -1,12 +1,14 @@
 """Suffix array of one shard by induced sorting, and its permuted common prefixes.
 
 The order of suffixes is induced linearly from that of the leftmost smaller (LMS) ones: a walk up the array puts the descending (L) suffix in front of
-each one at the head of its bucket, a walk down the ascending (S) one at the tail. The walks are plain loops over lists, as each step depends on those before it;
+each one at the head of its bucket, a walk down the ascending (S) one at the tail. The walks are plain loops, as each step depends on those before it;
 types, buckets, names of LMS substrings and prefixes are numpy.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 def _ascending(s: np.ndarray) -> np.ndarray:
@@ -19,32 +21,39 @@ def _ascending(s: np.ndarray) -> np.ndarray:
     return up[nearest]
 
 
-def _before(s: np.ndarray, of_type: np.ndarray) -> list[int]:
+def _compact(values: np.ndarray) -> array:
+    """Whole numbers as a typed array: loops read it as fast as a list, and it is a fraction of its size."""
+    out = array("i")
+    out.frombytes(values.astype(np.int32).tobytes())
+    return out
+
+
+def _before(s: np.ndarray, of_type: np.ndarray) -> array:
     """For each suffix the symbol of the one before it, if that is of the type; else -1. One more -1 stands for an empty place (-1)."""
-    return np.concatenate([[-1], np.where(of_type[:-1], s[:-1], -1), [-1]]).tolist()
+    return _compact(np.concatenate([[-1], np.where(of_type[:-1], s[:-1], -1), [-1]]))
 
 
 def _induce(s: np.ndarray, up: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Suffix array from the given order of LMS suffixes. ``bounds`` has the begin of each symbol's bucket, and the end of the last one."""
-    array = [-1] * len(s)
+    order = _compact(np.full(len(s), -1))
     tail = bounds[1:].tolist()
     for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist()):
         tail[c] = at = tail[c] - 1
-        array[at] = i
+        order[at] = i
     head, descending = bounds[:-1].tolist(), _before(s, ~up)
-    for i in array:  # what the walk puts in stands further on
+    for i in order:  # what the walk puts in stands further on
         c = descending[i]
         if c >= 0:
             at = head[c]
-            array[at] = i - 1
+            order[at] = i - 1
             head[c] = at + 1
     tail, ascending = bounds[1:].tolist(), _before(s, up)
-    for i in reversed(array):
+    for i in reversed(order):
         c = ascending[i]
         if c >= 0:
             tail[c] = at = tail[c] - 1
-            array[at] = i - 1
-    return np.array(array)
+            order[at] = i - 1
+    return np.frombuffer(order, np.int32).astype(np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -61,8 +70,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lms = np.flatnonzero(is_lms)
     if len(lms) < 2:
         return _induce(s, up, lms, bounds)
-    array = _induce(s, up, lms, bounds)
-    order = array[is_lms[array]]  # by LMS substring
+    first = _induce(s, up, lms, bounds)
+    order = first[is_lms[first]]  # by LMS substring
     ends = np.append(lms[1:], n - 1)
     length = np.zeros(n, np.int64)
     length[lms] = ends - lms
@@ -84,14 +93,14 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return _induce(s, up, lms[suffix_array(name[lms])], bounds)
 
 
-def common_prefixes(s: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def common_prefixes(s: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix, in text order, the suffix before it in the array (-1: none) and the length they share.
 
     Only irreducible lengths are compared symbol by symbol; the others are one less than their left neighbour's.
     """
     n = len(s)
     before = np.full(n, -1)
-    before[array[1:]] = array[:-1]
+    before[suffixes[1:]] = suffixes[:-1]
     reducible = np.zeros(n, bool)
     reducible[1:] = (before[1:] > 0) & (before[1:] == before[:-1] + 1)
     reducible[1:] &= s[np.maximum(before[1:] - 1, 0)] == s[:-1]
