@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -255,14 +256,19 @@ def stake_with_cap(
     if not 0 <= cap < 2**62:
         raise ValueError("cap must fit a signed 64-bit number with room for one more request")
     spark, amount = events.sparkSession, F.col("amount")
-    sums = events.filter(amount >= minimum).groupBy("operator").agg(F.sum(amount.cast("decimal(38,0)")).alias("_sum"))
+    wide = amount.cast("decimal(38,0)")
+    sums = events.filter(amount >= minimum).groupBy("operator").agg(F.sum(wide).alias("_sum"), F.sum(F.greatest(wide, F.lit(0))).alias("_gross"))
+    sums, summed_up = session.hand_over(sums)  # a row per operator
     crowded = sums.filter(F.col("_sum") > cap).select("operator")
+    most = sums.agg(F.max("_gross")).first()[0] or 0
+    money = "bigint" if most < 2**62 else "decimal(38,0)"  # no partial sum of an operator is larger
     cols = list(dict.fromkeys(["operator", *order, "amount"]))
     eligible = events.filter((amount >= minimum) & (amount <= cap) & (amount > 0)).withColumn("amount", amount.cast("bigint")).select(*cols)
     requests, stored = session.hand_over(_join_nulls(eligible, crowded, ["operator"], "left_semi"))
     ranges = seq_bucket(order[0]) if bucket is None else bucket
-    summed, summing = session.hand_over(running(requests, ["operator"], order, ranges, {"_run": ("sum", amount.cast("decimal(38,0)"))}))
+    summed, summing = session.hand_over(running(requests, ["operator"], order, ranges, {"_run": ("sum", amount.cast(money))}))
     drop_folder(spark, stored)
+    drop_folder(spark, summed_up)
     rooms = summed.filter(F.col("_run") <= cap).groupBy("operator").agg((F.lit(cap) - F.max("_run")).cast("bigint").alias("_room"))
     beyond = summed.filter(F.col("_run") > cap)
     rest = _join_nulls(beyond, rooms, ["operator"], "left").withColumn("_room", F.coalesce("_room", F.lit(cap)))
@@ -271,18 +277,19 @@ def stake_with_cap(
         [*left.select("operator", *order).schema.fields, T.StructField("_taken", T.BooleanType()), T.StructField("_next", T.LongType())]
     )
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        room, taken = int(pdf["_room"].iloc[0]), []
-        for amount in pdf["amount"].tolist():
+    def fold(requests: pa.Table) -> pa.Table:
+        requests = requests.sort_by("rn")
+        room, taken = requests.column("_room")[0].as_py(), []
+        for amount in requests.column("amount").to_pylist():
             taken.append(amount <= room)
             room -= amount if taken[-1] else 0
-        return pdf[["operator", *order]].assign(_taken=taken, _next=room)
+        kept = requests.select(["operator", *order])
+        return kept.append_column("_taken", pa.array(taken, pa.bool_())).append_column("_next", pa.array([room] * len(taken), pa.int64()))
 
     position, taken, folders = F.struct(*order), [], [summing]
     while not left.isEmpty():
         window = top_per_key(left, ["operator"], [F.col(c).asc() for c in order], chunk, salt=64)
-        done, folder = session.hand_over(window.groupBy("operator").applyInPandas(fold, decided))
+        done, folder = session.hand_over(window.groupBy("operator").applyInArrow(fold, decided))
         taken.append(done.filter("_taken").select("operator", *order))
         folders.append(folder)
         state = done.groupBy("operator").agg(F.max(position).alias("_end"), F.min("_next").alias("_next"))

@@ -170,6 +170,14 @@ def test_stake_with_cap_with_nulls_and_zeros(spark):
     assert got == {1: yes, 2: over, 3: yes, 4: "invalid", 5: yes, 6: "invalid", 7: over, 8: yes, 9: yes, 10: yes}
 
 
+def test_stake_sums_beyond_a_long(spark):
+    big = 2**61
+    data = [("a", i, big) for i in range(9)] + [("b", 10, 5), ("b", 11, -3), ("c", 12, 2**62 - 1), ("c", 13, 1)]
+    df = spark.createDataFrame(data, "operator string, seq bigint, amount bigint")
+    got = {r.seq: r.decision for r in O.stake_with_cap(df, -10, 2**62 - 1, chunk=2).collect()}
+    assert got == {**{i: "accepted" if i < 1 else "over cap" for i in range(9)}, 10: "accepted", 11: "accepted", 12: "accepted", 13: "over cap"}
+
+
 def test_stake_rounds_do_not_grow_with_zeros(spark, monkeypatch):
     rounds = []
     hand_over = O.hand_over
