@@ -7,13 +7,14 @@ that may be hot are in ``streaming.folds``, which never brings a key's rows toge
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -68,44 +69,140 @@ def advancing_slots_stream(df: DataFrame, key: str, order: list[str]) -> DataFra
     return _with_state(df, [key], _Advance(order), df.schema)
 
 
-class _Slash(StatefulProcessor):
-    def __init__(self, threshold_tenths: float, order: list[str], columns: list[str]):
-        self.threshold, self.order, self.columns = threshold_tenths, order, columns
+# --- many keys a call --------------------------------------------------------------------------------
+#
+# A call of a processor costs milliseconds, whatever it is given, and every access to its state costs another round trip. So where keys are many, a call
+# gets a bucket of keys with all their rows of the micro-batch, folds them together, and the state of a bucket is one value: its keys' states, pickled.
+
+#: Buckets by a key's hash. A micro-batch has that many calls at most, however many keys there are.
+BUCKETS = 256
+#: Slots are dealt in turn to this many buckets of each range of slots, and a bucket has as many slots: messages that come together are dealt
+#: to many tasks, and the states of slots long past are not read again.
+LANES = 64
+NULLS = "slotweave_nulls"  # bits of the whole numbers that are NULL; names that begin with _ don't reach a processor
+BUCKET, RANGE, LANE = "slotweave_bucket", "slotweave_range", "slotweave_lane"
+PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
+
+
+def _hash_bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def _whole(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema if isinstance(f.dataType, T.IntegralType)]
+
+
+def _fill(df: DataFrame) -> DataFrame:
+    """Whole numbers without NULLs and ``NULLS``: pandas would hold a column with NULLs as floats, which lose digits. ``_unfill`` is the way back."""
+    whole = _whole(df.schema)
+    bits = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(whole)), F.lit(0).cast("bigint"))
+    return df.withColumns({**{c: F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)) for c in whole}, NULLS: bits})
+
+
+def _unfill(df: DataFrame, schema: T.StructType) -> DataFrame:
+    whole = _whole(schema)
+    return df.withColumns({c: F.when(F.col(NULLS).bitwiseAND(F.lit(1 << i)) == 0, F.col(c)) for i, c in enumerate(whole)}).drop(NULLS)
+
+
+def _missing(pdf: pd.DataFrame, column: str, whole: list[str]) -> np.ndarray:
+    """Where ``column`` of filled rows is NULL."""
+    return (pdf[NULLS].to_numpy() >> whole.index(column) & 1).astype(bool) if column in whole else pdf[column].isna().to_numpy()
+
+
+def _objects(pdf: pd.DataFrame, column: str, whole: list[str]) -> np.ndarray:
+    values = pdf[column].to_numpy().astype(object)
+    values[_missing(pdf, column, whole)] = None
+    return values
+
+
+def _by_key(rows: Iterator[pd.DataFrame], key: str, order: list[str], whole: list[str]) -> tuple[pd.DataFrame, list, np.ndarray, np.ndarray]:
+    """Filled rows by key and in order, NULLs last; the keys, the number of each row's key, and the first row of each."""
+    pdf = pd.concat(list(rows), ignore_index=True)
+    codes, _ = pd.factorize(_objects(pdf, key, whole), use_na_sentinel=False)
+    ranks = [codes]
+    for c in order:
+        rank = pd.factorize(pdf[c], sort=True)[0]
+        ranks.append(np.where(_missing(pdf, c, whole), len(pdf), rank))
+    place = np.lexsort(ranks[::-1])
+    pdf, codes = pdf.take(place).reset_index(drop=True), codes[place]
+    begins = np.append(True, codes[1:] != codes[:-1])
+    first = np.flatnonzero(begins)
+    return pdf, _objects(pdf, key, whole)[first].tolist(), np.cumsum(begins) - 1, first
+
+
+def _sums(values: np.ndarray, codes: np.ndarray, first: np.ndarray, before: list[int]) -> np.ndarray:
+    """Running sums of every key, which go on from ``before``."""
+    total = np.cumsum(values)
+    return total + (np.array(before, np.int64) - (total - values)[first])[codes]
+
+
+def _latest(where: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each row the place of its key's latest row so far that ``where`` marks; past the end, by the key's number, if there is none."""
+    place = np.maximum.accumulate(np.where(where, np.arange(len(where)), -1))
+    return np.where(place >= first[codes], place, len(where) + codes)
+
+
+def _followed(values: np.ndarray, before: list) -> np.ndarray:
+    out = np.empty(len(values) + len(before), object)
+    out[: len(values)] = values
+    for i, value in enumerate(before, len(values)):
+        out[i] = value
+    return out
+
+
+class _Packed(StatefulProcessor):
+    """Holds the states of a bucket's keys, by key, as one value."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", T.StructType([T.StructField("tenths", T.LongType())]))
+        self.handle = handle
+        self.packed = handle.getValueState("packed", PACKED)
+
+    def load(self) -> dict:
+        return pickle.loads(bytes(self.packed.get()[0])) if self.packed.exists() else {}
+
+    def store(self, states: dict) -> None:
+        self.packed.update((pickle.dumps(states, pickle.HIGHEST_PROTOCOL),)) if states else self.packed.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class _Slash(_Packed):
+    """Holds the tenths of severity so far of each operator."""
+
+    def __init__(self, threshold_tenths: float, order: list[str], columns: list[str], whole: list[str]):
+        self.threshold, self.order, self.columns, self.whole = threshold_tenths, order, columns, whole
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, self.order)
-        start = self.total.get()[0] if self.total.exists() else 0
-        tenths = pdf["violation"].map({k: int(float(v) * 10) for k, v in SEVERITY.items()})
-        running = start + tenths.fillna(0).astype("int64").cumsum()
-        self.total.update((int(running.iloc[-1]),))
+        pdf, names, codes, first = _by_key(rows, "operator", self.order, self.whole)
+        totals = self.load()
+        tenths = pdf["violation"].map({k: int(float(v) * 10) for k, v in SEVERITY.items()}).fillna(0).astype("int64").to_numpy()
+        running = _sums(tenths, codes, first, [totals.get(n, 0) for n in names])
+        totals.update(zip(names, running[np.append(first[1:], len(pdf)) - 1].tolist()))
+        self.store(totals)
         over = running >= self.threshold
         pdf["severity_tenths"] = running
         pdf["slashed"] = over
         pdf["penalty"] = pdf["violation"].map(PENALTY).fillna(DEFAULT_PENALTY).astype("int64").where(over, 0)
         yield pdf[self.columns]
 
-    def close(self) -> None:
-        pass
-
 
 def slashing_stream(violations: DataFrame, threshold: float, order: list[str] = ["ts", "seq"]) -> DataFrame:
     """Violations with the running severity of their operator and the penalty due.
 
     Severity is kept in tenths, so sums are exact.
     """
+    filled = _fill(violations)
     schema = T.StructType(
         [
-            *violations.schema.fields,
+            *filled.schema.fields,
             T.StructField("severity_tenths", T.LongType()),
             T.StructField("slashed", T.BooleanType()),
             T.StructField("penalty", T.LongType()),
         ]
     )
-    processor = _Slash(round(threshold * 10, 6), order, schema.names)
-    rows = _with_state(violations, ["operator"], processor, schema)
+    processor = _Slash(round(threshold * 10, 6), order, schema.names, _whole(violations.schema))
+    rows = _unfill(_with_state(filled.withColumn(BUCKET, _hash_bucket("operator")), [BUCKET], processor, schema), violations.schema)
     return rows.withColumn("total_severity", (F.col("severity_tenths").cast("decimal(20,0)") / 10).cast("decimal(20,1)")).drop(
         "severity_tenths"
     )
