@@ -304,54 +304,49 @@ def _records(rewards) -> list[tuple] | None:
     return [tuple(r.get(f) for f in REWARD_STATE.names) if isinstance(r, dict) else tuple(r) for r in rewards]
 
 
-class _Chunks(StatefulProcessor):
-    """Holds the status of one slot, how many entries it has had, and those of its open chunk."""
+class _Chunks(_Packed):
+    """Holds the status of each slot, how many entries it has had, and those of its open chunk."""
 
-    def __init__(self, size: int, fields: list[str], types: T.StructType):
-        self.size, self.fields, self.types = size, fields, types
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("slot", T.StructType([T.StructField("status", T.StringType()), T.StructField("entries", T.LongType())]))
-        self.open = handle.getListState("open", self.types)
+    def __init__(self, size: int, fields: list[str], whole: list[str]):
+        self.size, self.fields, self.whole = size, fields, whole
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, ["seq"])
-        known = self.state.get() if self.state.exists() else (None, 0)
-        entry = (pdf["kind"] == "entry").to_numpy()
-        status = _last(pdf["status"], pdf["kind"] == "status", known[0])
-        held = [tuple(r) for r in self.open.get()] if known[1] % self.size else []
-        first = known[1] - len(held)  # entries in full chunks
-        columns = [pdf[c].astype(object).where(pdf[c].notna(), None).to_numpy()[entry] for c in self.fields]
-        held += list(zip(*columns))
-        count = known[1] + np.cumsum(entry)
-        seq = pdf["seq"].to_numpy()
+        pdf, slots, codes, first = _by_key(rows, "slot", ["seq"], self.whole)
+        states, last = self.load(), np.append(first[1:], len(pdf)) - 1
+        known = [states.get(n, (None, 0, [])) for n in slots]
+        kind = pdf["kind"]
+        entry = kind.eq("entry").to_numpy()
+        status = _followed(_objects(pdf, "status", self.whole), [k[0] for k in known])[_latest(kind.eq("status").to_numpy(), codes, first)]
+        count = _sums(entry.astype(np.int64), codes, first, [k[1] for k in known])
+        new = list(zip(*[_objects(pdf, c, self.whole)[entry] for c in self.fields]))
+        ends = np.cumsum(entry)[last].tolist()
+        held = [k[2] + new[lo:hi] for k, lo, hi in zip(known, [0, *ends], ends)]
+        start = [k[1] - len(k[2]) for k in known]  # entries in full chunks
         filled = entry & (count % self.size == 0)
         shown = ~entry & (status == "rooted") & (count % self.size > 0)
+        at = np.flatnonzero(filled | shown)
         out = []
-        for i in np.flatnonzero(filled | shown).tolist():
-            chunk = (int(count[i]) - 1) // self.size
-            lo, hi = chunk * self.size - first, int(count[i]) - first
-            out.append((key[0], seq[i], chunk, held[lo:hi]))
-        total = int(count[-1])
-        self.state.update((_plain(status[-1]), total))
-        if entry.any():
-            _replace(self.open, held[total // self.size * self.size - first :])
+        for k, seq, n in zip(codes[at].tolist(), _objects(pdf, "seq", self.whole)[at], count[at].tolist()):
+            chunk = (n - 1) // self.size
+            out.append((slots[k], seq, chunk, held[k][chunk * self.size - start[k] : n - start[k]]))
+        for k, (n, total) in enumerate(zip(slots, count[last].tolist())):
+            states[n] = (status[last[k]], total, held[k][total // self.size * self.size - start[k] :])
+        self.store(states)
         yield pd.DataFrame(out, columns=["slot", "seq", "chunk", "entries"])
 
-    def close(self) -> None:
-        pass
-
 
 def block_entries_stream(messages: DataFrame, size: int = CHUNK) -> DataFrame:
     """Streaming form of ``operators.assembly.block_entries``: the same rows. A slot's state holds fewer than ``size`` entries."""
     fields = [c for c in ENTRY if c in messages.columns]
-    own = T.ArrayType(T.StructType([messages.schema[c] for c in fields]))
-    exact = _exact(messages.select("slot", "seq", "kind", "status", *fields), fields)
-    types = T.StructType([exact.schema[c] for c in fields])
-    schema = T.StructType(
-        [messages.schema["slot"], messages.schema["seq"], T.StructField("chunk", T.LongType()), T.StructField("entries", T.ArrayType(types))]
-    )
-    return _with_state(exact, ["slot"], _Chunks(size, fields, types), schema).withColumn("entries", F.col("entries").cast(own))
+    own = messages.select("slot", "seq", "kind", "status", *fields)
+    entries = T.ArrayType(T.StructType([messages.schema[c] for c in fields]))
+    schema = T.StructType([messages.schema["slot"], messages.schema["seq"], T.StructField("chunk", T.LongType()), T.StructField("entries", entries)])
+    return _with_slots(own, _Chunks(size, fields, _whole(own.schema)), schema)
+
+
+def _with_slots(messages: DataFrame, processor: StatefulProcessor, schema, time_mode: str = "None") -> DataFrame:
+    dealt = _fill(messages).withColumns({RANGE: F.floor(F.col("slot") / (LANES * LANES)), LANE: F.pmod("slot", F.lit(LANES))})
+    return _with_state(dealt, [RANGE, LANE], processor, schema, time_mode)
 
 
 BLOCK_SCHEMA = (

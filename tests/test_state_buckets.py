@@ -56,3 +56,11 @@ def test_slashing_of_many_operators(spark, tmp_path):
     cols = ["operator", "seq", "note", "slashed", "penalty", F.col("total_severity").cast("double")]
     assert rows(got, *cols) == rows(staking.slashing(table, 5.0), *cols)
     assert held <= stateful.BUCKETS
+
+
+def test_entries_of_many_slots(spark, tmp_path):
+    table = messages(spark)
+    got, held = run(spark, tmp_path, table, lambda m: stateful.block_entries_stream(m, 2))
+    text = lambda d: d.withColumn("entries", F.col("entries").cast("string"))
+    same(text(got), text(block_entries(table, 2)))
+    assert held <= stateful.LANES * (1 + KEYS // stateful.LANES**2)
