@@ -208,23 +208,7 @@ def slashing_stream(violations: DataFrame, threshold: float, order: list[str] =
     )
 
 
-SLOT_STATE = T.StructType(
-    [T.StructField("status", T.StringType()), T.StructField("parent_slot", T.LongType()), T.StructField("blockhash", T.StringType())]
-    + [T.StructField(c, T.LongType()) for c in [*METADATA[1:], "entries", "executed_tx"]]
-)
-
-
-def _plain(x):
-    return None if x is None or pd.isna(x) else x if isinstance(x, str) else int(x)
-
-
-def _last(column: pd.Series, where: pd.Series, before) -> np.ndarray:
-    """For each row the value at the latest row so far that ``where`` marks, NULL or not; ``before`` if there is none."""
-    place = np.maximum.accumulate(np.where(where.to_numpy(), np.arange(len(column)), -1))
-    values = np.empty(len(column) + 1, object)
-    values[0] = before
-    values[1:] = column.astype(object).where(column.notna(), None).to_numpy()
-    return values.take(place + 1)
+SLOT_STATE = ["status", "parent_slot", "blockhash", *METADATA[1:], "entries", "executed_tx", "rewards", "due"]
 
 
 def _replace(state, rows: list[tuple]) -> None:
@@ -232,64 +216,62 @@ def _replace(state, rows: list[tuple]) -> None:
     state.put(rows) if rows else state.clear()
 
 
-class _Assemble(StatefulProcessor):
-    """Holds the open state of one slot: the last metadata with its rewards, the status and two counters."""
-
-    def __init__(self, evict: bool, rewards: bool = False, sweep: int | None = None):
-        self.evict, self.rewards, self.sweep = evict, rewards, sweep
+class _Assemble(_Packed):
+    """Holds the open state of each slot: the last metadata with its rewards, the status, two counters, and when it is to be dropped."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("slot", SLOT_STATE)
-        if self.rewards:
-            self.paid = handle.getListState("rewards", REWARD_STATE)
+    def __init__(self, whole: list[str], evict: bool, rewards: bool = False, sweep: int | None = None):
+        self.whole, self.evict, self.rewards, self.sweep = whole, evict, rewards, sweep
 
     def handleInputRows(self, key, rows, timerValues):
-        slot, pdf = key[0], _ordered(rows, ["seq"])
-        fresh = not self.state.exists()
-        s = dict.fromkeys(SLOT_STATE.names) if fresh else dict(zip(SLOT_STATE.names, self.state.get()))
-        meta, status, entry = (pdf["kind"] == k for k in ("metadata", "status", "entry"))
-        if fresh and status.iloc[0]:
-            s["parent_slot"] = _plain(pdf["parent"].iloc[0])
-        now = {"seq": pdf["seq"], "entries": (s["entries"] or 0) + entry.cumsum()}
-        now["executed_tx"] = (s["executed_tx"] or 0) + pdf["executed_tx"].where(entry).fillna(0).astype("int64").cumsum()
+        pdf, slots, codes, first = _by_key(rows, "slot", ["seq"], self.whole)
+        states, last = self.load(), np.append(first[1:], len(pdf)) - 1
+        known = [dict(zip(SLOT_STATE, states[n])) if n in states else None for n in slots]
+        before = [k or dict.fromkeys(SLOT_STATE) for k in known]
+        meta, status, entry = (pdf["kind"].eq(k).to_numpy() for k in ("metadata", "status", "entry"))
+        column = {c: _objects(pdf, c, self.whole) for c in ("parent_slot", "status", *METADATA)}
+        for i in (i for i, k in enumerate(known) if k is None and status[first[i]]):
+            before[i]["parent_slot"] = None if _missing(pdf.iloc[first[i] : first[i] + 1], "parent", self.whole)[0] else int(pdf["parent"].iloc[first[i]])
+        ones = entry.astype(np.int64)
+        executed = np.where(entry & ~_missing(pdf, "executed_tx", self.whole), pdf["executed_tx"].to_numpy(), 0).astype(np.int64)
+        sums = {"entries": _sums(ones, codes, first, [s["entries"] or 0 for s in before]), "executed_tx": _sums(executed, codes, first, [s["executed_tx"] or 0 for s in before])}
         # what the last metadata, parent and status said: the place of that message, or the state so far
-        for name, where in [*((c, meta) for c in METADATA), ("parent_slot", meta & pdf["parent_slot"].notna()), ("status", status)]:
-            now[name] = _last(pdf[name], where, s[name])
+        said = _latest(meta, codes, first)
+        places = {**dict.fromkeys(METADATA, said), "status": _latest(status, codes, first)}
+        places["parent_slot"] = _latest(meta & ~_missing(pdf, "parent_slot", self.whole), codes, first)
         if self.rewards:
-            paid = None if fresh else [tuple(r) for r in self.paid.get()]
-            now["rewards"] = _last(pdf["rewards"].map(_records), meta, paid or [])
-            if meta.any():
-                _replace(self.paid, now["rewards"][-1] or [])
-        table = pd.DataFrame(now)
-        self.state.update(tuple(_plain(table[c].iloc[-1]) for c in SLOT_STATE.names))
-        if table["status"].iloc[-1] == "rooted":
-            if self.evict:
-                self.handle.registerTimer((int(slot) + 1) * 1000)
-            elif self.sweep is not None:
-                self._rearm(timerValues)
-        out = table[~entry & (table["status"] == "rooted")].assign(slot=slot)
-        out["entry_count"] = out["entry_count"].where(out["entry_count"].notna(), out["entries"])
+            paid = np.empty(len(pdf), object)
+            for i in np.flatnonzero(meta).tolist():
+                paid[i] = _records(pdf["rewards"].iat[i])
+            column["rewards"], places["rewards"] = paid, said
+        values = {c: _followed(column[c], [s[c] for s in before]) for c in places}
+        now = lambda c, at: sums[c][at] if c in sums else values[c][places[c][at]]
+        after = {c: now(c, last).tolist() for c in SLOT_STATE if c in sums or c in places}
+        due = [s["due"] for s in before]
+        rooted = [i for i, x in enumerate(after["status"]) if x == "rooted" and not (self.evict and slots[i] is None)]
+        if rooted and self.evict:
+            for i in rooted:
+                due[i] = (slots[i] + 1) * 1000
+            self.handle.registerTimer(max(due[i] for i in rooted))
+        elif rooted and self.sweep is not None:
+            at = timerValues.getCurrentProcessingTimeInMs() + self.sweep
+            for i in rooted:
+                due[i] = at
+            self.handle.registerTimer(at)
+        states.update(zip(slots, zip(*[due if c == "due" else after.get(c, [None] * len(slots)) for c in SLOT_STATE])))
+        self.store(states)
+        shown = np.flatnonzero(~entry & (values["status"][places["status"]] == "rooted"))
+        made = {c: now(c, shown) for c in [*METADATA, "parent_slot", "status", "entries", "executed_tx"]}
+        out = pd.DataFrame({"slot": _objects(pdf, "slot", self.whole)[shown], "seq": _objects(pdf, "seq", self.whole)[shown], **made})
+        out["entry_count"] = np.where([x is None for x in made["entry_count"]], made["entries"], made["entry_count"])
         if self.rewards:
-            out["rewards"] = out["rewards"].map(lambda r: r or [])
+            out["rewards"] = pd.Series([r or [] for r in now("rewards", shown)], dtype=object)
         yield out[[*BLOCK_COLUMNS, *(["rewards"] if self.rewards else [])]]
 
-    def _rearm(self, timerValues) -> None:
-        """One timer a slot: a message moves it on."""
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.sweep)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            self.state.clear()
-            if self.rewards:
-                self.paid.clear()
+        at, due = expiredTimerInfo.getExpiryTimeInMs(), SLOT_STATE.index("due")
+        self.store({n: s for n, s in self.load().items() if s[due] is None or s[due] > at})
         return iter([])
 
-    def close(self) -> None:
-        pass
-
 
 REWARD_STATE = T.StructType(
     [T.StructField("pubkey", T.StringType()), T.StructField("lamports", T.LongType()), T.StructField("post_balance", T.DecimalType(20, 0)),
@@ -369,14 +351,15 @@ def assemble_blocks_stream(messages: DataFrame, keep_slots: int | None = None, s
         raise ValueError("state is dropped by slots or by the clock, not by both")
     rewards = "rewards" in messages.columns
     schema = BLOCK_SCHEMA + (f", rewards ARRAY<{REWARD}>" if rewards else "")
+    whole = _whole(messages.schema)
     if keep_slots is None:
         pause = None if sweep is None else int(pd.Timedelta(sweep).total_seconds() * 1000)
-        return _with_state(messages, ["slot"], _Assemble(False, rewards, pause), schema, "None" if sweep is None else "ProcessingTime")
+        return _with_slots(messages, _Assemble(whole, False, rewards, pause), schema, "None" if sweep is None else "ProcessingTime")
     # One second per slot. Times start at 1 because the first watermark is 0; a time equal to the
     # watermark is late, so the extra second keeps the slot exactly ``keep_slots`` behind.
     timed = messages.withColumn("slot_time", F.timestamp_seconds(F.col("slot") + 1))
     timed = timed.withWatermark("slot_time", f"{keep_slots + 1} seconds")
-    return _with_state(timed, ["slot"], _Assemble(True, rewards), schema, "EventTime")
+    return _with_slots(timed, _Assemble(whole, True, rewards), schema, "EventTime")
 
 
 # --- batches that close by count or by time ---------------------------------------------------------

@@ -64,3 +64,12 @@ def test_entries_of_many_slots(spark, tmp_path):
     text = lambda d: d.withColumn("entries", F.col("entries").cast("string"))
     same(text(got), text(block_entries(table, 2)))
     assert held <= stateful.LANES * (1 + KEYS // stateful.LANES**2)
+
+
+@pytest.mark.parametrize("keep", [None, 10_000])
+def test_blocks_of_many_slots(spark, tmp_path, keep):
+    table = messages(spark).filter("slot is not null" if keep else "true")
+    got, held = run(spark, tmp_path, table, lambda m: stateful.assemble_blocks_stream(m, keep))
+    same(got, assemble_blocks(table))
+    calls = stateful.LANES * (1 + KEYS // stateful.LANES**2)
+    assert held <= calls * (1 if keep is None else 7)  # a bucket's value, and at most one timer (two entries) a micro-batch
