@@ -444,19 +444,25 @@ def open_batches(spark: SparkSession, checkpoint: str, schema: T.StructType, lan
 
 
 class _Expiring(StatefulProcessor):
-    """Holds a mark per id until its time to live is over."""
+    """Holds the ids of a bucket that were let through, those of a micro-batch as one value, until their time to live is over."""
 
-    def __init__(self, keep: int, order: list[str], columns: list[str]):
-        self.keep, self.order, self.columns = keep, order, columns
+    def __init__(self, keep: int, key: str, order: list[str], columns: list[str], whole: list[str]):
+        self.keep, self.key, self.order, self.columns, self.whole = keep, key, order, columns, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seen", T.BooleanType())]), self.keep)
+        self.seen = handle.getMapState("seen", T.StructType([T.StructField("at", T.LongType())]), PACKED, self.keep)
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = _ordered(rows, self.order)
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield pdf[self.columns].iloc[:1]
+        pdf, ids, _, first = _by_key(rows, self.key, self.order, self.whole)
+        now, new, again = timerValues.getCurrentProcessingTimeInMs(), set(ids), set()
+        known = set()
+        for (at,), (packed,) in self.seen.iterator():
+            held = pickle.loads(bytes(packed))
+            known |= new & held
+            again = held if at == now else again
+        if new - known:
+            self.seen.updateValue((now,), (pickle.dumps(frozenset(again | (new - known)), pickle.HIGHEST_PROTOCOL),))
+            yield pdf[self.columns].iloc[first[[n not in known for n in ids]]]
 
     def close(self) -> None:
         pass
@@ -465,7 +471,9 @@ class _Expiring(StatefulProcessor):
 def dedup_expiring(messages: DataFrame, keep: str = "60 seconds", key: str = "message_id", order: list[str] = ["seq"]) -> DataFrame:
     """First of every id; an id is forgotten ``keep`` after it was let through, by the clock, and is let through once more when it comes again.
 
-    Repeated ids don't prolong that. State is a mark per id of the last ``keep``, and falls without new input.
+    Repeated ids don't prolong that. State is the ids of the last ``keep``, and falls without new input.
     """
-    processor = _Expiring(int(pd.Timedelta(keep).total_seconds() * 1000), order, messages.columns)
-    return _with_state(messages, [key], processor, messages.schema, "ProcessingTime")
+    filled = _fill(messages)
+    processor = _Expiring(int(pd.Timedelta(keep).total_seconds() * 1000), key, order, filled.columns, _whole(messages.schema))
+    passed = _with_state(filled.withColumn(BUCKET, _hash_bucket(key)), [BUCKET], processor, filled.schema, "ProcessingTime")
+    return _unfill(passed, messages.schema)

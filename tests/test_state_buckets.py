@@ -73,3 +73,10 @@ def test_blocks_of_many_slots(spark, tmp_path, keep):
     same(got, assemble_blocks(table))
     calls = stateful.LANES * (1 + KEYS // stateful.LANES**2)
     assert held <= calls * (1 if keep is None else 7)  # a bucket's value, and at most one timer (two entries) a micro-batch
+
+
+def test_ids_of_many_messages(spark, tmp_path):
+    table = spark.range(KEYS * 6).select(F.when(F.col("id") % 89 != 4, F.concat(F.lit("m"), (F.col("id") % (KEYS * 3)).cast("string"))).alias("message_id"), F.col("id").alias("seq"))
+    got, held = run(spark, tmp_path, table, lambda m: stateful.dedup_expiring(m, "1 hour"))
+    same(got, table.groupBy("message_id").agg(F.min("seq").alias("seq")))
+    assert held <= 3 * stateful.BUCKETS  # a value for each micro-batch
