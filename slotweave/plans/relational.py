@@ -92,7 +92,8 @@ def mentions(v):
         FROM (SELECT signature, err, unnest(accounts) AS pubkey FROM v_transactions) GROUP BY 1"""),
 )
 def cascade(v):
-    m = K.build_mentions(v.transactions)
+    # dealt by signature while they are arrays, and once: both joins find the mentions in place
+    m = K.build_mentions(v.transactions.select("signature", "accounts").repartition("signature"))
     stored = v.transactions.filter(tx_success("err"))
     kept = K.cascade_mentions(m, stored).withColumn("part", F.lit("kept"))
     gone = K.orphan_mentions(m, stored).withColumn("part", F.lit("dropped"))
