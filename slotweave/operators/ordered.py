@@ -242,20 +242,20 @@ def stake_with_cap(
     count. ``order`` must be unique within an operator; ``bucket`` cuts it into ranges (default: by the first
     column, an arrival number). A NULL operator is an operator like any other; a NULL amount is invalid.
 
-    An operator whose eligible requests fit under the cap needs no order at all: nothing of it is stored. Of the others
+    An operator whose eligible requests fit under the cap needs no order at all: nothing of it is folded. Of the others
     one running sum accepts everything before the first request that does not fit. After that only
     requests that still fit can change anything, so each round takes the next ``chunk`` requests
     that fit the room left (a bounded group, found by a two-step top-n), folds them, and drops the
     requests that no longer fit. Room only shrinks, so what is left after a round is smaller than
     everything refused so far. Requests for nothing always fit and take no part, and those above the cap never fit. The events are
-    read three times: for the sums, for crowded operators' requests and for the result, which joins what was refused. Rounds hand
-    over through tables in the shared folder; all but that of the refused requests are deleted.
+    stored once and read from there; of them only those from an operator's first refused request on meet the refused ones in a join. Rounds hand
+    over through tables in the shared folder; all but those of the events and of the refused requests are deleted.
     """
     if chunk < 1:
         raise ValueError("chunk must be positive")
     if not 0 <= cap < 2**62:
         raise ValueError("cap must fit a signed 64-bit number with room for one more request")
-    spark, amount = events.sparkSession, F.col("amount")
+    spark, amount, events = events.sparkSession, F.col("amount"), cut_lineage(events)
     wide = amount.cast("decimal(38,0)")
     sums = events.filter(amount >= minimum).groupBy("operator").agg(F.sum(wide).alias("_sum"), F.sum(F.greatest(wide, F.lit(0))).alias("_gross"))
     sums, summed_up = session.hand_over(sums)  # a row per operator
@@ -266,12 +266,15 @@ def stake_with_cap(
     eligible = events.filter((amount >= minimum) & (amount <= cap) & (amount > 0)).withColumn("amount", amount.cast("bigint")).select(*cols)
     requests, stored = session.hand_over(_join_nulls(eligible, crowded, ["operator"], "left_semi"))
     ranges = seq_bucket(order[0]) if bucket is None else bucket
-    summed, summing = session.hand_over(running(requests, ["operator"], order, ranges, {"_run": ("sum", amount.cast(money))}))
+    position = F.struct(*order)
+    summed = running(requests, ["operator"], order, ranges, {"_run": ("sum", amount.cast(money))})
+    beyond, summing = session.hand_over(summed.filter(F.col("_run") > cap).select(*cols, "_run"))
     drop_folder(spark, stored)
     drop_folder(spark, summed_up)
-    rooms = summed.filter(F.col("_run") <= cap).groupBy("operator").agg((F.lit(cap) - F.max("_run")).cast("bigint").alias("_room"))
-    beyond = summed.filter(F.col("_run") > cap)
-    rest = _join_nulls(beyond, rooms, ["operator"], "left").withColumn("_room", F.coalesce("_room", F.lit(cap)))
+    # amounts are positive, so what an operator's first refused request found is the least that one of them did
+    found = F.min(F.col("_run") - amount)
+    firsts = cut_lineage(beyond.groupBy("operator").agg((F.lit(cap) - found).cast("bigint").alias("_room"), F.min(position).alias("_first")))
+    rest = _join_nulls(beyond, firsts.select("operator", "_room"), ["operator"])
     left, path = hand_over(rest.filter(amount <= F.col("_room")).select(*cols, "_room"))
     decided = T.StructType(
         [*left.select("operator", *order).schema.fields, T.StructField("_taken", T.BooleanType()), T.StructField("_next", T.LongType())]
@@ -286,7 +289,7 @@ def stake_with_cap(
         kept = requests.select(["operator", *order])
         return kept.append_column("_taken", pa.array(taken, pa.bool_())).append_column("_next", pa.array([room] * len(taken), pa.int64()))
 
-    position, taken, folders = F.struct(*order), [], [summing]
+    taken, folders = [], [summing]
     while not left.isEmpty():
         window = top_per_key(left, ["operator"], [F.col(c).asc() for c in order], chunk, salt=64)
         done, folder = session.hand_over(window.groupBy("operator").applyInArrow(fold, decided))
@@ -303,11 +306,13 @@ def stake_with_cap(
     refused = cut_lineage(refused).withColumn("_refused", F.lit(True))
     for folder in [path, *folders]:
         drop_folder(spark, folder)
-    marked = _join_nulls(events, refused, ["operator", *order], "left")
+    placed = _join_nulls(events, firsts.select("operator", "_first"), ["operator"], "left")
+    late = F.coalesce(position >= F.col("_first"), F.lit(False))
+    marked = _join_nulls(placed.filter(late), refused, ["operator", *order], "left").unionByName(placed.filter(~late).withColumn("_refused", F.lit(None).cast("boolean")))
     decision = (
         F.when(amount.isNull(), "invalid")
         .when(amount < minimum, "below minimum")
         .when((amount > cap) | F.col("_refused").isNotNull(), "over cap")
         .otherwise("accepted")
     )
-    return marked.withColumn("decision", decision).drop("_refused")
+    return marked.withColumn("decision", decision).drop("_refused", "_first")

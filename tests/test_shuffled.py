@@ -1,10 +1,13 @@
 """What jobs shuffle and how often they read their input."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from slotweave.operators import ordered
 from slotweave.plans import relational  # noqa: F401 registers the queries
 from slotweave.plans.registry import QUERIES
-from tests.conftest import SF
+from tests.conftest import SF, rows
 
 
 @pytest.fixture
@@ -23,3 +26,26 @@ def test_mentions_are_not_shuffled(spark, joins_by_shuffle):
     """Accounts are dealt by signature as arrays; what is exploded stays where it is."""
     dealt = [p for p in plan(QUERIES["k4_cascade_mentions"](spark, SF)).split("Exchange ") if p.startswith("hashpartitioning(signature")]
     assert dealt and not any("Generate" in p for p in dealt)
+
+
+def test_stake_requests_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
+
+    table = spark.range(600).select(
+        F.when(F.col("id") % 7 > 0, F.col("id") % 3).cast("string").alias("operator"), F.col("id").alias("seq"), (F.col("id") * 37 % 50).alias("amount")
+    )
+    made = ordered.stake_with_cap(table.mapInArrow(counted, table.schema), 5, 1000, chunk=10)
+    got = rows(made, "operator", "seq", "decision")
+    assert read.value == 600
+    total, want = {}, []
+    for r in table.orderBy("seq").collect():
+        fits = total.get(r["operator"], 0) + r["amount"] <= 1000
+        if r["amount"] >= 5 and fits:
+            total[r["operator"]] = total.get(r["operator"], 0) + r["amount"]
+        want.append((r["operator"], r["seq"], "below minimum" if r["amount"] < 5 else "accepted" if fits else "over cap"))
+    assert got == sorted(want, key=repr)
