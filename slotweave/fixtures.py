@@ -213,11 +213,12 @@ def _line_arrays(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
     The arrays are separate aggregates, so a query that uses one of them collects only that one.
     """
-    items = lineitem.join(part.select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    order = [
-        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
-        "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
-    ]
+    # An instruction holds the supplier and what its part says, so of items of one part and supplier only this matters: which of
+    # them are the same. A hash of the other columns tells, and they need not be shuffled.
+    rest = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    bare = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.xxhash64(*rest, *[F.col(c).isNull() for c in rest]).alias("_rest"))
+    items = bare.join(part.select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    order = ["l_partkey", "l_suppkey", "_rest"]
     instruction = lambda i: F.struct(
         i["p_brand"].alias("program_id"),
         F.array(_str("supp", i["l_suppkey"])).alias("accounts"),

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from slotweave import fixtures as X
 from slotweave.operators import ordered
 from slotweave.plans import relational  # noqa: F401 registers the queries
 from slotweave.plans.registry import QUERIES
@@ -49,3 +50,20 @@ def test_stake_requests_are_read_once(spark):
             total[r["operator"]] = total.get(r["operator"], 0) + r["amount"]
         want.append((r["operator"], r["seq"], "below minimum" if r["amount"] < 5 else "accepted" if fits else "over cap"))
     assert got == sorted(want, key=repr)
+
+
+def test_items_are_shuffled_without_what_no_instruction_shows(spark, views, joins_by_shuffle):
+    made = [line for line in plan(views.transactions).splitlines() if "Aggregate" in line]
+    assert made and not any("l_shipdate" in line or "l_extendedprice" in line for line in made)
+
+
+def test_items_keep_their_order(spark):
+    """Items of one part and supplier: two that differ, and two that are the same; the part is listed twice."""
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    item = lambda n, price: (1, 5, 7, n, 1.0, price, 0.0, 0.0, None, "O", None)
+    part = spark.createDataFrame([(5, "A", 1), (5, "B", 2)], "p_partkey bigint, p_brand string, p_size int")
+    order = spark.createDataFrame([(1, 2, "O", 3.0, "5-LOW", None)], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string, o_orderdate date")
+    programs = lambda *items: [i["program_id"] for i in X.transactions(order, spark.createDataFrame(list(items), line), part).first()["instructions"]]
+    assert programs(item(1, 2.0), item(2, 2.0)) == ["A", "B", "A", "B"]
+    assert programs(item(1, 2.0), item(1, None)) == ["A", "B", "A", "B"]
+    assert programs(item(1, 2.0), item(1, 2.0)) == ["A", "A", "B", "B"]
