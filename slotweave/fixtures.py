@@ -224,7 +224,8 @@ def _line_arrays(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         F.array(_str("supp", i["l_suppkey"])).alias("accounts"),
         F.concat(F.lit("0"), (i["p_size"] % 10).cast("string"), F.lit("000000")).alias("data"),
     )
-    return items.groupBy("l_orderkey").agg(
+    # dealt before they are collected: an order's items come from all over, so collecting them first saves nothing, and lists are larger than rows
+    return items.repartition("l_orderkey").groupBy("l_orderkey").agg(
         F.collect_set(_str("supp", F.col("l_suppkey"))).alias("suppliers"),
         F.collect_set("p_brand").alias("brands"),
         F.transform(F.sort_array(F.collect_list(F.struct(*order, "p_brand", "p_size"))), instruction).alias("instructions"),
