@@ -92,7 +92,7 @@ def mentions(v):
         FROM (SELECT signature, err, unnest(accounts) AS pubkey FROM v_transactions) GROUP BY 1"""),
 )
 def cascade(v):
-    # dealt by signature while they are arrays, and once: both joins find the mentions in place
+    # dealt by signature before mentions are made: the joins find these in place, and their flags are not shuffled
     m = K.build_mentions(v.transactions.select("signature", "accounts").repartition("signature"))
     stored = v.transactions.filter(tx_success("err"))
     kept = K.cascade_mentions(m, stored).withColumn("part", F.lit("kept"))
