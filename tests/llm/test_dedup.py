@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -75,6 +76,41 @@ def test_suffix_array_of_long_and_even_texts():
         assert sorted(array.tolist()) == list(range(len(s))) and (np.lexsort((keys[:, 1], keys[:, 0])) == np.arange(len(s))).all()
 
 
+@pytest.mark.parametrize("stretch", [1, 5, 128, 1 << 30])
+def test_induced_by_stretches_or_by_the_loop(monkeypatch, stretch):
+    """Stretches of one place and none at all give the same order: of prose, runs, periods, and more symbols than short numbers have."""
+    monkeypatch.setattr(induced, "STRETCH", stretch)
+    r = np.random.default_rng(3)
+    text = np.frombuffer((prose(150, 1) * 2 + prose(80, 2)).encode(), np.uint8).astype(np.int64) + 2
+    for s in (text, np.repeat(r.integers(1, 9, 30), r.integers(1, 60, 30)), np.full(1500, 4), np.tile([2, 1], 700), r.integers(1, 3, 1500), r.permutation(np.arange(1, 1500)) * 30):
+        s = np.append(s, 0)
+        raw = s.astype(">i4").tobytes()
+        assert induced.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: raw[4 * i :])
+
+
+def test_induction_of_prose_takes_few_python_steps():
+    """The walks deal out whole stretches: fewer lines of Python are run than the text has symbols."""
+    s = np.append(np.random.default_rng(4).choice(np.frombuffer(prose(3000, 6).encode(), np.uint8), 60_000).astype(np.int64) + 1, 0)
+    lines = 0
+
+    def traced(frame, event, arg):
+        nonlocal lines
+        if frame.f_code.co_filename != induced.__file__:
+            return None
+        lines += event == "line"
+        return traced
+
+    before = sys.gettrace()
+    sys.settrace(traced)
+    try:
+        up = induced._ascending(s)
+        lms = np.flatnonzero(np.append(False, up[1:] & ~up[:-1]))
+        induced._induce(s, up, lms, np.concatenate([[0], np.cumsum(np.bincount(s))]))
+    finally:
+        sys.settrace(before)
+    assert 0 < lines < len(s)
+
+
 def test_equal_windows_have_equal_anchors():
     grams = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64) << np.uint64(40)
     twice = np.concatenate([grams[:200], grams[:200]])
@@ -107,6 +143,16 @@ def test_suffix_dedup_edges(spark):
         same(got, [(d, *w) for (d, _), w in zip(rows, want)])
 
 
+def test_suffix_dedup_tells_planted_passages_by_what_it_removes(spark):
+    """Every holder of a passage of 400 bytes has them removed; one byte less, and clean documents, stay whole."""
+    long, short = prose(200, 70)[:400], prose(200, 71)[:399]
+    assert len(long.encode()) == 400 and len(long.split()) > 50 and len(short.split()) > 50
+    planted = {i: long if i % 3 == 0 else short if i % 3 == 1 else "" for i in range(60)}
+    rows = [(i, prose(60, 1000 + i) + chr(33 + i) + p + chr(33 + i) + prose(60, 2000 + i)) for i, p in planted.items()]  # no two go on alike
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(docs(spark, rows), length=400, keep_text=False).collect()}
+    assert got == {i: 400 if p == long else 0 for i, p in planted.items()}
+
+
 @pytest.mark.parametrize("size", [50, 700, 5000])
 def test_suffix_dedup_long_text_in_pieces(spark, size):
     """Texts over ``size`` bytes are listed by overlapping pieces: every window once, marks where they belong."""
